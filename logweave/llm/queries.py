@@ -8,8 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_table_path
 from .grammar_ids import read_ids, write_ids
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .piece_coding import encode_pieces
+from .quality import fit_resampling, resample
+from .toxicity import fit_toxicity, is_held_out, score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_toxicity(docs, labels.where(~is_held_out()))
+    return score_toxicity(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return resample(docs, fit_resampling(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
 
 
 def op4_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +46,7 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_grammar_ids, op8_packing, op10_piece_coding)
+    f.__name__: f for f in (op1_toxicity, op3_resampling, op4_grammar_ids, op8_packing, op9_near_duplicates, op10_piece_coding)
 }
 
 #: DuckDB SQL where SQL expresses the operator.
