@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_table_path
 from .grammar_ids import read_ids, write_ids
+from .html_text import main_text
+from .licenses import find_licenses
+from .media import read_media, write_media
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .piece_coding import encode_pieces
 from .quality import fit_resampling, resample
 from .toxicity import fit_toxicity, is_held_out, score_toxicity
+from .vector_links import vector_links
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return resample(docs, fit_resampling(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -37,6 +45,20 @@ def op4_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path)
 
 
+def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "media")
+    write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    return read_media(spark, path)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -46,7 +68,19 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_resampling, op4_grammar_ids, op8_packing, op9_near_duplicates, op10_piece_coding)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_html_text,
+        op3_resampling,
+        op4_grammar_ids,
+        op5_media_chunks,
+        op6_licenses,
+        op7_vector_links,
+        op8_packing,
+        op9_near_duplicates,
+        op10_piece_coding,
+    )
 }
 
 #: DuckDB SQL where SQL expresses the operator.
