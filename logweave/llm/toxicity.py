@@ -23,7 +23,7 @@ ORDINARY_BYTES, TOXIC_WINDOWS = 16_384, 400
 #: Margins are told apart in so many steps; windows are counted up to HITS in a document.
 MARGINS, HITS = 8, 4
 #: Words with margins kept by one task; at the bound they are computed anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Both dictionaries and every window end with this text: a window then always compresses, its
 #: own bytes do not stand in the last few, which zstandard does not look up, and its length

@@ -36,8 +36,7 @@ class Projections:
 def calibrate(largest: int, similarity: float) -> Projections:
     """Projections for groups of at most ``largest`` vectors.
 
-    Projected unit vectors (scaled by the root of their length) are about normal. Only
-    values beyond ``tail`` take part, where few of the other vectors are: for larger groups
+    Unit vectors projected on Gaussian directions are normal. Only values beyond ``tail`` take part, where few of the other vectors are: for larger groups
     the tail gets thinner and the directions more. Their number makes the expected count of
     collisions of a pair at the limit so large that a Poisson count stays under
     ``COLLISIONS`` with a probability of at most ``MISS``.
@@ -87,8 +86,7 @@ def _entries(vectors: DataFrame, plan: Projections) -> DataFrame:
             for rows, x in _by_size(batch, "v"):
                 d = x.shape[1]
                 if d not in directions:
-                    made = np.random.default_rng(20_011 + d).standard_normal((d, plan.count))
-                    directions[d] = made * (math.sqrt(d) / np.linalg.norm(made, axis=0))
+                    directions[d] = np.random.default_rng(20_011 + d).standard_normal((d, plan.count))
                 for at in range(0, len(rows), 256):
                     p = x[at : at + 256] @ directions[d]
                     i, j = np.nonzero(np.abs(p) >= plan.tail)
