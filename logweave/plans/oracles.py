@@ -127,7 +127,7 @@ ORACLES: dict[str, str] = {
     )
     + ") GROUP BY ALL",
     "rule_hits": _WITH_DOCS + _RULES,
-    "rule_summary": _WITH_DOCS + f"SELECT count(*) AS total_issues, string_agg(DISTINCT Category, ', ' ORDER BY Category) AS categories FROM ({_RULES})",
+    "rule_summary": _WITH_DOCS + f"SELECT count(*) AS total_issues, coalesce(string_agg(DISTINCT Category, ', ' ORDER BY Category), '') AS categories FROM ({_RULES})",
     "rule_bars": _WITH_DOCS + f"SELECT Title, Category, sum(Frequency)::BIGINT AS Frequency FROM ({_RULES}) GROUP BY ALL",
     "rule_report": _WITH_DOCS
     + f"""SELECT Category, Title, Cause, FileName, row_number() OVER (PARTITION BY Category, Title, Cause, FileName ORDER BY Description, Frequency, SampleLogs)::INT AS Number, Description, Frequency, Frequency > 10 AS Highlight FROM ({_RULES})""",

@@ -10,10 +10,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: UTC keeps time stamps naive; a repeated key of a packed column keeps its last value.
+#: Whole texts go to Python in small batches, so that a task's memory stays bounded.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
