@@ -2,47 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import SETTINGS
+from ..session import SETTINGS, materialise, new_table_path, shared_folder  # noqa: F401  used by the operators beside this module
 from ..session import ship as _ship
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where neither the setting nor a checkpoint folder exists (tests, a single
-    machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="logweave-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/logweave/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, cutting its lineage.
-
-    The table survives the loss of any executor, unlike a local checkpoint.
-    """
-    spark = df.sparkSession
-    path = new_table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Ship the package, and send whole texts to Python in batches of bounded memory."""
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
