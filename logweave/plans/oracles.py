@@ -167,4 +167,11 @@ ORACLES: dict[str, str] = {
     "system_stats": f"SELECT count(*) AS users, count(*) FILTER (is_admin) AS admins, sum(project_count)::BIGINT AS projects, sum(file_count)::BIGINT AS files FROM ({_USERS})",
     "pipeline_status": f"SELECT state, count(*) AS files, (SELECT bool_and(state IN ('indexed', 'error')) FROM ({_MANIFEST})) AS all_done FROM ({_MANIFEST}) GROUP BY 1",
     "file_sizes": f"SELECT project_id, round(sum(file_size) / 1048576.0, 2) AS mb FROM ({_FILES}) GROUP BY 1",
+    "render_lines": f"SELECT line_no, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || loglines AS shown, line_no // 1000 + 1 AS page FROM ({_PARSED})",
+    "similarity_bands": f"SELECT query_id, CASE WHEN similarity >= 0.8 THEN 'high' WHEN similarity < 0.5 THEN 'low' ELSE 'medium' END AS band, count(*) AS n FROM ({_topk('vec_id % 100 = 0', 20)}) GROUP BY ALL",
+    "file_stems": f"SELECT lower(regexp_replace(original_name, '[.][^.]*$', '')) AS stem, count(*) AS n FROM ({_FILES}) GROUP BY 1",
+    "stream_template_counts": f"""SELECT start, template, count(*) AS count FROM (SELECT date_trunc('hour', timestamp) AS start, template FROM ({_TEMPLATES}))
+ WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('second', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+    "stream_dedupe": f"SELECT DISTINCT strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || loglines AS line FROM ({_PARSED})",
+    "stream_latest_status": "SELECT user_id::VARCHAR AS device, event_type AS key, date_trunc('second', max(ts)) AS time FROM events GROUP BY ALL",
 }

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import entity_spans as spans_of
 from ..functions.telemetry import flatten_json as flatten, kv_split as split_packed, parse_size as size_of
-from ..functions.text import MASKS, mask_values as mask, normalise_member_name as member_name, size_mb, tokenise
+from ..functions.text import MASKS, file_stem, line_page, mask_values as mask, normalise_member_name as member_name, render_line, similarity_band, size_mb, tokenise
 from ..operators import catalog, ingest, search, templates, vectors
 from ..operators import rules as rule_ops
 from ..operators import telemetry as tel
 from ..sources.logs import reports_of
-from ..session import configure
+from ..session import configure, new_table_path
+from ..streaming import streams
 from . import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,3 +427,58 @@ def pipeline_status(spark, sf_dir):
 @query
 def file_sizes(spark, sf_dir):
     return inputs.files(spark, sf_dir).groupBy("project_id").agg(size_mb(F.sum("file_size")).alias("mb"))
+
+
+@query
+def render_lines(spark, sf_dir):
+    e = inputs.parsed_events(spark, sf_dir)
+    return e.select("line_no", render_line(F.col("timestamp"), F.col("loglines")).alias("shown"), line_page(F.col("line_no") + 1).alias("page"))
+
+
+@query
+def similarity_bands(spark, sf_dir):
+    v = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.vector_topk(v, q, 20).groupBy("query_id", similarity_band(F.col("similarity")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query
+def file_stems(spark, sf_dir):
+    f = inputs.files(spark, sf_dir)
+    return f.groupBy(file_stem(F.col("original_name")).alias("stem")).agg(F.count("*").alias("n"))
+
+
+def _stream(spark, sf_dir, name: str, build, mode: str) -> DataFrame:
+    """Events as text files, read by ``build``'s stream until none is left; the rows it has written."""
+    source, target = new_table_path(spark, f"{name}-in"), new_table_path(spark, f"{name}-out")
+    e = inputs.table(spark, sf_dir, "events")
+    # Local time order over the files, so that no line is late.
+    lines = e.select(F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(" "), inputs.event_line(e)).alias("value"))
+    lines.repartitionByRange(2, "value").sortWithinPartitions("value").write.text(source)
+    out = build(streams.stream_log_lines(spark, source))
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{target}-state").trigger(availableNow=True)
+    if mode == "append":
+        started = writer.format("parquet").start(target)
+    else:
+        started = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).start()
+    started.awaitTermination()
+    return spark.read.schema(out.schema).parquet(target)
+
+
+@query
+def stream_template_counts(spark, sf_dir):
+    return _stream(spark, sf_dir, "counts", lambda x: streams.stream_template_counts(x, "10 minutes", "1 hour"), "append")
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    return _stream(spark, sf_dir, "dedupe", lambda x: streams.stream_dedupe(x.withColumn("file", F.lit("one")), "1 hour"), "append").select("line")
+
+
+@query
+def stream_latest_status(spark, sf_dir):
+    def build(lines):
+        part = lambda p: F.regexp_extract("loglines", p, 1)
+        return streams.stream_latest_status(lines.select(part(r"user=(\d+)").alias("device"), part(r"^\[(\w+)\]").alias("key"), F.col("ts").alias("time"), F.col("loglines").alias("value")))
+
+    return _stream(spark, sf_dir, "latest", build, "complete").select("device", "key", F.col("time").cast("timestamp_ntz").alias("time"))

@@ -1,13 +1,14 @@
-"""Session settings that the operators rely on, and the package's way to the executors."""
+"""Session settings that the operators rely on, tables in the shared folder, and the package's way to the executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps time stamps naive; a repeated key of a packed column keeps its last value.
 #: Whole texts go to Python in small batches, so that a task's memory stays bounded.
@@ -27,6 +28,37 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where neither the setting nor a checkpoint folder exists (tests, a single
+    machine) a temporary folder is made and set.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="logweave-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/logweave/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, cutting its lineage.
+
+    The table survives the loss of any executor, unlike a local checkpoint.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, by Spark's own file server."""
     sc = spark.sparkContext
