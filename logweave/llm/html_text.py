@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialise, ship
 
 #: Pages of one host, with different main text, on which a subtree has to stand to count as template.
 MANY_PAGES = 5
@@ -196,7 +196,7 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", ma
     """
     ship(pages.sparkSession)
     key = F.xxhash64(url_col, html_col)
-    host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
+    host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,11 +209,12 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", ma
                 hosts += [h] * len(found)
                 prints += [content] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(prints, pa.int64())], ["_key", "_host", "hash", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64()), pa.array(prints, pa.int64())], ["_key", "_host", "hash", "content"])
 
-    seen = pages.select(key.alias("_key"), host.alias("_host"), F.col(html_col).alias("_html")).mapInArrow(hashed, "_key bigint, _host string, hash bigint, content bigint").checkpoint()
+    seen = pages.select(key.alias("_key"), host.alias("_host"), F.col(html_col).alias("_html")).mapInArrow(hashed, "_key bigint, _host bigint, hash bigint, content bigint")
+    seen = materialise(seen, "subtrees")
     template = seen.select("_host", "hash", "content").distinct().groupBy("_host", "hash").count().where(F.col("count") >= many).select("_host", "hash")
-    gone = seen.select("_key", "_host", "hash").distinct().join(template, ["_host", "hash"]).groupBy("_key").agg(F.collect_set("hash").alias("_gone"))
+    gone = seen.select("_key", "_host", "hash").join(template, ["_host", "hash"]).groupBy("_key").agg(F.collect_set("hash").alias("_gone"))
 
     others = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
     kept = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html_col).alias("_html"), key.alias("_key")).join(gone, "_key", "left")
