@@ -43,6 +43,12 @@ def tokenise(line: Column, delimiters: str = DELIMITERS) -> Column:
     return F.split(F.trim(F.regexp_replace(F.trim(line), f"[{inner} ]+", " ")), " ")
 
 
+def mining_prefix(words: Column, depth: int) -> Column:
+    """The words by which similar lines are looked up: a third of them from the left, 1 to ``depth - 2``; those with digits count alike."""
+    n = F.least(F.lit(max(depth - 2, 1)), F.greatest(F.lit(1), F.floor(F.size(words) / 3))).cast("int")
+    return F.array_join(F.transform(F.slice(words, F.lit(1), n), lambda w: F.when(w.rlike(r"\d"), F.lit("<*>")).otherwise(w)), " ")
+
+
 def strip_ansi(text: Column) -> Column:
     """Text without terminal colour codes."""
     return F.regexp_replace(text, r"\x1b\[[0-9;]*m", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.entities import ENTITIES
@@ -62,10 +62,11 @@ def context_window(parsed: DataFrame, anchors: DataFrame, seconds: int) -> DataF
 
 def entity_counts(lines: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Occurrences of entities by file, kind and text, with Spark's own functions."""
-    parts = [
-        F.transform(F.regexp_extract_all("line", F.lit(f"(?i)({pattern})"), 1), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
-        for kind, pattern in ENTITIES
-        if kinds is None or kind in kinds
-    ]
+
+    def named(kind: str, pattern: str) -> Column:
+        texts = F.regexp_extract_all("line", F.lit(f"(?i)({pattern})"), 1)
+        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+
+    parts = [named(kind, pattern) for kind, pattern in ENTITIES if kinds is None or kind in kinds]
     found = lines.select("file", F.explode(reduce(F.concat, parts)).alias("e"))
     return found.groupBy("file", F.col("e.kind").alias("kind"), F.col("e.text").alias("text")).agg(F.count("*").alias("count"))

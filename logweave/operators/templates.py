@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import DELIMITERS, MASKS, clean_template, mask_values, tokenise
+from ..functions.text import DELIMITERS, MASKS, clean_template, mask_values, mining_prefix, tokenise
 
 #: Bins of a histogram by name. Fixed values.
 BINS = {"1s": ("second", "1 second"), "1min": ("minute", "1 minute"), "1h": ("hour", "1 hour"), "1d": ("day", "1 day")}
 WILDCARD = "<*>"
+#: Masks whose values may hold blanks or delimiters.
+_LOOSE = frozenset("DATETIME MAC MAC_CIDR IPv6 IPv6_PORT IP_PORT VERSION THREADID".split())
 
 
 def mask_templates(lines: DataFrame, masks: tuple[tuple[str, str], ...] = MASKS) -> DataFrame:
@@ -50,15 +52,13 @@ def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, ma
     """Parsed lines (``file``, ``line_no``, ``loglines``, ..) with ``template`` and ``parameter_list``.
 
     Lines are masked and split into words; only distinct word lists go on. They are put into
-    buckets by length and their first ``depth - 2`` words (words with digits count alike),
-    clustered inside each bucket, and joined back. All lines of a cluster get its final
+    buckets by length and first words (``mining_prefix``), clustered inside each bucket, and joined back. All lines of a cluster get its final
     template, whatever the partitioning.
     """
     rows = lines.withColumn("_tokens", tokenise(mask_values(F.col("loglines"), masks)))
     order = F.struct(F.col("file"), F.col("line_no"))
     shapes = rows.groupBy("_tokens").agg(F.min(order).alias("at"))
-    prefix = F.transform(F.slice("_tokens", 1, max(depth - 2, 1)), lambda w: F.when(w.rlike(r"\d"), F.lit(WILDCARD)).otherwise(w))
-    shapes = shapes.select(F.col("_tokens").alias("tokens"), F.concat_ws(" ", "at.file", F.lpad(F.col("at.line_no").cast("string"), 20, "0")).alias("first"), F.size("_tokens").alias("n"), F.array_join(prefix, " ").alias("prefix"))
+    shapes = shapes.select(F.col("_tokens").alias("tokens"), F.concat_ws(" ", "at.file", F.lpad(F.col("at.line_no").cast("string"), 20, "0")).alias("first"), F.size("_tokens").alias("n"), mining_prefix(F.col("_tokens"), depth).alias("prefix"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         return cluster_shapes(pdf, similarity, max_clusters)
@@ -73,12 +73,14 @@ def extract_parameters(templates: pd.Series, lines: pd.Series) -> pd.Series:
     """Values in a line at its template's wildcards and masks, from left to right; none if it does not fit."""
     compiled: dict[str, re.Pattern] = {}
     gap = f"[\\s{re.escape(DELIMITERS)}]+"
+    # A wildcard stands for one word, so that a line that does not fit fails fast.
+    value = lambda m: "(.+?)" if m[1] in _LOOSE else f"([^\\s{re.escape(DELIMITERS)}]+?)"
 
     def one(template: str | None, line: str | None) -> list[str]:
         if template is None or line is None:
             return []
         if template not in compiled:
-            words = [re.sub(r"<(?:\\\*|[A-Za-z0-9_]+)>", "(.+?)", re.escape(w)) for w in template.split(" ")]
+            words = [re.sub(r"<(\\\*|[A-Za-z0-9_]+)>", value, re.escape(w)) for w in template.split(" ")]
             edge = f"[\\s{re.escape(DELIMITERS)}]*"
             compiled[template] = re.compile(f"^{edge}{gap.join(words)}{edge}$", re.S)
         m = compiled[template].match(line)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import MASKS, mask_values, tokenise
+from ..functions.text import MASKS, mask_values, mining_prefix, tokenise
 from ..functions.timestamps import message, parse_timestamp, raw_timestamp
 from ..operators.templates import WILDCARD
 
@@ -71,8 +71,7 @@ def stream_mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int
     taken from the latest row. Needs the RocksDB state store.
     """
     tokens = tokenise(mask_values(F.col("loglines"), MASKS))
-    prefix = F.transform(F.slice("tokens", 1, max(depth - 2, 1)), lambda w: F.when(w.rlike(r"\d"), F.lit(WILDCARD)).otherwise(w))
-    rows = lines.select(tokens.alias("tokens")).select("tokens", F.concat_ws(" ", F.size("tokens").cast("string"), F.array_join(prefix, " ")).alias("bucket"))
+    rows = lines.select(tokens.alias("tokens")).select("tokens", F.concat_ws(" ", F.size("tokens").cast("string"), mining_prefix(F.col("tokens"), depth)).alias("bucket"))
     return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Clusters(similarity, max_clusters), outputStructType="bucket string, cluster int, template string, lines bigint", outputMode="append", timeMode="None"
     )
