@@ -113,7 +113,7 @@ ORACLES: dict[str, str] = {
     "page_stats": f"SELECT file, count(*) AS total, ceil(count(*) / 1000.0)::BIGINT AS total_pages FROM ({_DOCS}) GROUP BY 1",
     "context_window": f"""WITH t AS ({_TEMPLATES}) SELECT a.line_no AS anchor_id, t.file, t.line_no, t.template = a.template AS is_selected FROM t JOIN t a ON t.file = a.file AND a.line_no % 100 = 0
  AND t.timestamp BETWEEN a.timestamp - INTERVAL 300 SECOND AND a.timestamp + INTERVAL 300 SECOND""",
-    "entity_counts": _WITH_DOCS
+    "entity_counts": f"WITH docs AS ({_DOCS} UNION ALL SELECT file, line_no, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || loglines FROM ({_PARSED})) "
     + "SELECT file, kind, text, count(*) AS count FROM ("
     + _entities(
         (

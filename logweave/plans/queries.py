@@ -202,7 +202,8 @@ def context_window(spark, sf_dir):
 
 @query
 def entity_counts(spark, sf_dir):
-    return search.entity_counts(_text(spark, sf_dir, "documents"), ["mac", "module", "error", "warning", "info", "debug"])
+    both = _text(spark, sf_dir, "documents").unionByName(inputs.event_logs(spark, sf_dir))
+    return search.entity_counts(both, ["mac", "module", "error", "warning", "info", "debug"])
 
 
 @query
