@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of an id bitmap: a fixed 8 MB.
+BITMAP_BITS = 26
+
+
+def bitmap_of(names: DataFrame, column: str) -> np.ndarray:
+    """Bitmap (64 bits a number) with the bits of the numbers in a bigint column, by their first ``BITMAP_BITS`` bits."""
+    bits = names.select(F.shiftrightunsigned(column, 64 - BITMAP_BITS).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # at most 2**(BITMAP_BITS - 6) rows of 16 bytes
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every id in ``edges`` (columns ``a`` and ``b``, bigint).
 
