@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import DELIMITERS, MASKS, clean_template, mask_values, mining_prefix, tokenise
+from ..session import materialise
 
 #: Bins of a histogram by name. Fixed values.
 BINS = {"1s": ("second", "1 second"), "1min": ("minute", "1 minute"), "1h": ("hour", "1 hour"), "1d": ("day", "1 day")}
@@ -23,48 +28,120 @@ def mask_templates(lines: DataFrame, masks: tuple[tuple[str, str], ...] = MASKS)
     return lines.withColumn("template", mask_values(F.col("loglines"), masks))
 
 
-def cluster_shapes(shapes: pd.DataFrame, similarity: float, max_clusters: int) -> pd.DataFrame:
-    """Templates of word lists of equal length, given in columns ``tokens`` and ``first``.
+def cluster_words(lists: list[list[str]], similarity: float) -> list[list[str]]:
+    """Templates of word lists of equal length, one a list, in the order given.
 
-    In order of ``first`` (then of the words) each list joins the cluster with the largest
-    share of equal words, if that reaches ``similarity``; else it begins a new one, or joins
-    the nearest when there are ``max_clusters``. Words in which members differ are wildcards.
+    Each list joins the cluster with the largest share of equal words, if that reaches
+    ``similarity``; else it begins a new one. Words in which members differ are wildcards.
+    """
+    if len(lists) == 1:
+        return [list(lists[0])]
+    codes = {WILDCARD: 0}
+    coded = np.array([[codes.setdefault(w, len(codes)) for w in words] for words in lists], np.int32)
+    clusters, used, member = np.empty_like(coded), 0, []
+    for words in coded:
+        if used:
+            equal = (clusters[:used] == words).sum(1)
+            best = int(equal.argmax())
+            if equal[best] / max(len(words), 1) >= similarity:
+                member.append(best)
+                clusters[best][clusters[best] != words] = 0
+                continue
+        member.append(used)
+        clusters[used] = words
+        used += 1
+    names = list(codes)
+    found = [[names[c] for c in cluster] for cluster in clusters[:used].tolist()]
+    return [found[k] for k in member]
+
+
+def cluster_shapes(shapes: pd.DataFrame, similarity: float, max_clusters: int) -> pd.DataFrame:  # noqa: ARG001
+    """``cluster_words`` of the lists in column ``tokens``, in order of ``first`` (then of the words).
+
+    ``max_clusters`` forces no list into a cluster; ``mine_templates`` bounds its buckets by it.
     """
     shapes = shapes.assign(_words=shapes["tokens"].map(tuple)).sort_values(["first", "_words"])
-    clusters: list[list[str]] = []
-    member = []
-    for words in shapes["_words"]:
-        best, share = -1, -1.0
-        for k, cluster in enumerate(clusters):
-            equal = sum(a == b for a, b in zip(cluster, words)) / max(len(words), 1)
-            if equal > share:
-                best, share = k, equal
-        if best < 0 or (share < similarity and len(clusters) < max_clusters):
-            member.append(len(clusters))
-            clusters.append(list(words))
-        else:
-            member.append(best)
-            clusters[best] = [a if a == b else WILDCARD for a, b in zip(clusters[best], words)]
-    return pd.DataFrame({"tokens": list(shapes["tokens"]), "template": [" ".join(clusters[k]) for k in member]})
+    found = cluster_words([list(w) for w in shapes["_words"]], similarity) if len(shapes) else []
+    return pd.DataFrame({"tokens": list(shapes["tokens"]), "template": [" ".join(t) for t in found]})
+
+
+def _cluster_parts(items: DataFrame, similarity: float) -> DataFrame:
+    """``template`` (as words) of the word lists of each part of a bucket (``key``, ``part``, ``words``, ``first``); only the part at hand is held in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = None, [], None
+
+        def flush() -> pa.RecordBatch:
+            found = pa.array(cluster_words(held, similarity), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(held), pa.string()), pa.array([size] * len(held), pa.int64()), pa.array(held, pa.list_(pa.string())), found], ["key", "size", "words", "template"])
+
+        for batch in batches:
+            out = []
+            for key, part, n, words in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "size", "words"))):
+                if (key, part) != at:
+                    if held:
+                        out.append(flush())
+                    at, held, size = (key, part), [], n
+                held.append(words)
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if held:
+            yield flush()
+
+    spread = items.repartition("key", "part").sortWithinPartitions("key", "part", "first", "words")
+    return spread.select("key", "part", "size", "words").mapInArrow(run, "key string, size bigint, words array<string>, template array<string>")
+
+
+def _split_key(rest: DataFrame) -> DataFrame:
+    """``rest`` with longer keys for buckets of which clustering has left more than half: by the words at the position with the fewest different ones.
+
+    Words with digits count alike, as in ``mining_prefix``, unless all lists are alike then.
+    """
+    lists = rest.select("key", "size", "words").distinct()
+    full = lists.groupBy("key", "size").count().where(F.col("count") > F.col("size") / 2).select("key")
+    plain = F.when(F.col("word").rlike(r"\d"), WILDCARD).otherwise(F.col("word"))
+    at = lists.join(full, "key").select("key", F.posexplode("words").alias("pos", "word"))
+    counts = at.groupBy("key", "pos").agg(F.count_distinct(plain).alias("plain"), F.count_distinct("word").alias("exact")).where("exact > 1")
+    best = F.min(F.struct((F.col("plain") <= 1).alias("exact"), F.when(F.col("plain") > 1, F.col("plain")).otherwise(F.col("exact")).alias("n"), "pos"))
+    chosen = counts.groupBy("key").agg(best.alias("_at"))
+    rest = rest.join(chosen, "key", "left").withColumn("word", F.get("words", F.col("_at.pos")))
+    longer = F.concat_ws("\x01", "key", F.col("_at.pos").cast("string"), F.when(F.col("_at.exact"), F.col("word")).otherwise(plain))
+    return rest.withColumn("key", F.when(F.col("_at").isNull(), F.col("key")).otherwise(longer)).drop("_at", "word")
 
 
 def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, max_clusters: int = 1024, masks: tuple[tuple[str, str], ...] = MASKS) -> DataFrame:
     """Parsed lines (``file``, ``line_no``, ``loglines``, ..) with ``template`` and ``parameter_list``.
 
     Lines are masked and split into words; only distinct word lists go on. They are put into
-    buckets by length and first words (``mining_prefix``), clustered inside each bucket, and joined back. All lines of a cluster get its final
-    template, whatever the partitioning.
+    buckets by length and first words (``mining_prefix``), clustered inside each bucket, and
+    joined back. All lines of a cluster get its final template, whatever the partitioning.
+
+    A bucket of more than ``max_clusters`` lists is dealt by hash into parts, which are
+    clustered apart; their templates are clustered again, until so few are left. Where that
+    leaves more than half, the bucket is split by one more word. No list is forced into a cluster.
     """
     rows = lines.withColumn("_tokens", tokenise(mask_values(F.col("loglines"), masks)))
     order = F.struct(F.col("file"), F.col("line_no"))
-    shapes = rows.groupBy("_tokens").agg(F.min(order).alias("at"))
-    shapes = shapes.select(F.col("_tokens").alias("tokens"), F.concat_ws(" ", "at.file", F.lpad(F.col("at.line_no").cast("string"), 20, "0")).alias("first"), F.size("_tokens").alias("n"), mining_prefix(F.col("_tokens"), depth).alias("prefix"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        return cluster_shapes(pdf, similarity, max_clusters)
-
-    templates = shapes.groupBy("n", "prefix").applyInPandas(cluster, "tokens array<string>, template string")
-    found = rows.join(templates.withColumnRenamed("tokens", "_tokens"), "_tokens", "left").drop("_tokens")
+    shapes = rows.where("_tokens is not null").groupBy("_tokens").agg(F.min(order).alias("at"))
+    first = F.concat_ws(" ", "at.file", F.lpad(F.col("at.line_no").cast("string"), 20, "0"))
+    key = F.concat_ws(" ", F.size("_tokens").cast("string"), mining_prefix(F.col("_tokens"), depth))
+    open_ = materialise(shapes.select(F.col("_tokens").alias("tokens"), F.col("_tokens").alias("words"), first.alias("first"), key.alias("key")), "shapes")
+    done = []
+    while True:
+        items = open_.groupBy("key", "words").agg(F.min("first").alias("first"))
+        large = materialise(items.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > max_clusters), "large")
+        part = F.coalesce(F.pmod(F.xxhash64("words"), F.ceil(F.col("size") / max_clusters) * 2), F.lit(0))
+        found = _cluster_parts(items.join(large, "key", "left").withColumn("part", part), similarity)
+        found = open_.join(found, ["key", "words"])
+        if large.isEmpty():
+            done.append(found.select("tokens", "template"))
+            break
+        found = materialise(found, "clustered")
+        done.append(found.where("size is null").select("tokens", "template"))
+        rest = found.where("size is not null").select("tokens", F.col("template").alias("words"), "first", "key", "size")
+        open_ = materialise(_split_key(rest).drop("size"), "open")
+    templates = reduce(DataFrame.unionByName, done).select(F.col("tokens").alias("_tokens"), F.array_join("template", " ").alias("template"))
+    found = rows.join(templates, "_tokens", "left").drop("_tokens")
     return found.withColumn("parameter_list", extract_parameters("template", "loglines"))
 
 
