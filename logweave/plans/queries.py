@@ -113,7 +113,7 @@ def mine_templates(spark, sf_dir):
 
 @query
 def mine_document_templates(spark, sf_dir):
-    lines = inputs.document_lines(spark, sf_dir).where("length(line) <= 80").withColumnRenamed("line", "loglines")
+    lines = inputs.document_lines(spark, sf_dir).withColumnRenamed("line", "loglines")
     return templates.mine_templates(lines).select("file", "line_no", "template")
 
 

@@ -2,6 +2,8 @@
 
 from logweave.operators import templates
 from logweave.operators.templates import WILDCARD
+from logweave.plans import inputs
+from logweave.plans.queries import QUERIES
 
 PARSED = "file string, line_no bigint, loglines string"
 
@@ -11,6 +13,13 @@ def mined(spark, lines, **options):
     return {r.loglines: r.template for r in templates.mine_templates(rows, **options).select("loglines", "template").collect()}
 
 
+def test_every_document_line_gets_a_template(spark, sf_dir):
+    lines = inputs.document_lines(spark, sf_dir)
+    assert lines.where("length(line) > 80").count() > 0
+    found = QUERIES["mine_document_templates"](spark, sf_dir)
+    assert found.where("template is not null").select("file", "line_no").distinct().count() == lines.count()
+
+
 def test_full_buckets_are_split_not_forced(spark):
     names = [a + b + c for a in "qwert" for b in "zxcvb" for c in "asdfg"]
     different = [f"go {n} {n}x {n}y" for n in names]
