@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import inner_product, normalise_vector
+from ..session import materialise, new_table_path
 
 DIMENSIONS = 384
-#: Queries of one search; they are broadcast.
+#: Queries of one block, which are broadcast.
 MAX_QUERIES = 10_000
 
 
@@ -42,21 +43,55 @@ def embed_templates(counts: DataFrame, encoder: Callable[[pd.Series], pd.Series]
     return counts.join(distinct, "template").select("file", "template", F.col("count").alias("frequency"), "embedding")
 
 
+def _query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """Queries in blocks of at most ``MAX_QUERIES``, each small enough to be broadcast."""
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return [queries]
+    stored = materialise(queries.withColumn("_id", F.monotonically_increasing_id()), "queries")
+    part = F.shiftright("_id", 33)
+    counts = sorted(map(tuple, stored.groupBy(part.alias("part")).count().collect()))
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    offsets = queries.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(counts, before)], "_part bigint, _before bigint")
+    number = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = stored.join(F.broadcast(offsets), part == F.col("_part")).withColumn("_block", F.floor(number / MAX_QUERIES)).drop("_id", "_part", "_before")
+    rows = materialise(rows, "query-blocks")
+    return [rows.where(F.col("_block") == k).drop("_block") for k in range(-(-before[-1] // MAX_QUERIES))]
+
+
+def _by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` of each block of queries, united. Of several blocks one is searched and stored at a time."""
+    blocks = _query_blocks(queries)
+    if len(blocks) == 1:
+        return search(blocks[0])
+    path = new_table_path(queries.sparkSession, "topk")
+    for block in blocks:
+        found = search(block)
+        found.write.mode("append").parquet(path)
+    return queries.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _ranked(scored: DataFrame, ties: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *ties)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("similarity", F.round("similarity", 4))
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` rows of largest inner product with each query (``query_id``, ``query``), exactly.
 
-    Queries are made unit vectors and broadcast (more than ``MAX_QUERIES`` are refused);
-    vectors are never shuffled, and each task cuts its candidates to ``k`` a query first.
+    Queries are made unit vectors and broadcast, in blocks of at most ``MAX_QUERIES``; a
+    query's rows are complete inside its block, so its ``query_id`` must be its own. Vectors
+    are never shuffled, and each task cuts its candidates to ``k`` a query first.
     Ties are taken by the other columns. Adds ``similarity`` (four digits) and ``rank``.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
     held = queries.select("query_id", normalise_vector(F.col("query")).alias("query"))
-    scored = vectors.crossJoin(F.broadcast(held)).withColumn("similarity", inner_product(F.col("embedding"), F.col("query")))
     ties = [c for c in vectors.columns if c != "embedding"]
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *ties)
-    ranked = scored.drop("query").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.withColumn("similarity", F.round("similarity", 4))
+
+    def search(block: DataFrame) -> DataFrame:
+        scored = vectors.crossJoin(F.broadcast(block)).withColumn("similarity", inner_product(F.col("embedding"), F.col("query")))
+        return _ranked(scored.drop("query"), ties, k)
+
+    return _by_blocks(held, search)
 
 
 def approx_topk(vectors: DataFrame, query: list[float], k: int = 5, bucket: float = 0.5, tables: int = 8) -> DataFrame:

@@ -1,6 +1,8 @@
 """Queries and operators do the whole job: nothing is left out, capped or forced."""
 
-from logweave.operators import templates
+from pyspark.sql import functions as F
+
+from logweave.operators import templates, vectors
 from logweave.operators.templates import WILDCARD
 from logweave.plans import inputs
 from logweave.plans.queries import QUERIES
@@ -30,3 +32,13 @@ def test_full_buckets_are_split_not_forced(spark):
     # Words with digits, which count alike at first.
     found = mined(spark, [f"x{n}1y" for n in names], max_clusters=8)
     assert all(k == v for k, v in found.items())
+
+
+def test_more_queries_than_one_block(spark, sf_dir, monkeypatch):
+    v = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).repartition(3)
+    want = sorted(map(tuple, vectors.vector_topk(v, q, 5).select("query_id", "vec_id", "similarity", "rank").collect()))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
+    assert len(want) > 5 * 7
+    assert sorted(map(tuple, vectors.vector_topk(v, q, 5).select("query_id", "vec_id", "similarity", "rank").collect())) == want
+    assert max(b.count() for b in vectors._query_blocks(q)) == 7
