@@ -94,17 +94,43 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     return _by_blocks(held, search)
 
 
-def approx_topk(vectors: DataFrame, query: list[float], k: int = 5, bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """About the ``k`` nearest rows to one query by locality-sensitive hashing of distances."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    rows = vectors.withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=7).fit(rows)
-    size = float(np.linalg.norm(query)) or 1.0
-    found = model.approxNearestNeighbors(rows, Vectors.dense([x / size for x in query]), k, distCol="_d")
-    return found.withColumn("similarity", F.round(1 - F.col("_d") * F.col("_d") / 2, 4)).drop("_v", "_h", "_d")
+def approx_topk(vectors: DataFrame, queries: DataFrame | list[float], k: int = 5, bucket: float = 0.5, tables: int = 8) -> DataFrame:
+    """About the ``k`` rows of largest inner product with each query, by locality-sensitive hashing of directions.
+
+    Unit vectors are hashed by ``tables`` random projections, cut into buckets of length
+    ``bucket``; rows that share a bucket with a query in any table are compared with it
+    exactly. Queries (``query_id``, ``query``; or one list) are broadcast in blocks, as in
+    ``vector_topk``, whose columns the result has.
+    """
+    if not isinstance(queries, DataFrame):
+        queries = vectors.sparkSession.createDataFrame([(0, [float(x) for x in queries])], "query_id int, query array<double>")
+
+    @F.pandas_udf("array<int>")
+    def hashed(rows: pd.Series) -> pd.Series:
+        def one(v: np.ndarray | None) -> list[int]:
+            if v is None:
+                return []
+            if len(v) not in axes:
+                drawn = np.random.default_rng(7).normal(size=(tables, len(v)))
+                axes[len(v)] = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+            return np.floor(axes[len(v)] @ np.asarray(v, float) / bucket).astype(int).tolist()
+
+        axes: dict[int, np.ndarray] = {}
+        return rows.map(one, na_action=None)
+
+    held = queries.select("query_id", normalise_vector(F.col("query")).alias("query"))
+    ties = [c for c in vectors.columns if c != "embedding"]
+    rows = vectors.withColumn("_h", hashed(normalise_vector(F.col("embedding")))).select("*", F.posexplode("_h").alias("_table", "_bucket"))
+
+    def search(block: DataFrame) -> DataFrame:
+        wanted = block.withColumn("_q", hashed("query")).select("*", F.posexplode("_q").alias("_table", "_bucket"))
+        pairs = rows.join(F.broadcast(wanted), ["_table", "_bucket"])
+        agree = F.zip_with("_h", "_q", lambda a, b: a == b)
+        first = pairs.where(F.array_position(agree, True) == F.col("_table") + 1)  # a pair once
+        scored = first.withColumn("similarity", inner_product(F.col("embedding"), F.col("query")))
+        return _ranked(scored.drop("query", "_h", "_q", "_table", "_bucket"), ties, k)
+
+    return _by_blocks(held, search)
 
 
 def drilldown_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:

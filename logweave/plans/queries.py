@@ -361,8 +361,8 @@ def vector_topk_batch(spark, sf_dir):
 @query
 def approx_topk(spark, sf_dir):
     v = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    first = v.where("vec_id = 7").first()
-    return vectors.approx_topk(v, list(first["embedding"]), 5).select("vec_id", "similarity")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.approx_topk(v, q, 5).select("query_id", "vec_id", "similarity", "rank")
 
 
 @query

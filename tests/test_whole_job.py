@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: nothing is left out, capped or forced."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import templates, vectors
@@ -42,3 +43,10 @@ def test_more_queries_than_one_block(spark, sf_dir, monkeypatch):
     assert len(want) > 5 * 7
     assert sorted(map(tuple, vectors.vector_topk(v, q, 5).select("query_id", "vec_id", "similarity", "rank").collect())) == want
     assert max(b.count() for b in vectors._query_blocks(q)) == 7
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_recall_of_approximate_search(spark, folder):
+    exact, near = ({(r.query_id, r.vec_id) for r in QUERIES[n](spark, folder).collect()} for n in ("vector_topk_batch", "approx_topk"))
+    assert {q for q, _ in near} == {q for q, _ in exact}
+    assert len(exact & near) >= 0.9 * len(exact)
