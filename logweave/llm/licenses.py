@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from .chunks import Ragged, blocks
 from .common import ship
+from .license_texts import TEXTS
 from .words import mix, shingles, word_chunks
 
 #: Words of a shingle, share of a template's shingles a window needs, hash functions (one a band).
@@ -19,7 +20,7 @@ WORDS, CONTAINMENT, BANDS = 5, 0.8, 32
 #: Windows begin at every n-th shingle, n being the template's shingles over STEPS (1 at least).
 STEPS = 8
 
-#: Notices by which texts name their license. Fixed values.
+#: Notices by which texts name their license, and full texts. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -32,18 +33,27 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    **TEXTS,
 }
 
 _TRIM = ".,;:!?\"'()[]{}<>*_`~“”‘’«»…-"
 
 
-def _hashed_words(texts: pa.Array) -> Ragged:
-    """Hashes of lower-case words without punctuation around them."""
+def _hashed_words(texts: pa.Array) -> tuple[Ragged, Ragged]:
+    """Hashes of lower-case words without punctuation around them, and each word's position in its text; words of punctuation alone are left out."""
     words, at, counts = word_chunks(pc.utf8_lower(texts))
     trimmed = pc.utf8_trim(words, characters=_TRIM)
     trimmed = pc.if_else(pc.equal(trimmed, ""), words, trimmed)
     hashes = pd.util.hash_array(trimmed.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
-    return Ragged(hashes[at], counts)
+    kept = pc.match_substring_regex(words, r"[\pL\pN]").to_numpy(zero_copy_only=False)[at] if len(words) else np.zeros(0, bool)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    places = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    left = np.bincount(owner[kept], minlength=len(counts))
+    return Ragged(hashes[at][kept], left), Ragged(places[kept], left)
 
 
 class Templates:
@@ -51,7 +61,7 @@ class Templates:
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
-        rows = shingles(_hashed_words(pa.array(list(templates.values()), pa.large_string())), WORDS)
+        rows = shingles(_hashed_words(pa.array(list(templates.values()), pa.large_string()))[0], WORDS)
         self.sets = [np.unique(x) for x in rows]
         self.lens = [max(len(x), 1) for x in rows]
         self.seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -60,8 +70,8 @@ class Templates:
         self.seen = np.zeros(1 << 16, bool)  # first 16 bits of the shingles
         self.seen[self.all >> np.uint64(48)] = True
 
-    def find(self, row: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(template, first word, words, containment) of the best window for each template found in a text's shingles."""
+    def find(self, row: np.ndarray, places: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """(template, first word, words, containment) of the best window for each template found in a text's shingles; ``places``: positions of its words."""
         values = mix(row[None, :] ^ self.seeds[:, None])
         out = []
         for name, wanted, low, n in zip(self.names, self.sets, self.low, self.lens):
@@ -77,7 +87,8 @@ class Templates:
                 share = len(np.unique(row[a : a + size][inside])) / len(wanted)
                 if share >= CONTAINMENT and (best is None or share > best[3]):
                     hits = np.flatnonzero(inside)
-                    best = (name, a + int(hits[0]), int(hits[-1] - hits[0]) + WORDS, share)
+                    first, last = places[a + hits[0]], places[min(a + hits[-1] + WORDS, len(places)) - 1]
+                    best = (name, int(first), int(last - first) + 1, share)
             if best:
                 out.append(best)
         return out
@@ -88,7 +99,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
     Method: windows of a template's length (an eighth more for long ones), overlapping so that
     one of them covers any occurrence, are hashed to ``BANDS`` MinHash values of their
-    five-word shingles; a window that agrees with a template in any one value (a band of one
+    five-word shingles (words of punctuation alone, such as comment marks, are left out; spans
+    count them); a window that agrees with a template in any one value (a band of one
     row) is a candidate, and its exact containment of the template's distinct shingles must
     reach 0.8. Such a window has a similarity of at least 0.6 with the template, so all 32
     bands miss it with a probability of at most 2e-13. Texts without any template shingle
@@ -107,12 +119,13 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
         known = Templates(held)
         for batch in batches:
             for first, texts in blocks(batch, text_col):
-                rows = shingles(_hashed_words(texts), WORDS)
+                words, places = _hashed_words(texts)
+                rows = shingles(words, WORDS)
                 hit = np.flatnonzero(known.seen[rows.flat >> np.uint64(48)])
                 hit = hit[np.isin(rows.flat[hit], known.all)]
                 owners = np.unique(np.searchsorted(rows.starts + rows.lens, hit, "right"))
                 ids = batch.column(id_col).slice(first, len(texts))
-                found = [(k, *m) for k in owners.tolist() for m in known.find(rows.flat[rows.starts[k] : rows.starts[k] + rows.lens[k]])]
+                found = [(k, *m) for k in owners.tolist() for m in known.find(rows.flat[rows.starts[k] : rows.starts[k] + rows.lens[k]], places.flat[places.starts[k] : places.starts[k] + places.lens[k]])]
                 out = {
                     id_col: ids.take(pa.array([f[0] for f in found], pa.int64())),
                     "license": pa.array([f[1] for f in found], pa.string()),
