@@ -64,6 +64,12 @@ def mask_values(spark, sf_dir):
     return inputs.document_lines(spark, sf_dir).select("file", "line_no", mask(F.col("line"), MASKS[:15]).alias("masked"))
 
 
+@query
+def mask_all_values(spark, sf_dir):
+    """``mask_values`` with every mask; DuckDB's word boundaries differ, so it has no SQL."""
+    return inputs.document_lines(spark, sf_dir).select("file", "line_no", mask(F.col("line")).alias("masked"))
+
+
 @query
 def tokenise_lines(spark, sf_dir):
     e = inputs.parsed_events(spark, sf_dir)
@@ -206,6 +212,13 @@ def entity_counts(spark, sf_dir):
     return search.entity_counts(both, ["mac", "module", "error", "warning", "info", "debug"])
 
 
+@query
+def entity_counts_all(spark, sf_dir):
+    """``entity_counts`` of every kind; DuckDB has no lookaround, so it has no SQL."""
+    both = _text(spark, sf_dir, "documents").unionByName(inputs.event_logs(spark, sf_dir))
+    return search.entity_counts(both)
+
+
 @query
 def entity_spans(spark, sf_dir):
     lines = _text(spark, sf_dir, "documents")
@@ -295,6 +308,13 @@ def telemetry_wide(spark, sf_dir):
     return tel.telemetry_wide(t, [".click", ".purchase"]).select("device", "report_id", F.col("`.click`").alias("click"), F.col("`.purchase`").alias("purchase"))
 
 
+@query
+def telemetry_wide_all(spark, sf_dir):
+    """``telemetry_wide`` of every report."""
+    t = inputs.telemetry(spark, sf_dir)
+    return tel.telemetry_wide(t, [".click", ".purchase"]).select("device", "report_id", F.col("`.click`").alias("click"), F.col("`.purchase`").alias("purchase"))
+
+
 @query
 def device_status(spark, sf_dir):
     names = {"click": "x.wan_access_mode_split", "purchase": "x.airties_edge_enable", "view": "x.wifi_radio_1_enable"}
@@ -377,6 +397,13 @@ def drilldown_hits(spark, sf_dir):
     return vectors.drilldown_hits(hits, parsed).select("file", "template", "line_no")
 
 
+@query
+def drilldown_all(spark, sf_dir):
+    """``drilldown_hits`` of every template."""
+    parsed = _masked(spark, sf_dir)
+    return vectors.drilldown_hits(templates.template_counts(parsed), parsed).select("file", "template", "line_no")
+
+
 @query
 def prompt_rows(spark, sf_dir):
     counts = templates.template_counts(_masked(spark, sf_dir)).withColumnRenamed("count", "frequency")

@@ -1,10 +1,14 @@
 """Queries and operators do the whole job: nothing is left out, capped or forced."""
 
+import re
 import textwrap
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.functions.entities import ENTITIES
+from logweave.functions.text import MASKS
 from logweave.llm import licenses
 from logweave.operators import templates, vectors
 from logweave.operators.templates import WILDCARD
@@ -69,3 +73,45 @@ def test_licenses_in_comments_and_full_texts(spark):
         found = text.split()[hit.first_word : hit.first_word + hit.n_words]
         assert [w for w in found if w not in ("#", "*", "//")] == [w for w in text.split()[1:] if w not in ("#", "*", "//")]
     assert not {d for d, _ in got} & {"none", "marks"}
+
+
+TEXT = [
+    "2024-03-01 10:00:05 GET /var/log/a.txt from 10.0.0.1 --depth=3 -v [wifi] ERROR",
+    "Mar  1 10:00:05 host 192.168.1.300 C:\\logs\\x.txt aa:bb:cc:dd:ee:ff ok",
+    "net 10.1.2.3/24 and 7.8 of 99 items, aa:bb:cc:dd:ee:ff/8, at 12:13:14 done-x --flag",
+]
+
+
+@pytest.fixture(scope="module")
+def small(spark, sf_dir, tmp_path_factory):
+    """A folder with documents of TEXT and the events of the smallest tables."""
+    folder = str(tmp_path_factory.mktemp("small"))
+    spark.createDataFrame([(1, "s", "\n".join(TEXT))], "doc_id bigint, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    inputs.table(spark, sf_dir, "events").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_all_masks(spark, small):
+    def masked(x):
+        for pattern, name in MASKS:
+            x = re.sub(pattern, f"<{name}>", x, flags=re.A)
+        return x
+
+    got = [r.masked for r in QUERIES["mask_all_values"](spark, small).orderBy("line_no").collect()]
+    assert got == [masked(x) for x in TEXT] and any("<NUM>" in x for x in got)
+
+
+def test_all_entity_kinds(spark, small):
+    lines = [("s.log", x) for x in TEXT] + [(r.file, r.line) for r in inputs.event_logs(spark, small).collect()]
+    want = Counter((f, kind, m[0]) for f, x in lines for kind, p in ENTITIES for m in re.finditer(p, x, re.I | re.A))
+    got = {(r.file, r.kind, r.text): r["count"] for r in QUERIES["entity_counts_all"](spark, small).collect()}
+    assert got == want
+    assert {k for _, k, _ in got} >= {"timestamp", "ip", "path", "cli", "mac", "module", "error", "info"}
+
+
+def test_all_reports_and_templates(spark, small):
+    events = inputs.table(spark, small, "events").collect()
+    wide = {(r.device, r.report_id): (r.click, r.purchase) for r in QUERIES["telemetry_wide_all"](spark, small).collect()}
+    assert set(wide) == {(str(e.user_id), e.event_id) for e in events if e.event_type in ("click", "purchase")}
+    assert all((c is None) != (p is None) for c, p in wide.values())
+    assert {r.line_no for r in QUERIES["drilldown_all"](spark, small).collect()} == {e.event_id for e in events}
