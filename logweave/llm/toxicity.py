@@ -2,52 +2,60 @@
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import ship
-from .words import word_chunks
-
-#: Labelled rows used to fit, those of the smallest hash of the id.
-SAMPLE_ROWS = 8_000
-#: Bytes of the ordinary dictionary; toxic windows in the toxic one.
-ORDINARY_BYTES, TOXIC_WINDOWS = 16_384, 400
-#: Margins are told apart in so many steps; windows are counted up to HITS in a document.
-MARGINS, HITS = 8, 4
-#: Words with margins kept by one task; at the bound they are computed anew.
-TABLE_WORDS = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
-#: Both dictionaries and every window end with this text: a window then always compresses, its
-#: own bytes do not stand in the last few, which zstandard does not look up, and its length
-#: tells how much of them was found.
+from .common import materialise, ship
+
+#: Labelled rows used to fit, those of the smallest hash of the id; windows of each kind used
+#: to train, those of the smallest hash: the documented bounds of the labelled sample.
+SAMPLE_ROWS, TRAIN_WINDOWS = 8_000, 200_000
+#: Words of a window.
+WORDS = 3
+#: Bytes of the ordinary dictionary, of the first toxic one, and of those trained on telling windows.
+ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 400_000, 65_536, 16_384
+#: Share of ordinary windows whose margin stays under that of a telling one, round by round.
+STRICTNESS = (0.98, 0.99, 0.995, 0.998, 0.998, 0.998)
+#: Margins (bytes) told apart in the score.
+MARGINS = 8
+#: Bytes of a run that the toxic dictionary holds and the ordinary one does not; a window without one has margin 0.
+GRAM = 5
+#: Bytes of text handled at once.
+_BLOCK = 1_000_000
+#: Every window ends with this text, as both dictionaries do: a window then always compresses,
+#: and its own bytes do not stand in the last few, which zstandard does not look up.
 _TAIL = b"<the window ends here>"
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """ordinary, toxic: dictionary contents; margin: from which on a window counts; scores: by number of such windows."""
+    """ordinary, toxic: the trained dictionaries; weights: of the ``_features`` of a text's hits."""
 
     ordinary: bytes
     toxic: bytes
-    margin: int
-    scores: tuple[float, ...]
+    weights: tuple[float, ...]
 
 
-class Margins:
-    """How much better the toxic dictionary compresses a window than the ordinary one.
+def train(windows: list[bytes], size: int, segment: int = 12) -> bytes:
+    """A dictionary of at most ``size`` bytes trained by zstandard; of too few or too uniform windows, their last bytes."""
+    import zstandard
+
+    size = min(size, max(512, sum(map(len, windows)) // 2))
+    try:
+        return zstandard.train_dictionary(size, windows, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(windows)[-size:]
 
-    A window is a lower-case word with a blank on each side. Its margin is the share of the
-    bytes it takes by the ordinary dictionary, above those of a window found whole, that the
-    toxic dictionary saves: 0 (nothing) to MARGINS (all of them).
-    """
+
+class Margins:
+    """By how many bytes a toxic dictionary shortens windows that the ordinary one has shortened already."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard
@@ -59,155 +67,197 @@ class Margins:
             held.precompute_compress(compression_params=level)
             return zstandard.ZstdCompressor(dict_data=held, compression_params=level)
 
-        # The same ordinary text stands at the same distance in both, so that it costs the same.
-        self.ordinary = compressor(b"\n" * len(toxic) + ordinary + _TAIL)
-        self.toxic = compressor(toxic + ordinary + _TAIL)
-        self.found = min([len(self.toxic.compress(b" " + w + b" " + _TAIL)) for w in toxic.split()], default=0)
-        self.known: dict[str, int] = {}
+        # The ordinary text stands at the same distance in both, so that it costs the same.
+        self.without = compressor(b"\n" * len(toxic) + ordinary + _TAIL)
+        self.with_it = compressor(toxic + ordinary + _TAIL)
+        ours = _grams(np.frombuffer(toxic, np.uint8))
+        self.telling = np.zeros(1 << 23, bool)
+        self.telling[ours] = True
+        self.telling[_grams(np.frombuffer(ordinary, np.uint8))] = False
+
+    def __call__(self, windows: list[bytes]) -> np.ndarray:
+        if not windows:
+            return np.zeros(0, np.int64)
+        windows = [w + _TAIL for w in windows]
+        a, b = (c.multi_compress_to_buffer(windows) for c in (self.without, self.with_it))
+        return np.fromiter([len(a[k]) - len(b[k]) for k in range(len(windows))], np.int64, len(windows))
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A 23-bit hash of the ``GRAM`` bytes from each position on."""
+    n = max(len(data) - GRAM + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = (h << np.uint64(8)) | data[k : k + n]
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int64)
+
+
+class Windows:
+    """All windows of a block of texts: runs of ``WORDS`` lower-case words (letters only) with single blanks around."""
+
+    def __init__(self, texts: pa.Array):
+        plain = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " "), " ")
+        blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        plain = pc.if_else(pc.equal(plain, none), none, pc.binary_join_element_wise(blank, plain, blank, none))
+        lens = pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.bytes = b"".join(plain.cast(pa.large_binary()).to_pylist())
+        self.data = np.frombuffer(self.bytes, np.uint8)
+        blanks = np.flatnonzero(self.data == 32)
+        ends = np.cumsum(lens)
+        first = np.searchsorted(blanks, ends - lens)
+        words = np.maximum(np.searchsorted(blanks, ends) - first - 1, 0)
+        #: Windows of each text; a text of fewer words is one window.
+        self.counts = np.where(words > 0, np.maximum(words - WORDS + 1, 1), 0)
+        self.owner = np.repeat(np.arange(len(lens)), self.counts)
+        nth = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        at = first[self.owner]
+        self.starts = blanks[at + nth] if len(blanks) else nth
+        self.stops = blanks[at + np.minimum(nth + WORDS, words[self.owner])] + 1 if len(blanks) else nth
+
+    def take(self, which: np.ndarray) -> list[bytes]:
+        return [self.bytes[a:b] for a, b in zip(self.starts[which].tolist(), self.stops[which].tolist())]
+
+    def hits(self, margins: Margins) -> np.ndarray:
+        """Per text: the windows with a margin of at least 1, 2, .. ``MARGINS`` bytes, and all windows."""
+        out = np.zeros((len(self.counts), MARGINS + 1), np.int64)
+        out[:, MARGINS] = self.counts
+        seen = np.concatenate([[0], np.cumsum(margins.telling[_grams(self.data)])])
+        last = np.clip(self.stops - GRAM + 1, 0, len(seen) - 1)
+        which = np.flatnonzero(seen[last] > seen[np.minimum(self.starts, last)])
+        found = np.minimum(margins(self.take(which)), MARGINS)
+        for k in range(MARGINS):
+            out[:, k] = np.bincount(self.owner[which[found > k]], minlength=len(out))
+        return out
+
 
-    def __call__(self, word: str) -> int:
-        margin = self.known.get(word)
-        if margin is None:
-            window = f" {word} ".encode() + _TAIL
-            n = len(self.ordinary.compress(window))
-            margin = max(0, MARGINS * (n - len(self.toxic.compress(window))) // (n - self.found)) if n > self.found else 0
-            self.known[word] = margin
-        return margin
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Texts and labels of at most ``rows`` labelled documents, those of the smallest id hash.
+
+    Rows with a null id or label are left out; of contradicting labels the larger counts; of
+    several rows of one id the smallest text counts.
+    """
+    some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
+    some = some.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(some), "_id")  # at most ``rows`` ids
+    return found.groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
-def _split(chunk: str) -> list[str]:
-    return _WORD.findall(chunk.lower())
+def _pools(sample: DataFrame) -> tuple[list[bytes], list[list[bytes]]]:
+    """Distinct windows of ordinary texts, and of the toxic texts of either half only; at most ``TRAIN_WINDOWS`` each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch, "text", _BLOCK):
+                w = Windows(texts)
+                kind = batch.column("kind").slice(first, len(texts)).take(pa.array(w.owner))
+                yield pa.RecordBatch.from_pydict({"window": pa.array(w.take(np.arange(len(w.owner))), pa.binary()), "kind": kind})
 
-def _per_text(table: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of the table's rows over each text's words."""
-    sums = np.concatenate([np.zeros((1, *table.shape[1:]), np.int64), np.cumsum(table[at], 0)])
-    stops = np.cumsum(counts)
-    return sums[stops] - sums[stops - counts]
+    kinds = sample.select("text", F.when(F.col("label") == 0, 1).otherwise(2 + 2 * F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).alias("kind"))
+    seen = materialise(kinds.mapInArrow(run, "window binary, kind int").groupBy("window").agg(F.bit_or("kind").alias("kind")), "windows")
 
+    def pool(condition: str) -> list[bytes]:
+        rows = seen.where(condition).orderBy(F.xxhash64("window"), "window").limit(TRAIN_WINDOWS).select("window").toArrow()
+        return rows.column("window").to_pylist()
 
-def _by_level(texts: pa.Array, margins: Margins) -> np.ndarray:
-    """Per text and margin from 1 to MARGINS: the windows with at least that margin."""
-    chunks, at, counts = word_chunks(texts)
-    levels = np.arange(1, MARGINS + 1)
-    table = np.zeros((len(chunks), MARGINS), np.int64)
-    for k, chunk in enumerate(chunks.to_pylist()):
-        for word in _split(chunk):
-            table[k] += margins(word) >= levels
-    return _per_text(table, at, counts)
+    return pool("kind & 1 = 1"), [pool("kind = 2"), pool("kind = 4")]
 
 
-def _at_level(texts: pa.Array, margins: Margins, hits: dict[str, int], margin: int) -> np.ndarray:
-    """Per text: the windows with at least ``margin``; hits: those of each chunk so far."""
-    chunks, at, counts = word_chunks(texts)
-    chunks = chunks.to_pylist()
-    for chunk in chunks:
-        if chunk not in hits:
-            hits[chunk] = sum([margins(w) >= margin for w in _split(chunk)])
-    return _per_text(np.fromiter(map(hits.__getitem__, chunks), np.int64, len(chunks)), at, counts)
+def _trimmed(window: bytes, margins: Margins, margin: int) -> bytes:
+    """The shortest run of a window's words that keeps all of its margin but one byte."""
+    words = window.split()
+    runs = [b" " + b" ".join(words[i : i + n]) + b" " for n in range(1, len(words)) for i in range(len(words) - n + 1)]
+    kept = np.flatnonzero(margins(runs) >= margin - 1)
+    return runs[kept[0]] if len(kept) else window
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Texts and labels of at most ``rows`` labelled documents, those of the smallest id hash.
+def train_dictionaries(ordinary: list[bytes], toxic: list[list[bytes]]) -> tuple[bytes, bytes, list[bytes]]:
+    """The ordinary dictionary, the toxic one, and for each half of the toxic texts one trained on the other half alone.
 
-    Rows with a null id or label are left out; of contradicting labels the larger counts.
+    Most windows of a toxic text are ordinary. Round by round, the windows of one half are
+    measured with a toxic dictionary trained on the other half; telling are those whose
+    margin is above that of nearly all ordinary windows (``STRICTNESS``), which only recurring
+    toxic wording reaches. The next toxic dictionaries are trained on telling windows, cut
+    to the words that tell.
     """
-    some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
-    some = some.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(some), "_id").select("text", "label")  # at most ``rows`` ids
+    held = ordinary[: max(len(ordinary) // 4, 1)]  # to calibrate on; the rest trains
+    common = train(ordinary[len(held) :] or ordinary, ORDINARY_BYTES, 32)
+    telling = toxic
+    for n, share in enumerate(STRICTNESS):
+        size = FIRST_BYTES if n == 0 else TOXIC_BYTES
+        each = [train(telling[1 - h], size) if telling[1 - h] else b"" for h in (0, 1)]
+        following: list[list[bytes]] = []
+        for h in (0, 1):
+            margins = Margins(common, each[h])
+            least = max(1.0, float(np.quantile(margins(held), share))) if held else 1.0
+            found = margins(toxic[h])
+            following.append([_trimmed(toxic[h][k], margins, int(found[k])) for k in np.flatnonzero(found > least).tolist()])
+        if not any(following):
+            break
+        telling = following
+    return common, train(telling[0] + telling[1], TOXIC_BYTES), each
+
+
+def _features(hits: np.ndarray) -> np.ndarray:
+    """Logarithms of the counts, percentages of the hits, and a constant."""
+    return np.concatenate([np.log1p(hits), 100 * hits[:, :MARGINS] / np.maximum(hits[:, MARGINS:], 1), np.ones((len(hits), 1))], 1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression with a small quadratic penalty, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    penalty = np.ones(len(w))
+    penalty[-1] = 1e-6
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+    return w
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Train both dictionaries and calibrate the thresholds on labelled documents.
+    """Train both dictionaries and calibrate the score on labelled documents.
 
     At most ``sample_rows`` labelled rows are used (the documented bound of the sample), each
-    with its whole text. Windows are lower-case words. Toxic windows are words that stand in
-    toxic documents too often for chance, in different surroundings (so that copies of one
-    document count once); the toxic dictionary is trained on them, the ordinary one on the
-    words of ordinary documents. The margin that makes a window count, and the score of 0, 1,
-    2, .. such windows, maximise the likelihood of the sample's labels.
+    with its whole text. One dictionary is trained on windows of ordinary texts, one on the
+    telling windows of toxic texts (``train_dictionaries``). How many windows of a text reach
+    each margin, and how many it has, give its score by a logistic regression, fitted on
+    margins by dictionaries that have not seen the text's half.
 
-    Without labels, or without toxic ones, every document scores the (smoothed) base rate.
+    Without labels, or without toxic or ordinary ones, every document scores the (smoothed) base rate.
     """
-    import zstandard
-
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col)
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                words = ["", *_split(text), ""]
-                first: dict[str, str] = {}
-                for before, word, after in zip(words, words[1:], words[2:]):
-                    first.setdefault(word, f"{before} {after}")
-                yield pa.RecordBatch.from_pydict({"word": pa.array(first.keys(), pa.string()), "around": pa.array(first.values(), pa.string()), "label": pa.array([label] * len(first), pa.int32())})
-
-    seen = sample.mapInArrow(contexts, "word string, around string, label int")
-    # A word of a copied passage has one context, however many copies there are.
-    seen = seen.groupBy("word", "around").agg(F.max("label").alias("label")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k")).checkpoint()
+    sample = materialise(labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col), "sample")
     rate = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
-    base = (rate["k"] + 0.5) / (rate["n"] + 1)
-    support = {r["n"]: r["m"] for r in seen.groupBy("n").agg(F.count("*").alias("m")).collect()}  # at most sample_rows rows
-    share, ratio = F.col("k") / F.col("n"), lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-    gain = F.col("n") * (ratio(share, F.lit(base)) + ratio(1 - share, F.lit(1 - base)))
-    best = seen.where((share > 0.5) & (F.col("n") >= 2)).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(4 * TOXIC_WINDOWS).collect()
-    rivals = lambda n: sum(m for k, m in support.items() if k >= n)
-    words = [r["word"] for r in best if r["gain"] >= math.log(rivals(r["n"])) + 1][:TOXIC_WINDOWS]
-    plain = [r["word"] for r in seen.where("k = 0").orderBy(F.desc("n"), "word").limit(20_000).collect()]
-
-    def trained(windows: list[str], most: int) -> bytes:
-        each = [f" {w} ".encode() for w in windows]
-        held = b""
-        if sum(map(len, each)) > 4 * most:
-            try:
-                held = zstandard.train_dictionary(most, each).as_bytes()
-            except zstandard.ZstdError:  # too few or too uniform windows to train on
-                held = b""
-        for e in each:  # what training has left out
-            if len(held) + len(e) > most:
-                break
-            if e not in held:
-                held += e
-        return held
-
-    ordinary, toxic = trained(plain, ORDINARY_BYTES), trained(words, sum(len(w.encode()) + 2 for w in words))
-    if not words:
-        return ToxicityModel(ordinary, b"", MARGINS + 1, (base,))
+    base = float(np.log((rate["k"] + 0.5) / (rate["n"] - rate["k"] + 0.5)))
+    flat = ToxicityModel(b"", b"", (*[0.0] * (2 * MARGINS + 1), base))
+    if rate["k"] in (0, rate["n"]):
+        return flat
+    ordinary, toxic = _pools(sample)
+    if not ordinary or not any(toxic):
+        return flat
+    common, final, each = train_dictionaries(ordinary, toxic)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = Margins(ordinary, toxic)
+        margins = [Margins(common, t) for t in each]
         for batch in batches:
-            for first, texts in blocks(batch, "text"):
-                if len(margins.known) > TABLE_WORDS:
-                    margins.known.clear()
-                counts = np.minimum(_by_level(texts, margins), HITS)
-                yield pa.RecordBatch.from_pydict({"label": batch.column("label").slice(first, len(texts)), "hits": pa.array(list(counts.astype(np.int32)), pa.list_(pa.int32()))})
-
-    spread = sample.mapInArrow(measured, "label int, hits array<int>").select("label", F.posexplode("hits").alias("level", "hits"))
-    tally = np.zeros((MARGINS, HITS + 1, 2))
-    for r in spread.groupBy("label", "level", "hits").count().collect():  # at most 2 x MARGINS x (HITS + 1) rows
-        tally[r["level"], r["hits"], r["label"]] = r["count"]
-    chance = (tally[:, :, 1] + base) / (tally.sum(2) + 1)
-    gains = (tally[:, :, 1] * np.log(chance) + tally[:, :, 0] * np.log(1 - chance)).sum(1)
-    level = int(np.argmax(gains))
-    scores = np.maximum.accumulate(chance[level])
-    return ToxicityModel(ordinary, toxic, level + 1, tuple(float(s) for s in scores))
+            half = batch.column("half").to_numpy(zero_copy_only=False)
+            for first, texts in blocks(batch, "text", _BLOCK):
+                by_half = np.stack([Windows(texts).hits(m) for m in margins])
+                hits = by_half[half[first : first + len(texts)], np.arange(len(texts))]
+                yield pa.RecordBatch.from_pydict({"label": batch.column("label").slice(first, len(texts)), "hits": pa.array(list(hits), pa.list_(pa.int64()))})
+
+    rows = sample.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")).mapInArrow(measured, "label int, hits array<bigint>").toArrow()  # at most sample_rows rows of numbers
+    x = np.array(rows.column("hits").to_pylist(), np.int64)
+    y = np.minimum(rows.column("label").to_numpy(), 1)
+    return ToxicityModel(common, final, tuple(_logistic(_features(x), y).tolist()))
 
 
 def _scorer(model: ToxicityModel):
-    """A function from a block of texts to their scores, with one table per task."""
-    margins, hits = Margins(model.ordinary, model.toxic), {}
-    scores = np.array(model.scores)
+    """A function from a block of texts to their scores."""
+    margins, weights = Margins(model.ordinary, model.toxic), np.array(model.weights)
 
     def score(texts: pa.Array) -> np.ndarray:
-        if model.margin > MARGINS:
-            return np.full(len(texts), scores[0])
-        if len(hits) > TABLE_WORDS:
-            hits.clear()
-            margins.known.clear()
-        return scores[np.minimum(_at_level(texts, margins, hits, model.margin), len(scores) - 1)]
+        return 1 / (1 + np.exp(-np.clip(_features(Windows(texts).hits(margins)) @ weights, -30, 30)))
 
     return score
 
@@ -215,10 +265,11 @@ def _scorer(model: ToxicityModel):
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``score`` (0 to 1) and ``predicted`` (score >= ``threshold``) of each document, by its whole text.
 
-    Every word of a text is a window, compressed with both dictionaries (once per distinct
-    word and task); the windows whose margin reaches the calibrated threshold are counted and
-    the count gives the score. There is no shuffle. A null or empty text has no window.
-    Repeated rows are scored each; other columns are ignored; an empty table stays empty.
+    All windows of ``WORDS`` words of a text are measured: a window's margin is the number of
+    bytes that the toxic dictionary saves beyond the ordinary one. A window without a run of
+    ``GRAM`` bytes that only the toxic dictionary holds has margin 0 and is not compressed.
+    There is no shuffle. A null or empty text has no window. Repeated rows are scored each;
+    other columns are ignored; an empty table stays empty.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -226,7 +277,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model)
         for batch in batches:
-            for first, texts in blocks(batch, text_col):
+            for first, texts in blocks(batch, text_col, _BLOCK):
                 found = score(texts)
                 yield pa.RecordBatch.from_pydict({id_col: batch.column(id_col).slice(first, len(texts)), "score": found, "predicted": (found >= threshold).astype(np.int32)})
 
@@ -234,13 +285,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_ordinary(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; null and empty texts have no window."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model)
         for batch in batches:
-            for first, texts in blocks(batch, text_col):
+            for first, texts in blocks(batch, text_col, _BLOCK):
                 yield batch.slice(first, len(texts)).filter(pa.array(score(texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
