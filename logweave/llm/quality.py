@@ -7,26 +7,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Ragged, blocks
-from .common import materialise, ship
+from .common import free_name, materialise, ship
 from .toxicity import labelled_sample
 from .words import mix, word_hashes
 
 #: Labelled rows used to fit; hash buckets of both models.
-SAMPLE_ROWS, BUCKETS = 20_000, 1 << 14
-#: How many times a lost good document counts against a kept bad one where the cut is set.
+SAMPLE_ROWS, BUCKETS = 20_000, 1 << 16
+#: How many times a lost good document counts against a kept bad one where the size of the sample is estimated.
 GOOD_WEIGHT = 5
-#: A text's log ratio is divided by this power of its number of features, so that long and
-#: short texts compare (1: mean per feature, 0: whole text); temperature of the sampling.
-LENGTH_POWER, TEMPERATURE = 0.75, 0.01
+#: Features of a passage. A document's weight is that of a passage of this length with the
+#: document's mean log ratio, so that texts of all lengths compare.
+PASSAGE = 100
 
 
 @dataclass(frozen=True)
 class ResamplingModel:
-    """ratios: log of the target's share over the raw share, by bucket; cut: log weight down to which documents count as target-like; seed: of the noise."""
+    """ratios: log of the target's share over the raw share, by bucket; cut: log weight down to which documents count where the size of the sample is estimated; seed: of the noise."""
 
     ratios: np.ndarray
     cut: float
@@ -63,23 +63,22 @@ def _bucket_counts(texts: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _weights(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
+    """Log importance weight of a passage of each text; of a text without words 0."""
     found = _features(texts)
     sums = np.concatenate([[0.0], np.cumsum(ratios[found.flat])])
     stops = found.starts + found.lens
     whole = np.round(sums[stops] - sums[found.starts], 6)  # the same wherever the text stands in its block
-    return whole / np.maximum(found.lens, 1) ** LENGTH_POWER
+    return PASSAGE * whole / np.maximum(found.lens, 1)
 
 
-def _keys(weights: np.ndarray, ids: pa.Array, seed: int) -> np.ndarray:
-    """The weights at the sampling's temperature, with Gumbel noise."""
-    return weights / TEMPERATURE + _gumbel(ids, seed)
+def _gumbel(names: np.ndarray, seed: int) -> np.ndarray:
+    """Standard Gumbel noise that depends on the 64-bit hash of an id alone."""
+    u = (mix(mix(names.view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) + np.uint64(1)) >> np.uint64(11)).astype(np.float64)
+    return -np.log(-np.log((u + 0.5) / 2.0**53))
 
 
-def _gumbel(ids: pa.Array, seed: int) -> np.ndarray:
-    """Gumbel noise that depends on the id alone (null: as 0)."""
-    x = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-    u = (mix(mix(x + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) + np.uint64(1)) >> np.uint64(11)).astype(np.float64)
-    return -np.log(-np.log((u + 0.5) / 2.0**53))
+def _name(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"))
 
 
 def fit_resampling(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 17) -> ResamplingModel:
@@ -89,7 +88,8 @@ def fit_resampling(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     fitted on one half of the good ones (label 1), the raw model on all documents. ``cut`` is
     set with the other half and the bad ones (label 0): where the share of good rows kept,
     ``GOOD_WEIGHT`` times, and that of bad rows rejected have the largest sum; of equal cuts
-    the lowest. Without good or without bad rows nothing is rejected.
+    the lowest. It only gives the size of a sample of which no size is asked. Without good or
+    without bad rows that is the whole corpus.
     """
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col)
@@ -117,17 +117,19 @@ def fit_resampling(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
 
 def resampling_keys(docs: DataFrame, model: ResamplingModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document its id, ``log_weight`` (target over raw, whole text, tempered by length) and ``key`` (with Gumbel noise)."""
+    """Per document its id, ``log_weight`` (target over raw, from the whole text) and ``key`` (with Gumbel noise)."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch, text_col):
-                ids, w = batch.column(id_col).slice(first, len(texts)), _weights(texts, model.ratios)
-                yield pa.RecordBatch.from_pydict({id_col: ids, "log_weight": w, "key": _keys(w, ids, model.seed)})
+            noise = _gumbel(batch.column("_name").to_numpy(), model.seed)
+            for first, texts in blocks(batch, "_text"):
+                w = _weights(texts, model.ratios)
+                yield pa.RecordBatch.from_pydict({id_col: batch.column("_id").slice(first, len(texts)), "log_weight": w, "key": w + noise[first : first + len(texts)]})
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, log_weight double, key double")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _name(id_col).alias("_name"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, log_weight double, key double")
 
 
 def kth_largest(keys: DataFrame, k: int, column: str = "key", bins: int = 4096) -> float:
@@ -157,37 +159,45 @@ def kth_largest(keys: DataFrame, k: int, column: str = "key", bins: int = 4096)
     return lo
 
 
-def _threshold(keys: DataFrame, model: ResamplingModel) -> float:
-    """The key of the last document that top-k takes; k: the documents whose weight reaches the model's cut."""
-    k = keys.where(F.col("log_weight") >= model.cut).count()
-    return kth_largest(keys, k) if k else float("inf")
+def _threshold(keys: DataFrame, model: ResamplingModel, k: int | None) -> float:
+    """The key of the last document that top-k takes."""
+    if k is None:
+        k = keys.where(F.col("log_weight") >= model.cut).count()
+    k = min(k, keys.count())
+    return kth_largest(keys, k) if k > 0 else float("inf")
 
 
-def resample(docs: DataFrame, model: ResamplingModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, model: ResamplingModel, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Gumbel top-k sample without replacement: all documents with ``log_weight``, ``key`` and ``kept``.
 
-    k is the number of documents, counted over all, whose log weight reaches the model's cut;
-    kept are those whose key is among the k largest (with all that tie with the k-th). A null
-    or empty text has log weight 0. Rows of equal id share their noise. Other columns are
-    ignored; an empty table stays empty.
+    Each document's key is its log importance weight plus standard Gumbel noise; kept are
+    those whose key is among the ``k`` largest (with all that tie with the k-th). So documents
+    are drawn one after the other in proportion to their weights. Without ``k`` the sample is
+    as large as the target-like part of the corpus: the number of documents, counted over
+    all, whose log weight reaches the model's cut.
+
+    A null or empty text has log weight 0. Ids may be of any type; rows of equal id, and all
+    rows without id, share their noise. Other columns are ignored; an empty table stays empty.
     """
     keys = materialise(resampling_keys(docs, model, id_col, text_col), "keys")
-    return keys.withColumn("kept", F.col("key") >= F.lit(_threshold(keys, model)))
+    return keys.withColumn("kept", F.col("key") >= F.lit(_threshold(keys, model, k)))
 
 
-def keep_target_like(docs: DataFrame, model: ResamplingModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_target_like(docs: DataFrame, model: ResamplingModel, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``resample`` keeps.
 
     Keys are computed anew where rows are filtered, so that no text is shuffled.
     """
     keys = materialise(resampling_keys(docs, model, id_col, text_col).drop(id_col), "keys")
-    cut = _threshold(keys, model)
+    cut = _threshold(keys, model, k)
+    names = free_name(docs, "_name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            noise = _gumbel(batch.column(names).to_numpy(), model.seed)
+            rows = batch.drop_columns([names])
             for first, texts in blocks(batch, text_col):
-                rows = batch.slice(first, len(texts))
-                key = _keys(_weights(texts, model.ratios), rows.column(id_col), model.seed)
-                yield rows.filter(pa.array(key >= cut))
+                kept = _weights(texts, model.ratios) + noise[first : first + len(texts)] >= cut
+                yield rows.slice(first, len(texts)).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(names, _name(id_col)).mapInArrow(run, docs.schema)
