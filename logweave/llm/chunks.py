@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -154,6 +155,12 @@ class WordTable:
         return table.take(at).merge(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
+@lru_cache(maxsize=1)
+def word_table(path: str) -> WordTable:
+    """The table of this Python worker, kept from one task to the next; it is bounded and changes no result."""
+    return WordTable(path)
+
+
 class PieceTable:
     """Ids and decoded text under a sentencepiece model whose pieces hold blanks only in front."""
 
@@ -210,3 +217,9 @@ class PieceTable:
             self._add(new)
         row = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))[at]
         return self.ids.take(row).merge(counts), self.decoded.take(row).merge(counts)
+
+
+@lru_cache(maxsize=1)
+def piece_table(path: str, limit: int = TABLE_CHUNKS) -> PieceTable:
+    """The table of this Python worker, kept from one task to the next; it is bounded and changes no result."""
+    return PieceTable(path, limit)

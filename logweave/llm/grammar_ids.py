@@ -11,100 +11,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import Ragged, WordTable, blocks, public_path
+from .chunks import Ragged, blocks, public_path, word_table
 from .common import partitions, ship
+from .repair import compress, expand, expand_range, rule_lengths
 
 #: Ids in a shard (more where one document alone has more).
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement, pairs replaced in a round, and occurrences a pair needs.
-ROUNDS, PAIRS, LEAST = 8, 512, 16
-_BUCKETS = 18
 
+#: One row a shard, in ascending id order. first_id and last_id let Parquet skip shards;
+#: doc_symbols and rule_lengths lead to the symbols of a document or of a range of its ids.
 SCHEMA = (
-    "part int, shard int, vocabulary int, n_ids bigint, doc_ids array<bigint>, doc_symbols array<bigint>, doc_tokens array<bigint>, "
+    "part int, shard int, vocabulary int, n_ids bigint, first_id bigint, last_id bigint, doc_ids array<bigint>, doc_symbols array<bigint>, doc_tokens array<bigint>, "
     "rules_left binary, rules_right binary, rule_lengths binary, symbols binary, width int"
 )
 
 
-def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: replace frequent pairs of neighbouring ids by new symbols, round after round.
-
-    A round counts all pairs of the shard in hash buckets, takes one pair from each of the
-    fullest buckets, and replaces its occurrences from left to right. Pairs never reach
-    across documents. Returns the symbols, the symbols per document, and the rules (pairs).
-    """
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(doc_lens) - 1] = True
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        inside = ~last[:-1]
-        counts = np.bincount(bucket[inside], minlength=1 << _BUCKETS)
-        full = np.argpartition(counts, -PAIRS)[-PAIRS:]
-        full = full[counts[full] >= LEAST]
-        if not len(full):
-            break
-        slot = np.full(1 << _BUCKETS, -1, np.int16)
-        slot[full] = np.arange(len(full))
-        at = np.flatnonzero((slot[bucket] >= 0) & inside)
-        mine = slot[bucket[at]]
-        chosen = np.zeros(len(full), np.uint64)
-        chosen[mine] = key[at]
-        same = key[at] == chosen[mine]
-        at, mine = at[same], mine[same]
-        # Of overlapping occurrences, every other one of a run is replaced.
-        begins = np.concatenate([[True], np.diff(at) != 1])
-        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at, mine = at[nth % 2 == 0], mine[nth % 2 == 0]
-        used = np.bincount(mine, minlength=len(full)) >= LEAST
-        if not used.any():
-            break
-        at, mine = at[used[mine]], mine[used[mine]]
-        name = np.cumsum(used) - 1 + vocabulary + len(rules)
-        pairs = chosen[used]
-        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-        seq[at] = name[mine]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    return seq, np.diff(np.flatnonzero(last) + 1, prepend=0), rules
-
-
-def expansions(rules: np.ndarray, vocabulary: int) -> Ragged:
-    """The ids that each symbol stands for."""
-    done = Ragged(np.arange(vocabulary, dtype=np.uint32), np.ones(vocabulary, np.int64))
-    k = 0
-    while k < len(rules):
-        known = vocabulary + k
-        ready = int(np.argmax(np.concatenate([(rules[k:] >= known).any(1), [True]])))
-        done = done.add(done.take(rules[k : k + ready].ravel()).merge(np.full(ready, 2)))
-        k += ready
-    return done
-
-
-def decode(symbols: np.ndarray, rules: np.ndarray, vocabulary: int, start: int = 0, length: int | None = None) -> np.ndarray:
-    """The ids from position ``start`` on; expansion lengths lead to the symbols needed."""
-    table = expansions(rules, vocabulary)
-    ends = np.cumsum(table.lens[symbols])
-    stop = (int(ends[-1]) if len(ends) else 0) if length is None else start + length
-    a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-    before = int(ends[a - 1]) if a else 0
-    return table.take(symbols[a:b]).flat[start - before : stop - before]
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode texts, append ``end_id`` to each, and write the ids below ``path`` by ascending id.
 
     Method: documents are range-partitioned and sorted by id; each task encodes its own and
-    writes shards of about ``SHARD_IDS`` ids, each with its own Re-Pair grammar (``compress``):
-    rules, expansion lengths of the rules, symbols, and per document the numbers of symbols
-    and ids, so that any document or id range can be decoded alone (``decode``). ``part`` and
-    ``shard`` order the shards.
+    writes shards of about ``SHARD_IDS`` ids, each with its own Re-Pair grammar (``compress``),
+    in which no pair is left that repeats: rules, expansion lengths of the rules, symbols, and
+    per document the numbers of symbols and ids, so that any document or id range can be
+    decoded alone (``read_range``). ``part`` and ``shard`` order the shards.
 
     A null text counts as empty. Null ids come first; rows of equal id are ordered by text.
     Other columns are ignored. An empty table writes no shard.
@@ -117,17 +46,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         flat = np.concatenate(ids)
         symbols, per_doc, rules = compress(flat, np.array(lens), vocabulary)
         wide = np.uint16 if vocabulary + len(rules) <= 1 << 16 else np.uint32
-        lengths = expansions(rules, vocabulary).lens[vocabulary:].astype(np.uint32)
+        known = [d for d in doc_ids if d is not None]
         row = {
             "part": pa.array([part], pa.int32()), "shard": pa.array([k], pa.int32()), "vocabulary": pa.array([vocabulary], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()),
+            "first_id": pa.array([min(known, default=None)], pa.int64()), "last_id": pa.array([max(known, default=None)], pa.int64()),
             "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "doc_symbols": pa.array([per_doc], pa.list_(pa.int64())), "doc_tokens": pa.array([lens], pa.list_(pa.int64())),
-            "rules_left": pa.array([rules[:, 0].tobytes()]), "rules_right": pa.array([rules[:, 1].tobytes()]), "rule_lengths": pa.array([lengths.tobytes()]),
+            "rules_left": pa.array([rules[:, 0].tobytes()]), "rules_right": pa.array([rules[:, 1].tobytes()]), "rule_lengths": pa.array([rule_lengths(rules, vocabulary).astype(np.uint32).tobytes()]),
             "symbols": pa.array([symbols.astype(wide).tobytes()]), "width": pa.array([wide().itemsize], pa.int32()),
         }
         return pa.RecordBatch.from_pydict(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = WordTable(name), np.array([end_id], np.uint32)
+        table, end = word_table(name), np.array([end_id], np.uint32)
         vocabulary = len(table.ends)
         part, k, size = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
@@ -152,6 +82,37 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     rows.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
+def _grammar(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, rules, stored rule lengths and vocabulary of a shard."""
+    rules = np.stack([np.frombuffer(row["rules_left"], np.uint32), np.frombuffer(row["rules_right"], np.uint32)], 1)
+    symbols = np.frombuffer(row["symbols"], np.uint16 if row["width"] == 2 else np.uint32)
+    return symbols, rules, np.frombuffer(row["rule_lengths"], np.uint32).astype(np.int64), row["vocabulary"]
+
+
+def read_range(spark: SparkSession, path: str, doc_id: int, start: int = 0, length: int | None = None) -> DataFrame:
+    """``doc_id`` and ``ids``: those from position ``start`` on of one document (``length`` of them, at most to its end).
+
+    Parquet statistics lead to the shard, symbol counts to the document's symbols, and stored
+    expansion lengths to those that cover the range; no other symbol is expanded. Rows of
+    equal id give a row each; an unknown id gives none.
+    """
+    ship(spark)
+    rows = spark.read.schema(SCHEMA).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                symbols, rules, lengths, vocabulary = _grammar(row)
+                stops = np.cumsum(row["doc_symbols"])
+                for k in [k for k, d in enumerate(row["doc_ids"]) if d == doc_id]:
+                    mine, n = symbols[stops[k] - row["doc_symbols"][k] : stops[k]], row["doc_tokens"][k]
+                    a = min(start, n)
+                    found = expand_range(mine, rules, lengths, vocabulary, a, n - a if length is None else min(length, n - a))
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "ids": pa.array([found], pa.list_(pa.int32()))})
+
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """The documents of the files below ``path``, decoded from their shards.
 
@@ -165,8 +126,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rules = np.stack([np.frombuffer(row["rules_left"], np.uint32), np.frombuffer(row["rules_right"], np.uint32)], 1)
-                ids = decode(np.frombuffer(row["symbols"], np.uint16 if row["width"] == 2 else np.uint32), rules, row["vocabulary"])
+                ids = expand(*_grammar(row))
                 lens = np.array(row["doc_tokens"], np.int64)
                 if len(ids) != lens.sum():
                     raise ValueError("a shard does not decode to its number of ids")

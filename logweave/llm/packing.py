@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import WordTable, blocks, public_path
+from .chunks import blocks, public_path, word_table
 from .common import ship
 
 #: Tokens packed together. A larger shard saves at most one partly filled window a shard.
@@ -128,7 +128,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         return pa.RecordBatch.from_pydict(out), int(p["window"].max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = WordTable(path), np.array([end_id], np.uint32)
+        table, end = word_table(path), np.array([end_id], np.uint32)
         base = TaskContext.get().partitionId() << 40
         names: list = []
         ids: list[np.ndarray] = []

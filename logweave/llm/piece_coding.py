@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import TABLE_CHUNKS, PieceTable, blocks, public_path
+from .chunks import TABLE_CHUNKS, blocks, piece_table, public_path
 from .common import ship
 
+
 def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, table_chunks: int = TABLE_CHUNKS) -> DataFrame:
     """Ids of each text, and the text decoded from them.
 
@@ -31,7 +32,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(path, table_chunks)
+        table = piece_table(path, table_chunks)
         for batch in batches:
             for first, texts in blocks(batch, text_col):
                 ids, decoded = table.encode(texts)
