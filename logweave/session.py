@@ -17,6 +17,7 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 
@@ -31,12 +32,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither the setting nor a checkpoint folder exists (tests, a single
-    machine) a temporary folder is made and set.
+    Only where neither the setting nor a checkpoint folder exists, a temporary folder is made
+    and set, and that on a single machine alone: a cluster without the setting raises.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="logweave-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
