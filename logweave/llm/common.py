@@ -12,8 +12,8 @@ from ..session import ship as _ship
 
 def ship(spark: SparkSession) -> None:
     """Ship the package, and send whole texts to Python in batches of bounded memory."""
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(batch, SETTINGS[batch])
+    for batch in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set(batch, SETTINGS[batch])
     _ship(spark)
 
 
