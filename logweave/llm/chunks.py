@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks kept by one task; at the bound the table starts anew, which changes no result.
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 300_000
 #: Characters of text handled at once, so that memory does not follow the Arrow batch.
 BLOCK_CHARS = 3_000_000
 #: Letters whose lower case is one precomposed letter, then plain ASCII punctuation that the
