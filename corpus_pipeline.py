@@ -7,10 +7,9 @@ and read again as the next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logweave.llm.common import materialise
-from logweave.llm.minhash import near_duplicates
+from logweave.llm.minhash import keep_representatives
 from logweave.llm.packing import pack_documents
 from logweave.llm.quality import fit_resampling, keep_target_like
 from logweave.llm.toxicity import fit_toxicity, is_held_out, keep_ordinary
@@ -26,7 +25,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling keeps, with models of the documents given."""
+    """The documents that importance resampling keeps, with models of the documents given.
+
+    Null and empty texts weigh as much as average ones; rows of equal id share their noise;
+    ties with the last one taken stay; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_target_like(docs, fit_resampling(docs, labels))
 
@@ -36,13 +39,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id are one document and stay together; rows without an id stay.
     """
-    found = materialise(near_duplicates(docs, words=5, similarity=0.8), "near")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return keep_representatives(docs, words=5, similarity=0.8)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of at most 2048 tokens."""
+    """The pieces of all documents in windows of at most 2048 tokens.
+
+    A null or empty text is one piece, its end id; repeated rows are packed each; an empty
+    table gives no piece.
+    """
     return pack_documents(docs)
 
 
