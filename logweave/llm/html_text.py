@@ -12,16 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import free_name, materialise, ship
 
-#: Pages of one host, with different main text, on which a subtree has to stand to count as template.
-MANY_PAGES = 5
+#: Pages of one host, with different main text, on which a subtree has to stand to count as
+#: template: so many at least, and so large a share of the host's pages.
+MANY_PAGES, SHARE = 5, 0.1
+#: The share for what stands in an article or main element, and for longer prose anywhere.
+MAIN_SHARE = 0.5
+#: Words from which on a paragraph counts as longer prose.
+LONG = 25
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_TAG = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is not markup.
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math canvas".split())
+#: Their content is not markup, and no text of the page.
+_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -37,39 +43,50 @@ _ENDS = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
+#: What counting cannot find where it differs from page to page, or on hosts of few pages:
+#: elements and roles that HTML reserves for other things than the article, and names of
+#: parts that change with the page. A name is one whole word of a class or an id.
 _REMOVED = frozenset("head nav footer aside form button select dialog menu search datalist object audio video map fieldset input label".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|isements|ising)?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|overlay|modal|"
-    r"newsletter|subscri(?:be|ption)|share|sharing|social|sidebar|side-bar|sidenav|menu|nav|navbar|navigation|topbar|breadcrumbs?|masthead|site-?header|page-?header|header|footer|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations)?|widget|login|signup|pagination|pager|toolbar|skip-?link|disclaimer)(?:$|[\s_-])",
-    re.I,
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsored promo notice notices alert newsletter subscribe share sharing share-buttons social-share "
+    "cookie-banner cookie-notice cookie-consent comments comment-list commentlist disqus_thread replies related-posts related-articles recommended pagination breadcrumb breadcrumbs".split()
 )
+#: Names that count outside an article or main element only.
+_OUTER = frozenset("banner cookies consent gdpr popup overlay modal social sidebar side-bar menu nav navbar navigation topbar masthead site-header page-header header site-footer page-footer footer comment related widget login signup toolbar skip-link".split())
 
 
-@dataclass
 class _Element:
-    tag: str
-    removed: bool
-    inside: bool
-    prose: bool
-    first: int
-    parts: list[str] = field(default_factory=list)
-    holds_main: bool = False
+    __slots__ = ("tag", "removed", "inside", "prose", "first", "parts", "holds_main", "words")
+
+    def __init__(self, tag: str, removed: bool, inside: bool, prose: bool, first: int, parts: list[str] | None, holds_main: bool):
+        self.tag, self.removed, self.inside, self.prose, self.first, self.parts, self.holds_main, self.words = tag, removed, inside, prose, first, parts, holds_main, 0
 
 
 @dataclass
 class Page:
-    """blocks: (text, whether rules remove it, whether it stands in the main container); subtrees: (hash, first block, last block + 1)."""
+    """blocks: (text, whether rules remove it, whether it stands in the main container); subtrees: (hash, first block, last block + 1, whether it takes the larger share)."""
 
-    blocks: list[tuple[str, bool, bool]]
-    subtrees: list[tuple[int, int, int]]
+    blocks: list[tuple[str, bool, bool]] = field(default_factory=list)
+    subtrees: list[tuple[int, int, int, bool]] = field(default_factory=list)
+
+    def template(self, gone: frozenset[int] | set[int]) -> list[bool]:
+        """Per block, whether it lies in a subtree whose hash is in ``gone``."""
+        change = [0] * (len(self.blocks) + 1)
+        for h, a, b, _ in self.subtrees:
+            if h in gone:
+                change[a] += 1
+                change[b] -= 1
+        out, depth = [], 0
+        for c in change[:-1]:
+            depth += c
+            out.append(depth > 0)
+        return out
 
     def text(self, gone: frozenset[int] | set[int] = frozenset()) -> str:
-        """The blocks of the main text, less those of subtrees whose hash is in ``gone``."""
+        """The blocks of the main text: no template, not removed by rules, and of the main container if there is one."""
         main = any(inside for _, _, inside in self.blocks)
-        drop = {k for h, a, b in self.subtrees if h in gone for k in range(a, b)}
-        return "\n\n".join([t for k, (t, removed, inside) in enumerate(self.blocks) if not removed and (inside or not main) and k not in drop])
+        return "\n\n".join([t for (t, removed, inside), out in zip(self.blocks, self.template(gone)) if not (out or removed) and (inside or not main)])
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -86,113 +103,136 @@ def _is_removed(tag: str, at: dict[str, str], inside: bool) -> bool:
         return True
     if at.get("role", "").lower() in _ROLES:
         return True
+    names = {*at.get("class", "").lower().split(), *at.get("id", "").lower().split()}
     if tag in ("article", "main"):
-        return bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", f"{at.get('class', '')} {at.get('id', '')}", re.I))
-    return bool(_NAMES.search(at.get("class", "")) or _NAMES.search(at.get("id", "")))
+        return not names.isdisjoint({"comment", "comments"})
+    return not names.isdisjoint(_NAMES) or (not inside and not names.isdisjoint(_OUTER))
 
 
 def parse(source: str | None) -> Page:
-    """Blocks and element subtrees of a page, however broken its markup. None: no blocks."""
-    page = Page([], [])
-    stack = [_Element("", False, False, False, 0)]
+    """Blocks and element subtrees of a page, however broken its markup, in time linear in its length. None: no blocks.
+
+    A quotation mark that is never closed ends no tag: from there on tags end at the first >.
+    A last tag without > is dropped.
+    """
+    page = Page()
+    root = _Element("", False, False, False, 0, [], False)
+    stack, block_stack = [root], [root]
+    depths: dict[str, list[int]] = {}  # positions in the stack of the open elements of each kind
     held: list[str] = []
+    quotes = True
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            top = stack[-1]
+            top = block_stack[-1]
             page.blocks.append((text, top.removed, top.inside))
             top.parts.append(text)
+            top.words += text.count(" ") + 1
+
+    def hold(text: str) -> None:
+        # Of a block that stays, the text of inline elements that rules remove is left out.
+        if block_stack[-1].removed or not stack[-1].removed:
+            held.append(text)
 
     def close(n: int) -> None:
         """Close the innermost elements until ``n`` are left."""
         while len(stack) > n:
             e = stack[-1]
-            if e.tag in _BLOCK:
+            if e.parts is not None:
                 flush()
-            stack.pop()
-            top = stack[-1]
-            if e.tag in _BLOCK:
+                block_stack.pop()
                 digest = hashlib.blake2b("\0".join(e.parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                if not e.holds_main and not (e.inside and e.prose) and e.first < len(page.blocks):
-                    page.subtrees.append((int.from_bytes(digest, "little", signed=True), e.first, len(page.blocks)))
+                if not e.holds_main and e.first < len(page.blocks):
+                    page.subtrees.append((int.from_bytes(digest, "little", signed=True), e.first, len(page.blocks), e.inside or (e.prose and e.words >= LONG)))
+                top = block_stack[-1]
                 top.parts.append(digest.hex())
-            else:
-                top.parts += e.parts[1:]
-            top.holds_main |= e.holds_main
+                top.holds_main |= e.holds_main
+                top.words += e.words if e.prose else 0
+            stack.pop()
+            depths[e.tag].pop()
 
     source, at = source or "", 0
     while m := _TAG.search(source, at):
         if m.start() > at:
-            held.append(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+            hold(source[at : m.start()])
+        if m[1]:
+            at = source.find("-->", m.end())
+            at = len(source) if at < 0 else at + 3
+            continue
+        tag = (m[3] or "").lower()
+        rest = (quotes and tag and _REST.match(source, m.end())) or None
+        if rest:
+            given, at = rest[1], rest.end()
+        else:
+            quotes = quotes and not tag
+            end = source.find(">", m.end())
+            given, at = source[m.end() : end] if end >= 0 else "", end + 1 if end >= 0 else len(source)
         if not tag:
             continue
-        if m[1]:
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    close(n)
-                    break
-            else:
-                if tag in _BLOCK:
-                    flush()
+        if m[2]:
+            if depths.get(tag):
+                close(depths[tag][-1])
+            elif tag in _BLOCK:
+                flush()
             continue
         if tag in _VOID:
             if tag == "br":
-                held.append(" ")
+                hold(" ")
             elif tag == "hr":
                 flush()
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            at = source.find(">", end.end()) + 1 if end else 0
+            at = at or len(source)
             continue
-        if tag in _BLOCK:
-            names = [e.tag for e in stack]
-            if tag not in ("html", "head", "body") and "p" in names:
-                close(len(names) - 1 - names[::-1].index("p"))
+        block = tag in _BLOCK
+        if block:
+            if tag not in ("html", "head", "body") and depths.get("p"):
+                close(depths["p"][-1])
             if tag in _ENDS:
                 kinds, limits = _ENDS[tag]
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n].tag in limits:
-                        break
-                    if stack[n].tag in kinds:
-                        close(n)
-                        break
-            if tag == "body" and "head" in [e.tag for e in stack]:
-                close([e.tag for e in stack].index("head"))
+                kind, limit = (max((depths[k][-1] for k in some if depths.get(k)), default=-1) for some in (kinds, limits))
+                if kind > limit:
+                    close(kind)
+            if tag == "body" and depths.get("head"):
+                close(depths["head"][0])
             flush()
-        a, top = _attributes(m[3].rstrip("/")), stack[-1]
-        main = tag in ("article", "main") or a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody"
+        a, top = _attributes(given.rstrip("/")), stack[-1]
+        main = block and (tag in ("article", "main") or a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody")
         removed = top.removed or _is_removed(tag, a, top.inside)
-        e = _Element(tag, removed, top.inside or (main and not removed), top.prose or tag in _PROSE, len(page.blocks), [f"{tag} {a.get('id', '')} {a.get('class', '')}"], main and not removed)
+        if given.endswith("/") and not block:
+            continue
+        depths.setdefault(tag, []).append(len(stack))
+        e = _Element(tag, removed, top.inside or (main and not removed), top.prose or tag in _PROSE, len(page.blocks), [f"{tag} {a.get('id', '')} {a.get('class', '')}"] if block else None, main and not removed)
         stack.append(e)
-        if m[3].endswith("/") and tag not in _BLOCK:
-            stack.pop()
-    held.append(source[at:])
+        if block:
+            block_stack.append(e)
+    hold(source[at:])
     close(1)
     flush()
     return page
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", many: int = MANY_PAGES) -> DataFrame:
-    """The main text of every page: ``text`` and ``n_chars`` beside the page's other columns (less the html).
+    """The main text of every page: ``text``, ``n_chars`` and ``n_template`` beside the page's other columns (less the html).
 
     Method: all subtrees of block elements are hashed (kind, names, text, children) and
     counted per host over pages of different main text, so that copies of one article count
-    once; subtrees on at least ``many`` such pages are site template and are deleted.
-    Paragraphs, headings, lists and tables inside the main container (article, main) are
-    never taken for template, as articles of one host may share passages. What no article
-    holds (menus, headers, footers, sidebars, notices, adverts, forms, comments) is removed
-    by element kind, role and names as well; if a page has a main container, only its text
-    counts. Blocks are trimmed, their white space is made one blank, and they are joined by
-    two newlines.
+    once. Subtrees on at least ``many`` such pages and ``SHARE`` of the host's are site
+    template and are deleted; in an article or main element, and for longer prose, it takes
+    ``MAIN_SHARE``, as articles of one host may share passages. What no article holds and
+    counting may miss (hosts of few pages, parts that change with the page) is removed by
+    element kind, role and whole names as well; if a page has a main container, only its
+    text counts. Blocks are trimmed, their white space is made one blank, and they are joined
+    by two newlines. ``n_template`` is the number of a page's blocks in deleted subtrees.
 
     Counts are combined before each shuffle, so a host may hold any share of the pages. Null
     html gives an empty text; a null url counts as one more host; repeated rows are kept;
-    columns named ``text`` or ``n_chars`` are replaced; an empty table gives an empty result.
+    columns named as those returned are replaced, others of any name are kept; an empty
+    table gives an empty result.
     """
     ship(pages.sparkSession)
     key = F.xxhash64(url_col, html_col)
@@ -200,30 +240,41 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", ma
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, hashes, prints = [], [], [], []
-            for k, h, source in zip(*(batch.column(c).to_pylist() for c in ("_key", "_host", "_html"))):
+            keys, hosts, hashes, prints, wide = [], [], [], [], []
+            for k, h, source in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html"))):
                 page = parse(source)
                 content = int.from_bytes(hashlib.blake2b(page.text().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                found = {x for x, _, _ in page.subtrees}
+                found = {x: main for x, _, _, main in page.subtrees}
                 keys += [k] * len(found)
                 hosts += [h] * len(found)
                 prints += [content] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64()), pa.array(prints, pa.int64())], ["_key", "_host", "hash", "content"])
+                wide += found.values()
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "host": pa.array(hosts, pa.int64()), "hash": pa.array(hashes, pa.int64()), "content": pa.array(prints, pa.int64()), "main": pa.array(wide, pa.bool_())})
 
-    seen = pages.select(key.alias("_key"), host.alias("_host"), F.col(html_col).alias("_html")).mapInArrow(hashed, "_key bigint, _host bigint, hash bigint, content bigint")
+    seen = pages.select(key.alias("key"), host.alias("host"), F.col(html_col).alias("html")).mapInArrow(hashed, "key bigint, host bigint, hash bigint, content bigint, main boolean")
     seen = materialise(seen, "subtrees")
-    template = seen.select("_host", "hash", "content").distinct().groupBy("_host", "hash").count().where(F.col("count") >= many).select("_host", "hash")
-    gone = seen.select("_key", "_host", "hash").join(template, ["_host", "hash"]).groupBy("_key").agg(F.collect_set("hash").alias("_gone"))
+    sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counts = seen.groupBy("host", "hash", "content").agg(F.max("main").alias("main")).groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("main").alias("main"))
+    share = F.when(F.col("main"), MAIN_SHARE).otherwise(SHARE)
+    template = counts.where(F.col("n") >= many).join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    gone = seen.select("key", "host", "hash").join(template, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone"))
 
-    others = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
-    kept = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html_col).alias("_html"), key.alias("_key")).join(gone, "_key", "left")
+    replaced = {html_col.lower(), "text", "n_chars", "n_template"}
+    others = [c for c in pages.columns if c.lower() not in replaced]
+    own = {n: free_name(pages, f"_{n}") for n in ("key", "html", "gone")}
+    kept = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html_col).alias(own["html"]), key.alias(own["key"]))
+    kept = kept.join(gone.select(F.col("key").alias(own["key"]), F.col("gone").alias(own["gone"])), own["key"], "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse(s).text(set(g or ())) for s, g in zip(batch.column("_html").to_pylist(), batch.column("_gone").to_pylist())]
+            found, removed = [], []
+            for source, hashes in zip(batch.column(own["html"]).to_pylist(), batch.column(own["gone"]).to_pylist()):
+                page, hashes = parse(source), set(hashes or ())
+                found.append(page.text(hashes))
+                removed.append(sum(page.template(hashes)))
             arrays = [batch.column(c) for c in others]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*others, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.string()), pa.array(map(len, found), pa.int64()), pa.array(removed, pa.int64())], [*others, "text", "n_chars", "n_template"])
 
-    schema = pages.select(*[F.col(f"`{c}`") for c in others]).schema.add("text", "string").add("n_chars", "long")
+    schema = pages.select(*[F.col(f"`{c}`") for c in others]).schema.add("text", "string").add("n_chars", "long").add("n_template", "long")
     return kept.mapInArrow(texts, schema)
