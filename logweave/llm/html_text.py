@@ -113,7 +113,7 @@ def parse(source: str | None) -> Page:
     """Blocks and element subtrees of a page, however broken its markup, in time linear in its length. None: no blocks.
 
     A quotation mark that is never closed ends no tag: from there on tags end at the first >.
-    A last tag without > is dropped.
+    A last tag without > is text.
     """
     page = Page()
     root = _Element("", False, False, False, 0, [], False)
@@ -168,7 +168,10 @@ def parse(source: str | None) -> Page:
         else:
             quotes = quotes and not tag
             end = source.find(">", m.end())
-            given, at = source[m.end() : end] if end >= 0 else "", end + 1 if end >= 0 else len(source)
+            if end < 0:
+                at = m.start() if m[3] else len(source)
+                break
+            given, at = source[m.end() : end], end + 1
         if not tag:
             continue
         if m[2]:

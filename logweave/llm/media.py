@@ -25,7 +25,13 @@ LEAST, MOST, ABOUT = 256, 8192, 1024
 BITMAP_BITS = 26
 _GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0xC0FFEE)) >> np.uint64(32)).astype(np.uint32)
 
-STORE = "row bigint, doc_id bigint, n_bytes bigint, lengths array<int>, digests array<binary>, samples array<binary>"
+#: A chunk that stands in more than a HOT-th of all places is looked up without a shuffle; there are fewer than HOT such, of at most MOST bytes.
+HOT = 1024
+
+#: media: the media file, a header and the ordered chunk list; samples: the bytes of its
+#: chunks, null for those in ``chunks``, whose digests stand in ``shared``.
+STORE = "row bigint, doc_id bigint, media binary, samples array<binary>, shared array<binary>"
+_HEADER, _ENTRY = "<4sQI", "<I32s"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -89,6 +95,11 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarr
             yield ids, n, rows
 
 
+def _listed(n: int, parts: list[tuple[bytes, bytes]]) -> bytes:
+    """The media file of a payload: magic, unpadded bytes, number of chunks, and per chunk its size and digest."""
+    return struct.pack(_HEADER, b"CDC8", n, len(parts)) + b"".join([struct.pack(_ENTRY, len(p), d) for d, p in parts])
+
+
 def _bit(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little") >> (64 - BITMAP_BITS)
 
@@ -119,7 +130,8 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     are shuffled by digest and stored once, in ``chunks``. A bit set by another digest only
     moves a chunk from its row to ``chunks``; nothing depends on the bitmap's load.
 
-    Null text counts as empty; rows of any id, null or repeated, are stored each.
+    Null text counts as empty; rows of any id, null or repeated, are stored each; an empty
+    table gives empty ones; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -132,8 +144,12 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, found in _chunked(batches):
-            own = {d: p for row in found for d, p in row if shared(d)}
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(own.keys(), pa.binary()), "samples": pa.array(own.values(), pa.binary())})
+            own: dict[bytes, list] = {}
+            for row in found:
+                for d, p in row:
+                    if shared(d):
+                        own.setdefault(d, [p, 0])[1] += 1
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(own.keys(), pa.binary()), "samples": pa.array([p for p, _ in own.values()], pa.binary()), "places": pa.array([n for _, n in own.values()], pa.int64())})
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -141,15 +157,14 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             out = {
                 "row": pa.array(np.arange(row, row + len(ids))),
                 "doc_id": pa.array(ids, pa.int64()),
-                "n_bytes": pa.array(n),
-                "lengths": pa.array([[len(p) for _, p in r] for r in found], pa.list_(pa.int32())),
-                "digests": pa.array([[d for d, _ in r] for r in found], pa.list_(pa.binary())),
+                "media": pa.array([_listed(k, r) for k, r in zip(n.tolist(), found)], pa.binary()),
                 "samples": pa.array([[None if shared(d) else p for d, p in r] for r in found], pa.list_(pa.binary())),
+                "shared": pa.array([[d if shared(d) else None for d, _ in r] for r in found], pa.list_(pa.binary())),
             }
             row += len(ids)
             yield pa.RecordBatch.from_pydict(out)
 
-    once = rows.select("text").mapInArrow(several, "digest binary, samples binary").groupBy("digest").agg(F.first("samples").alias("samples"))
+    once = rows.select("text").mapInArrow(several, "digest binary, samples binary, places bigint").groupBy("digest").agg(F.first("samples").alias("samples"), F.sum("places").alias("places"))
     once.write.option("compression", "zstd").parquet(f"{path}/chunks")
     rows.mapInArrow(stored, STORE).write.option("compression", "zstd").parquet(f"{path}/rows")
 
@@ -158,47 +173,57 @@ def read_media(spark: SparkSession, path: str, with_samples: bool = False) -> Da
     """Payloads put together from their ordered chunk lists, each chunk checked by its digest.
 
     Rows without shared chunks need no shuffle; for the others, chunk references are joined
-    with ``chunks`` by digest and grouped by row (one payload's chunks).
+    with ``chunks`` by digest and grouped by row (one payload's chunks). Chunks that stand in
+    very many places (that of all empty texts) are broadcast: fewer than ``HOT``, of at most
+    ``MOST`` bytes.
 
     Returns ``doc_id``, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``,
-    ``media_bytes`` and ``media_sha256`` (the stored form: magic, unpadded size, the chunk
-    list, the samples), ``feature``; with ``with_samples`` also ``payload``.
+    ``media_bytes`` and ``media_sha256`` (the stored bytes of the document: its media file,
+    then its chunks in order), ``feature``; with ``with_samples`` also ``payload``. An empty
+    table gives an empty result.
     """
     ship(spark)
     store = spark.read.schema(STORE).parquet(f"{path}/rows")
-    chunks = spark.read.schema("digest binary, samples binary").parquet(f"{path}/chunks")
-    absent = F.exists("samples", lambda x: x.isNull())
-    names = store.where(absent).select("row", F.posexplode(F.arrays_zip("digests", F.transform("samples", lambda x: x.isNull()).alias("absent"))).alias("at", "one"))
-    names = names.where("one.absent").select("row", "at", F.col("one.digests").alias("digest"))
-    found = names.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("at", "samples")).alias("found"))
+    chunks = spark.read.schema("digest binary, samples binary, places bigint").parquet(f"{path}/chunks")
+    absent = F.exists("shared", lambda x: x.isNotNull())
+    names = store.where(absent).select("row", F.posexplode("shared").alias("at", "digest")).where("digest is not null")
+    total = chunks.agg(F.sum("places")).first()[0] or 0
+    hot = chunks.where(F.col("places") > total / HOT).select("digest", F.col("samples").alias("hot"))
+    names = names.join(F.broadcast(hot), "digest", "left")  # fewer than HOT rows of at most MOST bytes
+    found = names.where("hot is not null").select("row", "at", F.col("hot").alias("samples"))
+    found = found.union(names.where("hot is null").join(chunks.select("digest", "samples"), "digest").select("row", "at", "samples"))
+    found = found.groupBy("row").agg(F.collect_list(F.struct("at", "samples")).alias("found"))
     whole = store.where(~absent).withColumn("found", F.lit(None).cast("array<struct<at:int,samples:binary>>"))
     whole = whole.union(store.where(absent).join(found, "row", "left").select(*store.columns, "found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "payload")}
-            for n, lengths, digests, samples, extra in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "lengths", "digests", "samples", "found"))):
+            out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "payload")}
+            for listed, samples, extra in zip(*(batch.column(c).to_pylist() for c in ("media", "samples", "found"))):
+                magic, n, count = struct.unpack_from(_HEADER, listed)
+                if magic != b"CDC8" or len(listed) != struct.calcsize(_HEADER) + count * struct.calcsize(_ENTRY):
+                    raise ValueError("a media file is damaged")
                 for x in extra or ():
                     samples[x["at"]] = x["samples"]
-                for d, p, size in zip(digests, samples, lengths):
+                for (size, d), p in zip(struct.iter_unpack(_ENTRY, listed[struct.calcsize(_HEADER) :]), samples, strict=True):
                     if p is None or len(p) != size or hashlib.sha256(p).digest() != d:
                         raise ValueError("a chunk is missing or damaged")
                 payload = b"".join(samples)
-                listed = struct.pack("<4sQI", b"CDC8", n, len(lengths)) + b"".join([struct.pack("<I", s) + d for s, d in zip(lengths, digests)])
                 media = hashlib.sha256(listed)
                 media.update(payload)
                 counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                 share = counts[counts > 0] / len(payload)
                 mean = float(counts @ np.arange(256)) / len(payload)
+                out["n_bytes"].append(n)
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-32:]))
                 out["media_bytes"].append(len(listed) + len(payload))
                 out["media_sha256"].append(media.hexdigest())
-                out["feature"].append(f"chunks={len(lengths)} mean={mean:.4f} entropy={-float(share @ np.log2(share)) + 0.0:.4f}")
+                out["feature"].append(f"chunks={count} mean={mean:.4f} entropy={-float(share @ np.log2(share)) + 0.0:.4f}")
                 out["payload"].append(payload if with_samples else None)
-            columns = {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")}
-            columns |= {k: pa.array(out[k], pa.int64()) if k in ("payload_bytes", "tail_crc32", "media_bytes") else pa.array(out[k], pa.binary() if k == "payload" else pa.string()) for k in out if k != "payload" or with_samples}
+            columns = {"doc_id": batch.column("doc_id")}
+            columns |= {k: pa.array(out[k], pa.int64()) if k in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes") else pa.array(out[k], pa.binary() if k == "payload" else pa.string()) for k in out if k != "payload" or with_samples}
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + (", payload binary" if with_samples else "")

@@ -140,3 +140,15 @@ def test_vector_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = QUERIES["op7_vector_links"](spark, sf_dir).collect()
     assert len(got) == len(rows) and all(r.kept == (r.component_id == r.vec_id) for r in got)
+
+
+@pytest.mark.parametrize("bits", [6, 26])
+def test_representatives_stay_whatever_the_bitmap_says(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "BITMAP_BITS", bits)
+    monkeypatch.setattr(common, "BITMAP_BITS", bits)
+    docs = spark.createDataFrame([(r.doc_id, r.text, "x") for r in edge_docs(spark).select("doc_id", "text").collect()] + [(100 + k, t, "y") for k, t in enumerate(near_copies(3, 30, 60, 3))], "doc_id bigint, text string, _stays string")
+    found = minhash.near_duplicates(docs)
+    gone = {r.doc_id for r in found.where("not kept").collect()}
+    kept = minhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in gone)

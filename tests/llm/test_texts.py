@@ -1,4 +1,10 @@
+import collections
+import dataclasses
 import hashlib
+import math
+import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -39,15 +45,57 @@ def test_toxicity_edges(spark, model):
     assert toxicity.score_toxicity(empty_docs(spark), model).count() == 0
     kept = toxicity.keep_ordinary(edge_docs(spark), model)
     assert kept.columns == edge_docs(spark).columns and kept.count() == edge_docs(spark).count()
-    bad = model.toxic.split()[0].decode()
-    one = spark.createDataFrame([(1, f"so {bad}, you {bad} and {bad.upper()}! {bad} {bad}"), (2, "so fine")], "doc_id bigint, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    worst = toxicity.score_toxicity(docs, model).orderBy(F.desc("score")).first().doc_id
+    bad = docs.where(F.col("doc_id") == worst).first().text
+    one = spark.createDataFrame([(1, bad), (2, "so fine"), (3, bad.upper())], "doc_id bigint, text string")
     assert [r.doc_id for r in toxicity.keep_ordinary(one, model).collect()] == [2]
 
 
+def test_windows_equal_a_loop(model):
+    texts = ["", "one", "Two, words", "a b c d e", "  x1y  Éa_b\n\tidiot trash worthless of the", EDGES[-1][:5000]]
+    w = toxicity.Windows(pa.array(texts, pa.large_string()))
+    want = []
+    for t in texts:
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        want.append([f" {' '.join(words[k : k + 3])} ".encode() for k in range(max(1, len(words) - 2) if words else 0)])
+    assert w.take(np.arange(len(w.owner))) == [x for row in want for x in row] and w.counts.tolist() == [len(x) for x in want]
+    margins = toxicity.Margins(model.ordinary, model.toxic)
+    telling = lambda x: any(margins.telling[k] for k in toxicity._grams(np.frombuffer(x, np.uint8)))
+    for row, hits in zip(want, w.hits(margins)):
+        found = [int(m) if telling(x) else 0 for x, m in zip(row, margins(row))]
+        assert hits.tolist() == [sum(m >= k for m in found) for k in range(1, toxicity.MARGINS + 1)] + [len(row)]
+        assert margins(row).tolist() == [len(margins.without.compress(x + toxicity._TAIL)) - len(margins.with_it.compress(x + toxicity._TAIL)) for x in row]
+
+
+def test_both_dictionaries_are_trained_apart(spark, model):
+    magic = (0xEC30A437).to_bytes(4, "little")  # of dictionaries made by zstandard's trainer
+    assert model.ordinary.startswith(magic) and model.toxic.startswith(magic)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    marked = {r.doc_id for r in toxicity.score_toxicity(docs, model).where("predicted = 1").collect()}
+    # No single word decides: without it most documents stay marked.
+    for word in ("idiot", "trash", "worthless", "moron"):
+        assert word.encode() not in model.ordinary
+        less = docs.withColumn("text", F.regexp_replace("text", f"(?i){word}", ""))
+        left = {r.doc_id for r in toxicity.score_toxicity(less, model).where("predicted = 1").collect()}
+        assert len(marked - left) <= 0.25 * len(marked)
+
+
+def test_one_text_per_labelled_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (4, 1), (None, 1)], "doc_id bigint, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", 10, "doc_id", "text").collect()
+    assert sorted((r.text, r.label) for r in got) == [("", 1), ("a", 1)]
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(1, None)], "doc_id bigint, toxic int")
     m = toxicity.fit_toxicity(edge_docs(spark), labels)
-    assert {r.predicted for r in toxicity.score_toxicity(edge_docs(spark), m).collect()} == {1 if m.scores[0] >= 0.3 else 0}
+    rows = toxicity.score_toxicity(edge_docs(spark), m).collect()
+    assert {r.score for r in rows} == {0.5} and {r.predicted for r in rows} == {1}
+    plain = spark.createDataFrame([(k, 0) for k in range(5)], "doc_id bigint, toxic int")
+    m = toxicity.fit_toxicity(edge_docs(spark), plain)
+    assert all(r.score < 0.1 and not r.predicted for r in toxicity.score_toxicity(edge_docs(spark), m).collect())
 
 
 def test_held_out_is_crc32(spark):
@@ -72,12 +120,49 @@ def test_resampling_keeps_the_good(spark):
     m = quality.fit_resampling(docs, labels)
     rows = quality.resample(docs, m)
     kept = rows.where("kept").count()
-    assert kept == rows.where(F.col("log_weight") >= m.cut).count()
+    assert kept == rows.where(F.col("log_weight") >= m.cut).count()  # as many, not the same
     share = {r.quality: r.share for r in rows.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
     assert share[1] > 0.97 and share[0] < 0.4
     assert sorted(r.doc_id for r in quality.keep_target_like(docs, m).collect()) == sorted(r.doc_id for r in rows.where("kept").collect())
 
 
+def test_resampling_equals_a_brute_force_top_k(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit_resampling(docs, labels)
+    texts = {r.doc_id: (r.text or "", r.name, r.half) for r in docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("name"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).alias("half")).collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    features = {d: quality._features(pa.array([t], pa.large_string())).flat.tolist() for d, (t, _, _) in texts.items()}
+    target, raw = collections.Counter(), collections.Counter()
+    for d, f in features.items():
+        raw.update(f)
+        if d in good and texts[d][2] == 0:
+            target.update(f)
+    n_target, n_raw = sum(target.values()), sum(raw.values())
+    ratio = lambda b: math.log((target[b] + 0.5) / (n_target + 0.5 * quality.BUCKETS)) - math.log((raw[b] + 0.5) / (n_raw + 0.5 * quality.BUCKETS))
+    assert all(abs(ratio(b) - m.ratios[b]) < 1e-9 for b in range(100))
+    keys = {}
+    for d, f in features.items():
+        weight = quality.PASSAGE * sum(map(ratio, f)) / len(f) if f else 0.0
+        keys[d] = weight + float(quality._gumbel(np.array([texts[d][1]], np.int64), m.seed)[0])
+    for k in (1, 137, 500):
+        got = {r.doc_id for r in quality.resample(docs, m, k).where("kept").collect()}
+        assert got == set(sorted(keys, key=keys.get)[-k:])
+        assert {r.doc_id for r in quality.keep_target_like(docs, m, k).collect()} == got
+
+
+def test_gumbel_draws_in_proportion_to_weights(spark):
+    weights = np.array([0.0, 1.0, 2.0, 0.5])
+    names = np.array([r.n for r in spark.range(4).select(F.xxhash64(F.col("id").cast("string")).alias("n")).collect()], np.int64)
+    n = 6000
+    first = np.bincount([int(np.argmax(weights + quality._gumbel(names, seed))) for seed in range(n)], minlength=4) / n
+    want = np.exp(weights) / np.exp(weights).sum()
+    assert (np.abs(first - want) < 4 * np.sqrt(want * (1 - want) / n)).all()
+    docs = spark.createDataFrame([(f"id{k}", f"w{k % 7} w{k % 5} same") for k in range(300)], "doc_id string, text string")
+    model = quality.ResamplingModel(np.zeros(quality.BUCKETS), -np.inf, 1)
+    drawn = [{r.doc_id for r in quality.resample(docs, dataclasses.replace(model, seed=s), 100).where("kept").collect()} for s in (1, 2)]
+    assert len(drawn[0]) == len(drawn[1]) == 100 and 10 < len(drawn[0] & drawn[1]) < 60  # a third of a third
+
+
 def test_resampling_edges(spark):
     labels = spark.createDataFrame([(10, 1), (4, 1), (6, 0), (99, 1), (8, None)], "doc_id bigint, quality int")
     m = quality.fit_resampling(edge_docs(spark), labels)
@@ -86,6 +171,8 @@ def test_resampling_edges(spark):
     assert quality.resample(empty_docs(spark), m).count() == 0 and quality.keep_target_like(empty_docs(spark), m).count() == 0
     nothing = quality.fit_resampling(edge_docs(spark), labels.limit(0))
     assert quality.keep_target_like(edge_docs(spark), nothing).count() == edge_docs(spark).count()
+    clash = edge_docs(spark).withColumn("_name", F.lit("x"))
+    assert quality.keep_target_like(clash, nothing).columns == clash.columns and quality.keep_target_like(clash, nothing, k=0).count() == 0
 
 
 # ---- media
@@ -136,9 +223,75 @@ def test_gear_is_a_sum_over_32_bytes():
     assert media.gear(data).tolist() == slow
 
 
+def test_media_query(spark, sf_dir):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op5_media_chunks"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r.doc_id]
+        full = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+        data = np.frombuffer(full, np.uint8)
+        ends = media.cuts(data, np.array([0]), np.array([len(full)]))[0]
+        parts = [full[a:b] for a, b in zip([0, *ends], ends)]
+        stored = struct.pack("<4sQI", b"CDC8", len(raw), len(parts)) + b"".join(struct.pack("<I", len(p)) + hashlib.sha256(p).digest() for p in parts) + full
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+
+
+def test_a_hot_chunk_and_damage(spark, tmp_path):
+    docs = spark.createDataFrame([(k, None if k % 3 else f"text {k}") for k in range(600)], "doc_id bigint, text string")
+    media.write_media(docs, str(tmp_path / "h"))
+    assert media.read_media(spark, str(tmp_path / "h")).where("n_bytes = 0 and payload_bytes = 576").count() == 400
+    chunks = spark.read.parquet(str(tmp_path / "h" / "chunks"))
+    assert chunks.agg(F.max("places")).first()[0] == 400
+    damaged = chunks.withColumn("samples", F.lit(b"x" * 576))
+    damaged.write.mode("overwrite").parquet(str(tmp_path / "d"))
+    (tmp_path / "h" / "chunks").rename(tmp_path / "old")
+    (tmp_path / "d").rename(tmp_path / "h" / "chunks")
+    with pytest.raises(Exception, match="damaged"):
+        media.read_media(spark, str(tmp_path / "h")).collect()
+
+
 # ---- licenses
 
 
+def all_windows(known, words):
+    """Occurrences found by measuring every window of every text against every template."""
+    out = set()
+    for width, levels in known.levels.items():
+        rows = licenses.shingles(words, width)
+        for level, which in levels.items():
+            for k in which:
+                for text in range(len(rows.lens)):
+                    row = rows.flat[rows.starts[text] : rows.starts[text] + rows.lens[text]]
+                    if not np.isin(row, known.sets[k]).any():
+                        continue
+                    some = {(-share, a + i, a + j) for a in range(len(row)) for share, i, j in [known.measured(row[a : a + (1 << level)], k)] if share >= licenses.CONTAINMENT}
+                    taken = []
+                    for share, a, b in sorted(some, key=lambda x: (x[0], x[2] - x[1], x[1])):
+                        if all(b < c or a > d for c, d in taken):
+                            taken.append((a, b))
+                            out.add((text, k, a, b, -share))
+    return out
+
+
+def test_license_bands_lose_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    notice = licenses.TEMPLATES
+    extra = [notice["MIT-grant"] + " and " + notice["MIT-grant"] + " all rights reserved. All Rights Reserved", "\n".join(f"// {line}" for line in notice["MIT-text"].splitlines()), "a " * 700 + notice["ISC-text"] + notice["GPL-header"]]
+    known = licenses.Templates(licenses.TEMPLATES)
+    words = licenses._hashed_words(pa.array([d.text or "" for d in docs] + extra, pa.large_string()))[0]
+    got = {(m.text, m.template, m.first, m.last, m.share) for m, _ in known.find(words)}
+    assert got == all_windows(known, words)
+    names = collections.Counter(known.names[m[1]] for m in got if m[0] >= len(docs))
+    assert names["MIT-grant"] == 3 and names["all-rights-reserved"] == 2 and names["MIT-text"] == names["ISC-text"] == names["GPL-header"] == 1
+    query = sorted((r.doc_id, r.license, r.first_word) for r in QUERIES["op6_licenses"](spark, SF).collect())
+    assert [q[:2] for q in query] == sorted((docs[m[0]].doc_id, known.names[m[1]]) for m in got if m[0] < len(docs))
+    assert sum(q[1] == "all-rights-reserved" for q in query) == sum((d.text or "").count("All rights reserved.") for d in docs) > 0
+
+
+
+
 def test_licenses(spark):
     notice = licenses.TEMPLATES["MIT-grant"]
     texts = [
@@ -187,6 +340,31 @@ def test_page_text(source, text):
     assert html_text.parse(source).text() == text
 
 
+@pytest.mark.parametrize("unit", ["<p", '<a "', "<div>", "<b>x", '<a ">">', "<ul><li>", "<p>x<td>", "<!--", "<script></script ", "<![", "</p", "&#x;", "<x y='"])
+def test_a_megabyte_of_broken_markup(unit):
+    begin = time.process_time()
+    html_text.parse(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - begin < 6  # linear; about 1 s here
+
+
+def test_whole_names_and_inline_text():
+    source = """<body><div class="menu">m</div><article><div class="post social-policy"><p>body text</p></div><section id="related-work"><p>more</p></section>
+    <p>E = <math><mi>m</mi></math>c <span hidden>no</span>and <button>Share</button>so</p><div class="widget header">kept</div><div class="x ad">gone</div></article></body>"""
+    assert html_text.parse(source).text() == "body text\n\nmore\n\nE = mc and so\n\nkept"
+
+
+def test_template_inside_articles_takes_half_of_the_pages(spark):
+    def page(k, extra):
+        return f"<article><p>Story {k} of this site.</p><p>{extra}</p><div>Follow our paper on every page</div></article>"
+
+    rows = [(k, f"https://a.example/{k}", page(k, "Shared passage" if k < 4 else f"Own {k}"), k, "t", None) for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, _html int, _gone string, _key int")
+    got = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    for k in range(12):
+        assert got[k].text == f"Story {k} of this site.\n\n" + ("Shared passage" if k < 4 else f"Own {k}")
+        assert got[k].n_template == 1 and got[k]["_html"] == k and got[k]["_gone"] == "t"
+
+
 def test_site_template_is_removed(spark):
     def body(k, host):
         return f"<body><div class='top'>Welcome to {host}</div><div><p>Story {k} of {host}</p><div>Read more on {host}</div></div><div>About {host} <a>x</a></div></body>"

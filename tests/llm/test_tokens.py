@@ -9,7 +9,7 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from logweave.llm import grammar_ids, packing
+from logweave.llm import grammar_ids, packing, repair
 from logweave.llm.chunks import PieceTable, WordTable, public_path
 from logweave.llm.piece_coding import encode_pieces
 from logweave.llm.queries import QUERIES
@@ -56,25 +56,69 @@ def test_pieces(spark, piece):
     assert encode_pieces(empty_docs(spark)).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=60), min_size=1, max_size=6))
-def test_grammar_round_trip(docs):
-    ids = np.array(sum(docs, []) * 8, np.uint32)
-    lens = np.array([len(d) for d in docs] * 8)
-    symbols, per_doc, rules = grammar_ids.compress(ids, lens, 6)
+def repeating(symbols, per_doc):
+    """The most occurrences of a pair that do not overlap, over all documents."""
+    counts, at = {}, 0
+    for n in per_doc.tolist():
+        row, last = symbols[at : at + n].tolist(), {}
+        for k, pair in enumerate(zip(row, row[1:])):
+            if last.get(pair) != k - 1:
+                counts[pair] = counts.get(pair, 0) + 1
+                last[pair] = k
+        at += n
+    return max(counts.values(), default=0)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=60), min_size=1, max_size=6), st.integers(1, 8))
+def test_grammar_round_trip(docs, times):
+    ids = np.array(sum(docs, []) * times, np.uint32)
+    lens = np.array([len(d) for d in docs] * times)
+    symbols, per_doc, rules = repair.compress(ids, lens, 6)
     assert per_doc.sum() == len(symbols) and len(per_doc) == len(lens)
-    assert (grammar_ids.decode(symbols, rules, 6) == ids).all()
+    assert repeating(symbols, per_doc) < 2
+    assert len(np.unique(rules, axis=0)) == len(rules)
+    lengths = repair.rule_lengths(rules, 6)
+    assert (repair.expand(symbols, rules, lengths, 6) == ids).all()
     a = len(ids) // 3
-    assert (grammar_ids.decode(symbols, rules, 6, a, len(ids) - a - 1) == ids[a:-1]).all()
-    first = 0
-    for n, m in zip(per_doc.tolist(), np.cumsum(lens).tolist()):  # each document on its own
-        assert len(grammar_ids.decode(symbols[first : first + n], rules, 6)) + 0 <= m
-        first += n
+    assert (repair.expand_range(symbols, rules, lengths, 6, a, len(ids) - a - 1) == ids[a:-1]).all()
+    first, at = 0, 0
+    for n, m in zip(per_doc.tolist(), lens.tolist()):  # each document on its own
+        assert (repair.expand(symbols[first : first + n], rules, lengths, 6) == ids[at : at + m]).all()
+        first, at = first + n, at + m
+
+
+def test_grammar_of_runs():
+    for n in (1, 2, 3, 4, 7, 1000, 100_001):
+        symbols, per_doc, rules = repair.compress(np.zeros(n, np.uint32), np.array([n]), 1)
+        assert repeating(symbols, per_doc) < 2 and len(symbols) + len(rules) < 60
+        assert len(repair.expand(symbols, rules, repair.rule_lengths(rules, 1), 1)) == n
+
+
+def test_grammar_of_a_table(spark, word):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300).collect()
+    rows = [ids for _, ids in expected_words(word, docs)]
+    symbols, per_doc, rules = repair.compress(np.concatenate(rows), np.array(list(map(len, rows))), 49_408)
+    assert repeating(symbols, per_doc) < 2 and len(symbols) + 2 * len(rules) < 0.7 * sum(map(len, rows))
+
+
+def test_a_range_reads_its_symbols_only():
+    ids = np.tile(np.arange(12, dtype=np.uint32), 40)
+    symbols, per_doc, rules = repair.compress(ids, np.full(40, 12), 12)
+    lengths = repair.rule_lengths(rules, 12)
+    # Another symbol of the right length, whose rule leads nowhere.
+    bad = np.concatenate([rules, [[2**31, 2**31]]]).astype(np.uint32)
+    longer = np.append(lengths, 12)
+    spoilt = np.full(40, 12 + len(rules), np.uint32)
+    spoilt[17] = symbols[17]
+    assert (repair.expand_range(spoilt, bad, longer, 12, 17 * 12 + 3, 5) == np.arange(3, 8)).all()
+    with pytest.raises(IndexError):
+        repair.expand(spoilt, bad, longer, 12)
 
 
 def test_grammar_compresses_and_stays_in_documents():
     ids = np.tile(np.array([3, 4, 5, 3, 4, 5, 9], np.uint32), 500)
-    symbols, per_doc, rules = grammar_ids.compress(ids, np.full(500, 7), 10)
+    symbols, per_doc, rules = repair.compress(ids, np.full(500, 7), 10)
     assert len(rules) and len(symbols) < len(ids) / 2 and (per_doc >= 1).all()
 
 
@@ -91,6 +135,11 @@ def test_id_files(spark, word, tmp_path):
     for r, (doc, ids) in zip(rows, expected_words(word, held), strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, list(r.ids)) == (doc, start, len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
         start += len(ids)
+    by_id = {r.doc_id: list(r.ids) for r in rows if r.doc_id not in (None, 1)}
+    for doc in (0, 6, 8, 12):
+        assert list(grammar_ids.read_range(spark, str(tmp_path / "ids"), doc).first().ids) == by_id[doc]
+        assert list(grammar_ids.read_range(spark, str(tmp_path / "ids"), doc, 1, 3).first().ids) == by_id[doc][1:4]
+    assert grammar_ids.read_range(spark, str(tmp_path / "ids"), 1).count() == 2 and grammar_ids.read_range(spark, str(tmp_path / "ids"), 77).count() == 0
     grammar_ids.write_ids(empty_docs(spark), str(tmp_path / "none"))
     assert grammar_ids.read_ids(spark, str(tmp_path / "none")).count() == 0
 
@@ -154,3 +203,12 @@ def test_queries_over_a_table(spark, sf_dir, word):
     for r, (doc, ids) in zip(sorted(QUERIES["op4_grammar_ids"](spark, sf_dir).collect(), key=lambda r: r.doc_id), words, strict=True):
         assert tuple(r) == (doc, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_piece_query(spark, sf_dir, piece):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op10_piece_coding"](spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = piece.encode(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(piece.decode(ids).encode()).hexdigest())
