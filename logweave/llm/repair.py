@@ -71,18 +71,29 @@ def _disjoint(at: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray
     such, pairs of higher rank go first; in a run of one pair, every other one from the left.
     """
     chosen = []
-    while len(at):
-        link = np.append(after[at[:-1]] == at[1:], False)  # with the next one
-        same = link & (rank == np.roll(rank, -1))
-        back = np.concatenate([[False], link[:-1]])
-        head = np.concatenate([[True], ~same[:-1]])
-        begin = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        under = (head & back & (np.roll(rank, 1) > rank))[begin]
-        take = ((np.arange(len(at)) - begin) % 2 == 0) & ~under & ~(link & (np.roll(rank, -1) > rank))
+    while len(at) > 1:
+        link = after[at[:-1]] == at[1:]  # each with the next one
+        if not link.any():
+            break
+        here = np.arange(len(at))
+        ahead, behind = rank[:-1] < rank[1:], rank[:-1] > rank[1:]
+        head = np.ones(len(at), bool)
+        head[1:] = ~link | ahead | behind
+        begin = np.maximum.accumulate(np.where(head, here, 0))
+        under = np.zeros(len(at), bool)
+        under[1:] = link & behind
+        take = ((here - begin) & 1 == 0) & ~under[begin]
+        take[:-1] &= ~(link & ahead)
         chosen.append(at[take])
-        gone = take | (back & np.roll(take, 1)) | (link & np.roll(take, -1))
-        at, rank = at[~gone], rank[~gone]
-    return np.sort(np.concatenate(chosen)) if chosen else at
+        left = ~take
+        left[1:] &= ~(link & take[:-1])
+        left[:-1] &= ~(link & take[1:])
+        at, rank = at[left], rank[left]
+    if not chosen:
+        return at
+    out = np.concatenate([*chosen, at])
+    out.sort()
+    return out
 
 
 def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,14 +123,15 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np
 
     def replaceable(picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places where pairs are replaced, in order, and how often each pair is; one that would be replaced once stays."""
-        places = pairs.held[_slices(pairs.starts[picked], pairs.lens[picked])]
+        places = pairs.held[_slices(pairs.starts[picked], pairs.lens[picked])].astype(np.int64)
         rank = np.repeat(np.arange(len(picked)), pairs.lens[picked])
         live = pair_of[places] == picked[rank]
-        places, rank = places[live], rank[live]
-        order = np.argsort(places)
-        places = _disjoint(places[order], rank[order], after)
-        used = np.bincount(pair_of[places], minlength=pairs.size)
-        return places[used[pair_of[places]] > 1], used
+        key = (places[live] << 32) | rank[live]  # in order of place
+        key.sort()
+        places = _disjoint(key >> 32, key & 0xFFFFFFFF, after)
+        mine = pair_of[places]
+        used = np.bincount(mine, minlength=pairs.size)
+        return places[used[mine] > 1], used
 
     while pairs.size and (most := int(pairs.counts.max())) > 1:
         picked = np.flatnonzero(pairs.counts >= max(2, int(np.ceil(most * SHARE))))
@@ -139,12 +151,12 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np
         symbol += len(new)
         rules_left.append(pairs.left[new])
         rules_right.append(pairs.right[new])
-        second = after[at]
-        third = after[second]
+        second = after[at].astype(np.int64)
+        third = after[second].astype(np.int64)
         # Old pairs at the places that change: before, at and after each replaced pair.
         old = []
-        for around in (before[at], at, second):
-            around = around[around >= 0]
+        for around in (before[at].astype(np.int64), at, second):
+            around = around[around >= 0] if around is not at else at
             old.append(pair_of[around])
             pair_of[around] = -1
         old = np.concatenate(old)
@@ -169,12 +181,12 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np
 def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     """The number of ids that each rule's symbol stands for."""
     lens = np.ones(vocabulary + len(rules), np.int64)
+    highest = np.maximum.accumulate(rules.max(1)) if len(rules) else np.zeros(0)
     k = 0
     while k < len(rules):
-        known = vocabulary + k
-        ready = int(np.argmax(np.concatenate([(rules[k:] >= known).any(1), [True]])))
-        lens[known : known + ready] = lens[rules[k : k + ready]].sum(1)
-        k += ready
+        ready = int(np.searchsorted(highest, vocabulary + k))  # up to here rules hold known symbols only
+        lens[vocabulary + k : vocabulary + ready] = lens[rules[k:ready]].sum(1)
+        k = ready
     return lens[vocabulary:]
 
 
