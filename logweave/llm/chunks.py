@@ -85,6 +85,28 @@ def _distinct(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
+class Keys:
+    """Distinct strings in the order in which they came, and their places."""
+
+    def __init__(self, first: list[str]):
+        self.held = pa.array(first, pa.large_string())
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def places(self, keys: pa.Array, add) -> np.ndarray:
+        """The place of each of some distinct keys; ``add`` is called with those that come now."""
+        found = pc.index_in(keys, value_set=self.held)
+        new = found.is_null()
+        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            fresh = keys.filter(new)
+            add(fresh.to_pylist())
+            at[new.to_numpy(zero_copy_only=False)] = np.arange(len(self.held), len(self.held) + len(fresh))
+            self.held = pa.concat_arrays([self.held, fresh])
+        return at
+
+
 class WordTable:
     """Token ids of texts under a word tokenizer of the tokenizers library.
 
@@ -110,7 +132,7 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[str, int] = {"": 0}
+        self.rows = Keys([""])
         self.ids = Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _add_words(self, words: list[str]) -> None:
@@ -120,13 +142,11 @@ class WordTable:
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             raise ValueError("a word was split in two")
-        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
         self.ids = self.ids.add(Ragged(ids, np.diff(stops, prepend=0)))
 
     def _add_others(self, keys: list[str]) -> None:
         """keys: a NUL, then any chunk."""
         found = [x.ids for x in self.whole.encode_batch_fast([k[1:] for k in keys], add_special_tokens=False)]
-        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys))))
         self.ids = self.ids.add(Ragged.of(found, np.uint32))
 
     def encode(self, texts: pa.Array) -> Ragged:
@@ -137,20 +157,15 @@ class WordTable:
         chunks, at = _distinct(lists.flatten())
         parts = pc.extract_regex(chunks, _SIMPLE)
         simple = parts.is_valid().to_numpy(zero_copy_only=False)
-        others = chunks.filter(pa.array(~simple)).to_pylist()
+        others = pa.array(["\0" + c for c in chunks.filter(pa.array(~simple)).to_pylist()], pa.large_string())
         parts = parts.filter(pa.array(simple))
         both = pa.concat_arrays([pc.utf8_lower(pc.struct_field(parts, [0])), pc.struct_field(parts, [1])])
         words, which = _distinct(both)
-        words, keys = words.to_pylist(), ["\0" + c for c in others]
-        if new := [w for w in words if w not in self.rows]:
-            self._add_words(new)
-        if new := [k for k in keys if k not in self.rows]:
-            self._add_others(new)
-        row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))[which]
+        row = self.rows.places(words, self._add_words)[which]
         n = int(simple.sum())
         first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         first[simple], second[simple] = row[:n], row[n:]
-        first[~simple] = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        first[~simple] = self.rows.places(others, self._add_others)
         table = self.ids.take(np.stack([first, second], 1).ravel()).merge(np.full(len(chunks), 2))
         return table.take(at).merge(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
 
@@ -179,7 +194,7 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows = Keys([])
         self.ids = Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.decoded = Ragged(np.zeros(0, np.uint8), np.zeros(0, np.int64))
 
@@ -202,7 +217,6 @@ class PieceTable:
         # One blank on its own is what remains of a text's last blank.
         ids = [x if c else [self.blank] for c, x in zip(new, ids)]
         texts = [(" " + t).encode() for t in self.sp.decode(ids, num_threads=1)]
-        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.ids = self.ids.add(Ragged.of(ids, np.int32))
         self.decoded = self.decoded.add(Ragged.of(texts, np.uint8))
 
@@ -212,10 +226,7 @@ class PieceTable:
             self._clear()
         values, counts = self._cut(texts)
         chunks, at = _distinct(values)
-        chunks = chunks.to_pylist()
-        if new := [c for c in chunks if c not in self.rows]:
-            self._add(new)
-        row = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))[at]
+        row = self.rows.places(chunks, self._add)[at]
         return self.ids.take(row).merge(counts), self.decoded.take(row).merge(counts)
 
 
