@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import SETTINGS, materialise, new_table_path, shared_folder  # noqa: F401  used by the operators beside this module
+from ..session import SETTINGS, discard, materialise, new_table_path, shared_folder  # noqa: F401  used by the operators beside this module
 from ..session import ship as _ship
 
 
@@ -49,14 +49,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes. Each step is one
     ``min`` per id (combined before the shuffle) and one equi-join, so a component of any
-    size is spread over all tasks; each round is cut by a checkpoint in the shared folder.
+    size is spread over all tasks; each round is cut by a table in the shared folder.
     Ids without edges are not returned. An empty input gives an empty result. Raises if
     ``max_rounds`` rounds do not suffice (each round about halves the depth of the trees).
     """
-    shared_folder(edges.sparkSession)
     e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     e = e.where("a is not null and b is not null and a <> b")
-    e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    table = e = materialise(e, "edges")
     before = None
     for _ in range(max_rounds):
         # Large star: every larger neighbour of u is linked with the smallest id near u.
@@ -65,7 +65,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: the smaller neighbours of u, and u, are linked with the smallest of them.
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        e = e.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        old, e = table, materialise(e, "edges")
+        table = e
+        discard(old)
         # Both sums and the count change as long as any edge moves to a smaller id.
         now = e.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Ragged, blocks
-from .common import free_name, materialise, ship
+from .common import discard, free_name, materialise, ship
 from .toxicity import labelled_sample
 from .words import mix, word_hashes
 
@@ -103,9 +103,10 @@ def fit_resampling(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, block in blocks(batch, "text"):
-                yield pa.RecordBatch.from_pydict({"w": _weights(block, ratios), "label": batch.column("label").slice(first, len(block))})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(first, len(block)), "w": _weights(block, ratios), "label": batch.column("label").slice(first, len(block))})
 
-    rows = sample.where((F.col("label") == 0) | ~half).mapInArrow(run, "w double, label int").collect()  # at most sample_rows numbers
+    others = sample.where((F.col("label") == 0) | ~half).select(F.xxhash64("_id").alias("id"), "text", "label")
+    rows = others.mapInArrow(run, "id bigint, w double, label int").distinct().collect()  # at most sample_rows numbers
     good, bad = (np.sort([r["w"] for r in rows if (r["label"] == 1) == k]) for k in (True, False))
     if not len(good) or not len(bad):
         return ResamplingModel(ratios, -np.inf, seed)
@@ -190,6 +191,7 @@ def keep_target_like(docs: DataFrame, model: ResamplingModel, k: int | None = No
     """
     keys = materialise(resampling_keys(docs, model, id_col, text_col).drop(id_col), "keys")
     cut = _threshold(keys, model, k)
+    discard(keys)
     names = free_name(docs, "_name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

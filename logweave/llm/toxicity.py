@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import materialise, ship
+from .common import discard, materialise, ship
 
 #: Labelled rows used to fit, those of the smallest hash of the id; windows of each kind used
 #: to train, those of the smallest hash: the documented bounds of the labelled sample.
@@ -134,13 +134,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
     """Texts and labels of at most ``rows`` labelled documents, those of the smallest id hash.
 
     Rows with a null id or label are left out; of contradicting labels the larger counts; of
-    several rows of one id the smallest text counts.
+    several texts of one id that of the smallest hash counts. Equal rows are all returned.
+    Returns ``_id``, ``text`` and ``label``; texts are not shuffled.
     """
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(some), "_id")  # at most ``rows`` ids
-    return found.groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    first = found.groupBy("_id").agg(F.min(F.xxhash64("text")).alias("_first"))  # at most ``rows`` rows
+    return found.join(F.broadcast(first), "_id").where(F.xxhash64("text") == F.col("_first")).select("_id", "text", "label")
 
 
 def _pools(sample: DataFrame) -> tuple[list[bytes], list[list[bytes]]]:
@@ -154,13 +156,16 @@ def _pools(sample: DataFrame) -> tuple[list[bytes], list[list[bytes]]]:
                 yield pa.RecordBatch.from_pydict({"window": pa.array(w.take(np.arange(len(w.owner))), pa.binary()), "kind": kind})
 
     kinds = sample.select("text", F.when(F.col("label") == 0, 1).otherwise(2 + 2 * F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).alias("kind"))
-    seen = materialise(kinds.mapInArrow(run, "window binary, kind int").groupBy("window").agg(F.bit_or("kind").alias("kind")), "windows")
+    seen = kinds.mapInArrow(run, "window binary, kind int").groupBy("window").agg(F.bit_or("kind").alias("kind"))
+    seen = materialise(seen, "windows")
 
     def pool(condition: str) -> list[bytes]:
         rows = seen.where(condition).orderBy(F.xxhash64("window"), "window").limit(TRAIN_WINDOWS).select("window").toArrow()
         return rows.column("window").to_pylist()
 
-    return pool("kind & 1 = 1"), [pool("kind = 2"), pool("kind = 4")]
+    out = pool("kind & 1 = 1"), [pool("kind = 2"), pool("kind = 4")]
+    discard(seen)
+    return out
 
 
 def _trimmed(window: bytes, margins: Margins, margin: int) -> bytes:
@@ -227,7 +232,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     """
     ship(docs.sparkSession)
     sample = materialise(labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col), "sample")
-    rate = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
+    rate = sample.select("_id", "label").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
     base = float(np.log((rate["k"] + 0.5) / (rate["n"] - rate["k"] + 0.5)))
     flat = ToxicityModel(b"", b"", (*[0.0] * (2 * MARGINS + 1), base))
     if rate["k"] in (0, rate["n"]):
@@ -244,9 +249,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
             for first, texts in blocks(batch, "text", _BLOCK):
                 by_half = np.stack([Windows(texts).hits(m) for m in margins])
                 hits = by_half[half[first : first + len(texts)], np.arange(len(texts))]
-                yield pa.RecordBatch.from_pydict({"label": batch.column("label").slice(first, len(texts)), "hits": pa.array(list(hits), pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(first, len(texts)), "label": batch.column("label").slice(first, len(texts)), "hits": pa.array(list(hits), pa.list_(pa.int64()))})
 
-    rows = sample.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")).mapInArrow(measured, "label int, hits array<bigint>").toArrow()  # at most sample_rows rows of numbers
+    halves = sample.select(F.xxhash64("_id").alias("id"), "text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    rows = halves.mapInArrow(measured, "id bigint, label int, hits array<bigint>").distinct().toArrow()  # at most sample_rows rows of numbers
+    discard(sample)
     x = np.array(rows.column("hits").to_pylist(), np.int64)
     y = np.minimum(rows.column("label").to_numpy(), 1)
     return ToxicityModel(common, final, tuple(_logistic(_features(x), y).tolist()))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweave.llm import minhash, vector_links
+from logweave.llm import common, minhash, vector_links
 from logweave.llm.common import connected_components
 from logweave.llm.queries import QUERIES
 

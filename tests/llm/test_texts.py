@@ -84,8 +84,10 @@ def test_both_dictionaries_are_trained_apart(spark, model):
 def test_one_text_per_labelled_id(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (4, 1), (None, 1)], "doc_id bigint, toxic int")
+    docs = docs.union(docs.where("doc_id = 2"))
     got = toxicity.labelled_sample(docs, labels, "toxic", 10, "doc_id", "text").collect()
-    assert sorted((r.text, r.label) for r in got) == [("", 1), ("a", 1)]
+    least = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).first().text
+    assert sorted((r["_id"], r.text, r.label) for r in got) == [(1, least, 1), (2, "", 1), (2, "", 1)]
 
 
 def test_toxicity_without_labels(spark):
