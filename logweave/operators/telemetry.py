@@ -100,19 +100,28 @@ def _named(telemetry: DataFrame, metrics: list[str] | tuple[str, ...]) -> DataFr
     return telemetry.withColumn("metric", name).where("metric is not null")
 
 
-def latest_value(telemetry: DataFrame, metrics: list[str] | tuple[str, ...]) -> DataFrame:
-    """The value of each metric at its latest time per device; rows without time do not count."""
+def latest_value(telemetry: DataFrame, metrics: list[str] | tuple[str, ...], index: dict[str, int] | None = None) -> DataFrame:
+    """The value of each metric at its latest time per device; rows without time do not count.
+
+    Of several keys with a metric's suffix the first by name counts, or that of ``index`` (from 0; null where there are fewer).
+    """
     rows = _named(telemetry, metrics).where("time is not null")
-    return rows.groupBy("device", "metric").agg(F.max("time").alias("time"), F.max_by("value", F.struct("time", "report_id", "key")).alias("value"))
+    each = rows.groupBy("device", "metric", "key").agg(F.max("time").alias("time"), F.max_by("value", F.struct("time", "report_id")).alias("value"))
+    keys = F.array_sort(F.collect_list(F.struct("key", "time", "value")))  # the few keys of one suffix
+    nth = F.lit(0)
+    for name, n in (index or {}).items():
+        nth = F.when(F.col("metric") == name, F.lit(n)).otherwise(nth)
+    found = each.groupBy("device", "metric").agg(keys.alias("keys")).select("device", "metric", F.get("keys", nth).alias("one"))
+    return found.select("device", "metric", "one.time", "one.value")
 
 
-def _latest_wide(telemetry: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    return latest_value(telemetry, metrics).groupBy("device").pivot("metric", list(metrics)).agg(F.first("value"))
+def _latest_wide(telemetry: DataFrame, metrics: tuple[str, ...], index: dict[str, int] | None = None) -> DataFrame:
+    return latest_value(telemetry, metrics, index).groupBy("device").pivot("metric", list(metrics)).agg(F.first("value"))
 
 
 def device_info(telemetry: DataFrame) -> DataFrame:
-    """Latest address, serial number, versions, model and manufacturer of each device."""
-    return _latest_wide(telemetry, DEVICE_INFO)
+    """Latest address, serial number, versions, model and manufacturer (the second such key) of each device."""
+    return _latest_wide(telemetry, DEVICE_INFO, {"MANUFACTURER": 1})
 
 
 def device_status(telemetry: DataFrame) -> DataFrame:

@@ -99,14 +99,15 @@ def read_parsed_logs(spark: SparkSession, path: str) -> DataFrame:
 def reports_of(texts: DataFrame) -> DataFrame:
     """``file``, ``report_id`` (from 1), ``json`` of whole JSON texts (``file``, ``text``).
 
-    Control characters go; undecodable texts are skipped; a list gives a report per element.
+    Control characters go; undecodable texts are skipped; a list gives a report per element, in its order.
     """
     value = F.try_parse_json(strip_control(F.col("text"), all_of_them=True))
     texts = texts.select("file", value.alias("v")).where("v is not null")
     is_list = F.expr("schema_of_variant(v) like 'ARRAY%'")
-    many = texts.where(is_list).select("file", F.explode(F.expr("cast(v as array<variant>)")).alias("v"))
-    rows = texts.where(~is_list).unionByName(many).where("schema_of_variant(v) like 'OBJECT%'").select("file", F.to_json("v").alias("json"))
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("json")).alias("report_id"), "json")
+    many = texts.where(is_list).select("file", F.posexplode(F.expr("cast(v as array<variant>)")).alias("pos", "v"))
+    one = texts.where(~is_list).select("file", F.lit(0).alias("pos"), "v")
+    rows = one.unionByName(many).where("schema_of_variant(v) like 'OBJECT%'").select("file", "pos", F.to_json("v").alias("json"))
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("pos", "json")).alias("report_id"), "json")
 
 
 def read_json_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:

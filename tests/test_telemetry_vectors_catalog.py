@@ -87,3 +87,19 @@ def test_catalog(spark):
     index = spark.createDataFrame([(0, "heal", "h"), (1, "self", "s")], "position int, supported string, config string")
     routed = catalog.route_by_name(files.select(F.col("original_name").alias("file")), index).collect()
     assert {r.file: r.config for r in routed}["SelfHeal.txt"] == "h" and {r.file: r.config for r in routed}["e"] is None
+
+
+def test_latest_value_takes_the_key_asked_for(spark):
+    rows = [("d", 1, 10, "A.manufacturer", "first"), ("d", 1, 10, "B.manufacturer", "second"), ("d", 2, 11, "B.manufacturer", "later"), ("d", 2, 11, "A.manufacturer", "now"), ("e", 1, 10, "A.manufacturer", "alone"), ("e", 2, None, "A.manufacturer", "no time")]
+    table = spark.createDataFrame(rows, "device string, report_id int, t int, key string, value string")
+    table = table.select("device", "report_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("time"), "key", "value")
+    assert {r.device: r.value for r in T.latest_value(table, ["MANUFACTURER"]).collect()} == {"d": "now", "e": "alone"}
+    assert {r.device: r.MANUFACTURER for r in T.device_info(table).collect()} == {"d": "later", "e": None}
+
+
+def test_reports_keep_the_order_of_their_list(spark):
+    from logweave.sources.logs import reports_of
+
+    texts = spark.createDataFrame([("f", '[{"z": 1}, {"a": 2}, 7, {"m": 3}]'), ("g", '{"b": 1}'), ("h", "no json"), ("i", None)], "file string, text string")
+    got = sorted((r.file, r.report_id, r.json) for r in reports_of(texts).collect())
+    assert got == [("f", 1, '{"z":1}'), ("f", 2, '{"a":2}'), ("f", 3, '{"m":3}'), ("g", 1, '{"b":1}')]
