@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,18 @@ def bitmap_of(names: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def bit_lookup(spark: SparkSession, bitmap: np.ndarray):
+    """A function from a column of 64-bit names to whether their bit is set in a bitmap (``bitmap_of``)."""
+    held = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked(bit: pd.Series) -> pd.Series:
+        b = bit.to_numpy()
+        return pd.Series((held.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda name: marked(F.shiftrightunsigned(name, 64 - BITMAP_BITS))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every id in ``edges`` (columns ``a`` and ``b``, bigint).
 

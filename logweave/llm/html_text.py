@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, ship
+from .common import bit_lookup, bitmap_of, discard, free_name, materialise, ship
 
 #: Pages of one host, with different main text, on which a subtree has to stand to count as
 #: template: so many at least, and so large a share of the host's pages.
@@ -267,7 +267,13 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", ma
     others = [c for c in pages.columns if c.lower() not in replaced]
     own = {n: free_name(pages, f"_{n}") for n in ("key", "html", "gone")}
     kept = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html_col).alias(own["html"]), key.alias(own["key"]))
-    kept = kept.join(gone.select(F.col("key").alias(own["key"]), F.col("gone").alias(own["gone"])), own["key"], "left")
+    gone = materialise(gone.select(F.col("key").alias(own["key"]), F.col("gone").alias(own["gone"])), "gone")
+    discard(seen)
+    # Pages without a deleted subtree stay where they are read; a bitmap of fixed size tells most of them.
+    marked = bit_lookup(pages.sparkSession, bitmap_of(gone, own["key"]))
+    here = kept.where(~marked(F.col(own["key"]))).withColumn(own["gone"], F.lit(None).cast("array<bigint>"))
+    there = kept.where(marked(F.col(own["key"]))).join(gone, own["key"], "left").select(here.columns)
+    kept = here.union(there)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
