@@ -165,6 +165,16 @@ class Templates:
                 a += 1
         return need / len(wanted), best[1], best[2]
 
+    def extended(self, row: np.ndarray, template: int, first: int, last: int) -> tuple[int, int]:
+        """The run with the template's shingles that adjoin it in the text: those that stand in it twice."""
+        wanted = self.sets[template]
+        held = lambda x: wanted[min(int(np.searchsorted(wanted, x)), len(wanted) - 1)] == x
+        while first > 0 and held(row[first - 1]):
+            first -= 1
+        while last + 1 < len(row) and held(row[last + 1]):
+            last += 1
+        return first, last
+
     def find(self, words: Ragged) -> list[tuple[Match, int]]:
         """All occurrences in a block of texts, with the width of their shingles."""
         out = []
@@ -177,7 +187,8 @@ class Templates:
                 share, first, last = self.measured(rows.flat[a : min(a + size, stops[text])], template)
                 if share >= CONTAINMENT:
                     begin = a - int(rows.starts[text])
-                    seen.setdefault((text, template), set()).add((-share, begin + first, begin + last))
+                    row = rows.flat[rows.starts[text] : stops[text]]
+                    seen.setdefault((text, template), set()).add((-share, *self.extended(row, template, begin + first, begin + last)))
             for (text, template), some in seen.items():
                 taken: list[tuple[int, int]] = []
                 for share, first, last in sorted(some, key=lambda x: (x[0], x[2] - x[1], x[1])):

@@ -268,7 +268,7 @@ def all_windows(known, words):
                     row = rows.flat[rows.starts[text] : rows.starts[text] + rows.lens[text]]
                     if not np.isin(row, known.sets[k]).any():
                         continue
-                    some = {(-share, a + i, a + j) for a in range(len(row)) for share, i, j in [known.measured(row[a : a + (1 << level)], k)] if share >= licenses.CONTAINMENT}
+                    some = {(-share, *known.extended(row, k, a + i, a + j)) for a in range(len(row)) for share, i, j in [known.measured(row[a : a + (1 << level)], k)] if share >= licenses.CONTAINMENT}
                     taken = []
                     for share, a, b in sorted(some, key=lambda x: (x[0], x[2] - x[1], x[1])):
                         if all(b < c or a > d for c, d in taken):
