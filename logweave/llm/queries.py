@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_tokenizers
 from .common import new_table_path
+from .fingerprints import edited_fingerprints
 from .grammar_ids import read_ids, write_ids
 from .html_text import main_text
 from .licenses import find_licenses
@@ -17,6 +19,7 @@ from .piece_coding import encode_pieces
 from .quality import fit_resampling, resample
 from .toxicity import fit_toxicity, is_held_out, score_toxicity
 from .vector_links import vector_links
+from .walsh_clusters import cluster_vectors
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,18 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_walsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_near_duplicates,
         op10_piece_coding,
+        op11_alignment,
+        op12_fingerprints,
+        op13_walsh_clusters,
     )
 }
 
@@ -98,5 +116,27 @@ _OP9_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(c
  r(id, reached) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a)
  SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS component_id, coalesce(c, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN (SELECT id, min(reached) AS c FROM r GROUP BY 1) g ON g.id = s.doc_id"""
 
+
+
+def _op13_sql(clusters: int = 16, rounds: int = 3) -> str:
+    nearest = lambda centroids: f"""SELECT vec_id, r, v, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT x.vec_id, x.r, x.v, c.k, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.c[i]) * (x.v[i] - c.c[i])))::BIGINT AS d FROM x, {centroids} c) GROUP BY ALL"""
+    parts = [
+        """x AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda y: floor(64 * y::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM x ORDER BY sha256('1:' || vec_id) LIMIT {clusters})",
+    ]
+    for t in range(rounds):
+        parts.append(f"a{t} AS ({nearest(f'c{t}')})")
+        parts.append(
+            f"""m{t} AS (SELECT k, list(q ORDER BY i) AS c FROM (SELECT k, i, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS q FROM (SELECT k, unnest(v) AS e, unnest(range(1, 65)) AS i FROM a{t}) GROUP BY k, i) GROUP BY k)"""
+        )
+        parts.append(f"c{t + 1} AS (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{t} o LEFT JOIN m{t} n ON n.k = o.k)")
+    parts.append(f"f AS ({nearest(f'c{rounds}')})")
+    return (
+        "WITH " + ", ".join(parts) + f""" SELECT vec_id, f.k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM f JOIN c{rounds} c ON c.k = f.k"""
+    )
+
+
 #: DuckDB SQL where SQL expresses the operator; tests hold the others against brute force.
-ORACLES: dict[str, str] = {"op7_vector_links": _OP7_SQL, "op9_near_duplicates": _OP9_SQL}
+ORACLES: dict[str, str] = {"op7_vector_links": _OP7_SQL, "op9_near_duplicates": _OP9_SQL, "op13_walsh_clusters": _op13_sql()}
