@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_member_name, rotation_base, rotation_number
 from ..functions.timestamps import is_uptime, message, parse_timestamp, raw_timestamp, rebase_uptime
+from .numbering import number_rows
 
 #: Lines of a file that are filled in one window; longer files are filled block by block.
 FILL_BLOCK = 100_000
@@ -85,17 +86,12 @@ def merge_rotated(members: DataFrame) -> DataFrame:
 
     Names are normalised; members of one name follow each other in order of their archives;
     rotations ``.1``, ``.2``, .. follow the base file. If a base has several versions, its
-    lines are sorted by their first word, keeping that order among equals.
+    lines are sorted by their first word, keeping that order among equals. Lines are numbered
+    by ``number_rows``, so that a base of any size is spread over many tasks.
     """
     name = normalise_member_name(F.col("member"))
     rows = members.select(rotation_base(name).alias("base"), rotation_number(name).alias("rotation"), "archive", "line_no", "line")
     versions = rows.groupBy("base").agg(F.count_distinct("rotation").alias("versions"))
     first = F.coalesce(F.regexp_extract("line", r"^\s*(\S+)", 1), F.lit(""))
     rows = rows.join(versions, "base").withColumn("word", F.when(F.col("versions") > 1, first).otherwise(F.lit("")))
-    # Number in two levels: words (or archives) first, so that a large base is no single task.
-    key = F.struct("word", "rotation", "archive")
-    rows = rows.withColumn("_key", key)
-    counts = rows.groupBy("base", "_key").count()
-    before = counts.select("base", "_key", (F.sum("count").over(Window.partitionBy("base").orderBy("_key")) - F.col("count")).alias("_before"))
-    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy("base", "_key").orderBy("line_no")))
-    return inside.join(before, ["base", "_key"]).select("base", (F.col("_before") + F.col("_inside")).alias("seq"), "line")
+    return number_rows(rows, ["word", "rotation", "archive", "line_no"], ["base"]).select("base", "seq", "line")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.telemetry import METRICS, flatten_json, flatten_report, kv_split, null_normalise, parse_size, strip_log_prefix, trim_json_tail
-from ..sources.sinks import export_telemetry, write_json_reports  # noqa: F401  the table's writers
+from ..session import materialise
 
+#: Line numbers of a run that one task carves.
+CARVE_BLOCK = 50_000
 DEVICE_INFO = ("MAC", "SERIAL_NUMBER", "VERSION", "HW_VERSION", "MODEL_NAME", "MANUFACTURER")
 DEVICE_STATUS = ("WAN_MODE", "MESH_EDGE", "RADIO1_ENABLE", "RADIO2_ENABLE", "AP1_STATUS", "AP2_STATUS")
 #: Metrics of a series by its name.
@@ -25,40 +27,153 @@ SERIES = {
 }
 
 
-def carve_json(lines: DataFrame) -> DataFrame:
+def _scan(total: list[int], opens: list[int | None]) -> dict[int | None, tuple[int, int | None]]:
+    """What a run of lines does to each state in front of it: blocks that end in it, and the state behind it.
+
+    A state is None outside a block, else the number of open braces. ``total``: opening less
+    closing braces of each line; ``opens``: the same from the first opening brace on, None
+    without one. States that are not in the answer stay in their block: ``total`` is added.
+    A block that begins in line s ends in the first line from s on where the running total has
+    come back to what it was in front of that brace; lines are walked backwards, so that such
+    a line, and what follows it, are known.
+    """
+    running, at = [], 0
+    for t in total:
+        at += t
+        running.append(at)
+    outside: tuple[int, int | None] = (0, None)
+    after: dict[int, tuple[int, int | None]] = {}
+    for k in range(len(total) - 1, -1, -1):
+        after[running[k]] = outside
+        if opens[k] is not None:
+            back = running[k] - opens[k]
+            outside = (after[back][0] + 1, after[back][1]) if back in after else (0, at - back)
+    found: dict[int | None, tuple[int, int | None]] = {-v: (n + 1, state) for v, (n, state) in after.items() if v}
+    found[None] = outside
+    return found
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Table]]:
+    """Neighbouring rows of equal ``file`` and ``block``; one run is held at a time."""
+    at, held = None, []
+    for batch in batches:
+        keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
+        first = 0
+        for k in range(len(keys) + 1):
+            if k == len(keys) or keys[k] != keys[first]:
+                if first < k:
+                    if at is not None and at != keys[first]:
+                        yield at, pa.Table.from_batches(held)
+                        held = []
+                    at = keys[first]
+                    held.append(batch.slice(first, k - first))
+                first = k
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_scan`` of each run of lines."""
+    for (file, block), rows in _runs(batches):
+        total = rows.column("total").to_pylist()
+        found = _scan(total, rows.column("opens").to_pylist())
+        ended, state = found.pop(None)
+        each = [list(found), [n for n, _ in found.values()], [x for _, x in found.values()]]
+        cells = [[file], [block], [sum(total)], [ended], [state], *([x] for x in each)]
+        names = ["file", "block", "total", "ended", "state", "from", "from_ended", "from_state"]
+        kinds = [pa.string(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], names)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of summaries in order of file and run: the state in front of each run, and the blocks that have ended before it."""
+    file, state, number = None, None, 0
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["file"] != file:
+                file, state, number = r["file"], None, 0
+            out.append((file, r["block"], state, number))
+            if state is None:
+                ended, state = r["ended"], r["state"]
+            elif state in r["from"]:
+                k = r["from"].index(state)
+                ended, state = r["from_ended"][k], r["from_state"][k]
+            else:
+                ended, state = 0, state + r["total"]
+            number += ended
+            out[-1] += (number,)
+        kinds = (pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["file", "block", "state", "number", "until"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of reports, as far as a run of lines holds them; in front of a run's lines stands its entry (``_entries``)."""
+    run, state, number, last, at, parts = None, None, 0, 0, 0, []
+    for batch in batches:
+        out = []
+        for *here, line_no, line, total, opens, entry, ended, reports in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line_no", "line", "total", "opens", "state", "number", "reports"))):
+            if here != run:
+                if parts:
+                    out.append((run[0], number + 1, at, "".join(parts)))
+                run, state, number, last, parts = here, None, 0, 0, []
+            if reports is not None:
+                state, number, last = entry, ended, reports
+                continue
+            if number >= last or (state is None and opens is None):  # what begins behind the last report never ends
+                continue
+            if state is None:
+                state, total, line = 0, opens, line[line.index("{") :]
+            if not parts:
+                at = line_no
+            parts.append(line)
+            state += total
+            if state == 0:
+                number += 1
+                out.append((run[0], number, at, "".join(parts)))
+                state, parts = None, []
+        yield _piece_batch(out)
+    if parts:
+        yield _piece_batch([(run[0], number + 1, at, "".join(parts))])
+
+
+def _piece_batch(rows: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "report_id", "line_no", "piece"])
+
+
+def carve_json(lines: DataFrame, block: int = CARVE_BLOCK) -> DataFrame:
     """JSON blocks of log files: ``file``, ``report_id`` (from 1), ``json``.
 
     A block begins at the first ``{`` outside a block and ends with the line at whose end
     its braces balance (those inside strings count, too); lines are joined without the
-    device-log prefixes. Braces that close nothing are passed over outside a block; an
-    unterminated block is dropped. The lines of a file are sorted by Spark and stream
-    through one task; only the block at hand is held in memory.
+    device-log prefixes. Braces that close nothing are passed over outside a block; a balance
+    that goes below zero does not end its block; an unterminated block is dropped. A null line
+    counts as empty.
+
+    The scan is parallel: runs of ``block`` line numbers are summed up by what they do to each
+    state in front of them (``_scan``; only brace counts are shuffled for that), the summaries
+    of a file, one row a run, are composed in order, which gives each run its entry state, and
+    then all runs are cut into reports at once. So one file is shared out to many tasks, each
+    holds one run, and lines of an unterminated block go no further than their run.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, number, depth, parts = None, 0, 0, None
-        for batch in batches:
-            out: list[tuple[str, int, str]] = []
-            for name, line in zip(batch.column("file").to_pylist(), batch.column("line").to_pylist()):
-                if name != file:
-                    file, number, depth, parts = name, 0, 0, None
-                if parts is None:
-                    at = line.find("{")
-                    if at < 0:
-                        continue
-                    parts, depth, line = [], 0, line[at:]
-                parts.append(line)
-                depth += line.count("{") - line.count("}")
-                if depth == 0:
-                    number += 1
-                    out.append((file, number, "".join(parts)))
-                    parts = None
-            yield pa.RecordBatch.from_pydict({"file": pa.array([o[0] for o in out], pa.string()), "report_id": pa.array([o[1] for o in out], pa.int32()), "json": pa.array([o[2] for o in out], pa.string())})
-
     text = F.regexp_replace(strip_log_prefix(F.coalesce("line", F.lit(""))), r"^\s+|\s+$", "")
-    rows = lines.select("file", "line_no", text.alias("line")).repartition("file").sortWithinPartitions("file", "line_no")
-    found = rows.mapInArrow(run, "file string, report_id int, json string")
-    return found.withColumn("json", trim_json_tail(F.col("json")))
+    braces = lambda t: F.length(F.replace(t, F.lit("}"), F.lit(""))) - F.length(F.replace(t, F.lit("{"), F.lit("")))
+    rows = lines.select("file", F.floor(F.col("line_no") / block).alias("block"), "line_no", text.alias("line"))
+    tail = F.when(F.col("line").contains("{"), F.substr("line", F.instr("line", "{")))
+    rows = rows.select("*", braces(F.col("line")).cast("bigint").alias("total"), braces(tail).cast("bigint").alias("opens"))
+    counted = rows.select("file", "block", "line_no", "total", "opens")
+    counted = counted.repartition("file", "block").sortWithinPartitions("file", "block", "line_no")
+    sums = counted.mapInArrow(_summaries, "file string, block bigint, total bigint, ended bigint, state bigint, `from` array<bigint>, from_ended array<bigint>, from_state array<bigint>")
+    in_order = sums.repartition("file").sortWithinPartitions("file", "block")
+    entries = materialise(in_order.mapInArrow(_entries, "file string, block bigint, state bigint, number bigint, until bigint"), "entries")
+    last = entries.groupBy(F.col("file").alias("_file")).agg(F.max("until").alias("reports"))
+    entries = entries.join(last, F.col("file").eqNullSafe(F.col("_file"))).where("number < reports")
+    both = rows.unionByName(entries.select("file", "block", "state", "number", "reports"), allowMissingColumns=True)
+    both = both.repartition("file", "block").sortWithinPartitions("file", "block", F.asc_nulls_first("line_no"))
+    pieces = both.mapInArrow(_pieces, "file string, report_id int, line_no bigint, piece string")
+    in_line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda p: p["piece"]), "")
+    return pieces.groupBy("file", "report_id").agg(in_line.alias("json")).withColumn("json", trim_json_tail(F.col("json")))
 
 
 def telemetry_table(reports: DataFrame, device: str = "file") -> DataFrame:

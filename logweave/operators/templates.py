@@ -15,9 +15,12 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import DELIMITERS, MASKS, clean_template, mask_values, mining_prefix, tokenise
 from ..session import materialise
+from .numbering import number_rows, with_next
 
 #: Bins of a histogram by name. Fixed values.
 BINS = {"1s": ("second", "1 second"), "1min": ("minute", "1 minute"), "1h": ("hour", "1 hour"), "1d": ("day", "1 day")}
+#: Empty bins of a histogram that one row makes.
+GAP_ROWS = 65_536
 WILDCARD = "<*>"
 #: Masks whose values may hold blanks or delimiters.
 _LOOSE = frozenset("DATETIME MAC MAC_CIDR IPv6 IPv6_PORT IP_PORT VERSION THREADID".split())
@@ -177,13 +180,12 @@ def template_summary(parsed: DataFrame) -> DataFrame:
 
 
 def template_rank(counts: DataFrame) -> DataFrame:
-    """Templates by falling count (then by text): ``count``, ``ratio`` of the sum, ``order`` from 0.
-
-    Ranks are taken over distinct templates, which are far fewer than lines.
-    """
+    """Templates by falling count (then by text): ``count``, ``ratio`` of the sum, ``order`` from 0."""
     totals = counts.groupBy("template").agg(F.sum("count").alias("count"))
-    ratio = F.col("count") / F.sum("count").over(Window.partitionBy())
-    return totals.select("template", "count", ratio.alias("ratio"), (F.row_number().over(Window.orderBy(F.desc("count"), "template")) - 1).alias("order"))
+    ranked = number_rows(totals, [F.desc("count"), "template"])
+    whole = ranked.agg(F.sum("count").alias("_sum"))
+    ratio = F.col("count") / F.col("_sum")
+    return ranked.crossJoin(F.broadcast(whole)).select("template", "count", ratio.alias("ratio"), (F.col("seq") - 1).alias("order"))
 
 
 def parameter_profile(parsed: DataFrame, template: str | None = None, distinct_values: int | None = None) -> DataFrame:
@@ -201,23 +203,35 @@ def parameter_profile(parsed: DataFrame, template: str | None = None, distinct_v
     return found.select("template", F.concat(F.lit("POSITION_"), F.col("pos") + 1).alias("position"), "count", "values")
 
 
-def template_histogram(parsed: DataFrame, freq: str = "1min", template: str | None = None) -> DataFrame:
-    """Lines per time bin (``1s``, ``1min``, ``1h``, ``1d``; else ``1min``), empty bins between the first and the last included."""
+def template_histogram(parsed: DataFrame, freq: str = "1min", template: str | None = None, gap_rows: int = GAP_ROWS) -> DataFrame:
+    """Lines per time bin (``1s``, ``1min``, ``1h``, ``1d``; else ``1min``), empty bins between the first and the last included.
+
+    Each bin with lines fills the gap up to the next one, which it knows by ``with_next``; a
+    gap is dealt out to tasks in stretches of ``gap_rows`` bins. So one stray date makes many
+    rows, but no long array, and nothing is joined with the empty bins.
+    """
     unit, step = BINS.get(freq, BINS["1min"])
     rows = parsed.where("timestamp is not null")
     if template is not None:
         rows = rows.where(F.col("template") == template)
     counts = rows.groupBy(F.date_trunc(unit, "timestamp").cast("timestamp_ntz").alias("timestamp")).agg(F.count("*").alias("count"))
-    span = counts.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).where("a is not null")
-    bins = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("timestamp"))
-    return bins.join(counts, "timestamp", "left").select("timestamp", F.coalesce("count", F.lit(0)).alias("count"))
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))  # noqa: E731  of session time zone UTC
+    known = with_next(counts, ["timestamp"], ["timestamp"])
+    gaps = known.select(at("timestamp").alias("_at"), F.floor((at("next_timestamp") - at("timestamp")) / seconds - 1).alias("_n")).where("_n > 0")
+    parts = gaps.select("_at", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / gap_rows))).alias("_part")).repartition("_at", "_part")
+    first = F.col("_part") * gap_rows + 1
+    empty = parts.select("_at", F.explode(F.sequence(first, F.least(first + gap_rows - 1, F.col("_n")))).alias("_k"))
+    bins = empty.select(F.timestamp_seconds(F.col("_at") + F.col("_k") * seconds).cast("timestamp_ntz").alias("timestamp"), F.lit(0).cast("bigint").alias("count"))
+    return known.select("timestamp", "count").unionByName(bins)
 
 
 def stride_downsample(histogram: DataFrame, max_points: int = 5000) -> DataFrame:
     """Of more than ``max_points`` bins, every (n // max_points + 1)-th from the first on."""
-    numbered = histogram.withColumn("_n", F.count("*").over(Window.partitionBy())).withColumn("_i", F.row_number().over(Window.orderBy("timestamp")) - 1)
-    step = F.when(F.col("_n") > max_points, F.floor(F.col("_n") / max_points) + 1).otherwise(1)
-    return numbered.where(F.col("_i") % step == 0).drop("_n", "_i")
+    numbered = number_rows(histogram, ["timestamp"], name="_seq")
+    n = numbered.count()
+    step = n // max_points + 1 if n > max_points else 1
+    return numbered.where((F.col("_seq") - 1) % step == 0).drop("_seq")
 
 
 def unique_patterns(parsed: DataFrame) -> DataFrame:
