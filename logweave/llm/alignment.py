@@ -17,13 +17,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import TABLE_CHUNKS, Keys, PieceTable, Ragged, _distinct, blocks, public_path
+from .chunks import Keys, PieceTable, Ragged, _distinct, blocks, public_path
 from .common import discard, materialise, ship
 
 #: Pairs of ids that tasks look up in a broadcast table at most; all others are joined by Spark.
 HOT_PAIRS = 1_000_000
-#: Bytes of text aligned at once.
-BLOCK_BYTES = 1_000_000
+#: Bytes of text encoded at once, and aligned at once.
+BLOCK_BYTES, ALIGN_BYTES = 2_000_000, 250_000
+#: Chunks kept by one task for each tokenizer; at the bound a table starts anew, which changes no result.
+TABLE_CHUNKS = 300_000
+#: Chunks that the byte-level tokenizer gets as one text.
+GROUP = 256
 #: Rows of partial counts that a task holds before it merges them.
 MERGE_ROWS = 2_000_000
 _SPACE = r"[\s\v\x{85}\p{Z}]"
@@ -36,6 +40,15 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _faithful(ids: Ragged, entries: Ragged, chunks: list[str]) -> np.ndarray:
+    """Whether the bytes of each row of ids are those of a blank and its chunk."""
+    raw = [(" " + t).encode() for t in chunks]
+    found = entries.take(ids.flat).merge(ids.lens)
+    if np.array_equal(found.lens, np.fromiter(map(len, raw), np.int64, len(raw))) and np.array_equal(found.flat, np.frombuffer(b"".join(raw), np.uint8)):
+        return np.ones(len(raw), bool)
+    return np.array([x.tobytes() == r for x, r in zip(found, raw)], bool)
+
+
 class ByteTable:
     """Token ids of texts, with a blank in front, under a byte-level tokenizer of the tokenizers library.
 
@@ -56,7 +69,8 @@ class ByteTable:
         self.entries = [b""] * (max(vocab.values()) + 1)
         for token, k in vocab.items():
             self.entries[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.sizes = np.fromiter(map(len, self.entries), np.int64, len(self.entries))
+        self.bytes = Ragged.of(self.entries, np.uint8)
+        self.sizes = self.bytes.lens
         self.limit = limit
         self._clear()
 
@@ -65,11 +79,28 @@ class ByteTable:
         self.ids = Ragged(np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.good = np.zeros(0, bool)
 
+    def _together(self, words: list[str]) -> Ragged:
+        """Ids of chunks that begin with no white space: behind one another they are split where they meet."""
+        found = [np.zeros(0, np.int32)]
+        for at in range(0, len(words), 32 * GROUP):  # the library's answers are large
+            groups = [" " + " ".join(words[k : min(k + GROUP, at + 32 * GROUP)]) for k in range(at, min(len(words), at + 32 * GROUP), GROUP)]
+            found += [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        ends = np.cumsum(self.sizes[ids])
+        want = np.cumsum([len(w.encode()) + 1 for w in words])
+        stops = np.searchsorted(ends, want) + 1
+        if len(words) and (stops[-1] != len(ids) or not np.array_equal(ends[stops - 1], want)):
+            raise ValueError("the tokenizer joins chunks across a blank")
+        return Ragged(ids, np.diff(stops, prepend=0))
+
     def _add(self, new: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([" " + t for t in new], add_special_tokens=False)]
-        good = [b"".join(self.entries[k] for k in ids) == (" " + t).encode() for t, ids in zip(new, found)]
-        self.ids = self.ids.add(Ragged.of(found, np.int32))
-        self.good = np.concatenate([self.good, np.array(good, bool)])
+        plain = np.fromiter((bool(t) and not t[0].isspace() for t in new), bool, len(new))
+        words, others = [t for t, p in zip(new, plain) if p], [t for t, p in zip(new, plain) if not p]
+        rest = Ragged.of([x.ids for x in self.tokenizer.encode_batch_fast([" " + t for t in others], add_special_tokens=False)], np.int32)
+        order = np.where(plain, np.cumsum(plain) - 1, len(words) + np.cumsum(~plain) - 1)
+        ids = self._together(words).add(rest).take(order)
+        self.ids = self.ids.add(ids)
+        self.good = np.concatenate([self.good, _faithful(ids, self.bytes, new)])
 
     def encode(self, texts: pa.Array) -> tuple[Ragged, np.ndarray]:
         """The ids of a blank and each text, and whether their bytes are those of the text."""
@@ -106,7 +137,8 @@ class MarkedTable(PieceTable):
         byte = [self.sp.is_byte(k) for k in range(n)]
         pieces = [self.sp.id_to_piece(k) for k in range(n)]
         self.entries = [bytes([int(p[3:5], 16)]) if b else p.replace(self.MARK, " ").encode() for p, b in zip(pieces, byte)]
-        self.sizes = np.fromiter(map(len, self.entries), np.int64, n)
+        self.bytes = Ragged.of(self.entries, np.uint8)
+        self.sizes = self.bytes.lens
 
     def _clear(self) -> None:
         self.rows = Keys([])
@@ -115,10 +147,9 @@ class MarkedTable(PieceTable):
 
     def _add(self, new: list[str]) -> None:
         # One blank on its own is what remains of a text's last blank.
-        found = [x if c else [self.blank] for c, x in zip(new, self.sp.encode(new, num_threads=1))]
-        good = [b"".join(self.entries[k] for k in ids) == (" " + c).encode() for c, ids in zip(new, found)]
-        self.ids = self.ids.add(Ragged.of(found, np.int32))
-        self.good = np.concatenate([self.good, np.array(good, bool)])
+        ids = Ragged.of([x if c else [self.blank] for c, x in zip(new, self.sp.encode(new, num_threads=1))], np.int32)
+        self.ids = self.ids.add(ids)
+        self.good = np.concatenate([self.good, _faithful(ids, self.bytes, new)])
 
     def encode(self, texts: pa.Array) -> tuple[Ragged, np.ndarray]:
         """The ids of each text, and whether their bytes are those of a blank and the text."""
@@ -191,6 +222,22 @@ def _documents(docs: DataFrame, first: str, second: str, id_col: str, text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, `row` bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>"
 
+    def aligned(a: Ragged, b: Ragged, good: np.ndarray, names: pa.Array, row: int) -> pa.RecordBatch:
+        byte, marked = _tables(first, second)
+        at, n = np.flatnonzero(good), len(good)
+        a, b = a.take(at), b.take(at)
+        groups, digests, links = align(a, b, byte.sizes, marked.sizes)
+        pair = pc.add(pc.shift_left(links.column("a").cast(pa.int64()), 32), links.column("b").cast(pa.int64()))
+        counts = pa.table({"text": links.column("text"), "pair": pair}).group_by(["text", "pair"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        counts = counts.take(pc.sort_indices(counts, [("text", "ascending"), ("pair", "ascending")]))
+        stops = pa.array(np.cumsum(np.concatenate([[0], np.bincount(at[counts.column("text").to_numpy()], minlength=n)])), pa.int32())
+        lists = [pa.ListArray.from_arrays(stops, counts.column(c).combine_chunks()) for c in ("pair", "count_all")]
+        sha = np.full(n, "", object)
+        sha[at] = digests
+        n_a, n_b, n_groups = (np.bincount(at, x, n).astype(np.int64) for x in (a.lens, b.lens, groups))
+        numbers = [pa.array(x) for x in (np.arange(row, row + n), n_a, n_b, n_groups, n_a + n_b - n_groups)]
+        return pa.RecordBatch.from_arrays([names, *numbers, pa.array(sha, pa.string()), *lists], ["id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte, marked = _tables(first, second)
         row = TaskContext.get().partitionId() << 33
@@ -198,23 +245,13 @@ def _documents(docs: DataFrame, first: str, second: str, id_col: str, text_col:
             for begin, texts in blocks(batch, text_col, BLOCK_BYTES):
                 a, good = byte.encode(texts)
                 b, other = marked.encode(texts)
-                good = good & other & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-                at = np.flatnonzero(good)
-                a, b = a.take(at), b.take(at)
-                groups, digests, links = align(a, b, byte.sizes, marked.sizes)
-                pair = pc.add(pc.shift_left(links.column("a").cast(pa.int64()), 32), links.column("b").cast(pa.int64()))
-                counts = pa.table({"text": links.column("text"), "pair": pair}).group_by(["text", "pair"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
-                counts = counts.take(pc.sort_indices(counts, [("text", "ascending"), ("pair", "ascending")]))
-                n = len(texts)
-                spread = lambda values: np.bincount(at, values, n).astype(np.int64)  # noqa: B023, E731
-                stops = pa.array(np.cumsum(np.concatenate([[0], np.bincount(at[counts.column("text").to_numpy()], minlength=n)])), pa.int32())
-                lists = lambda name: pa.ListArray.from_arrays(stops, counts.column(name).combine_chunks())  # noqa: B023, E731
-                sha = np.full(n, "", object)
-                sha[at] = digests
-                n_a, n_b, n_groups = spread(a.lens), spread(b.lens), spread(groups)
-                out = [batch.column(id_col).slice(begin, n), np.arange(row, row + n), n_a, n_b, n_groups, n_a + n_b - n_groups, pa.array(sha, pa.string()), lists("pair"), lists("count_all")]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
-                row += n
+                size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+                good = good & other & (size > 0)
+                cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // ALIGN_BYTES)) + 1).tolist(), len(texts)]
+                for x, y in zip(cuts, cuts[1:]):
+                    some = np.arange(x, y)
+                    yield aligned(a.take(some), b.take(some), good[x:y], batch.column(id_col).slice(begin + x, y - x), row)
+                    row += y - x
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
