@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import inner_product, normalise_vector
-from ..session import materialise, new_table_path
+from ..session import new_table_path
+from .numbering import number_rows
 
 DIMENSIONS = 384
 #: Queries of one block, which are broadcast.
@@ -43,24 +44,18 @@ def embed_templates(counts: DataFrame, encoder: Callable[[pd.Series], pd.Series]
     return counts.join(distinct, "template").select("file", "template", F.col("count").alias("frequency"), "embedding")
 
 
-def _query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """Queries in blocks of at most ``MAX_QUERIES``, each small enough to be broadcast."""
-    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+def query_blocks(queries: DataFrame, size: int) -> list[DataFrame]:
+    """Queries in blocks of at most ``size``, each small enough to be broadcast."""
+    if queries.limit(size + 1).count() <= size:
         return [queries]
-    stored = materialise(queries.withColumn("_id", F.monotonically_increasing_id()), "queries")
-    part = F.shiftright("_id", 33)
-    counts = sorted(map(tuple, stored.groupBy(part.alias("part")).count().collect()))
-    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
-    offsets = queries.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(counts, before)], "_part bigint, _before bigint")
-    number = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = stored.join(F.broadcast(offsets), part == F.col("_part")).withColumn("_block", F.floor(number / MAX_QUERIES)).drop("_id", "_part", "_before")
-    rows = materialise(rows, "query-blocks")
-    return [rows.where(F.col("_block") == k).drop("_block") for k in range(-(-before[-1] // MAX_QUERIES))]
-
-
-def _by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    rows = number_rows(queries, ["query_id"], name="_seq")
+    n = rows.count()
+    return [rows.where(F.col("_seq").between(at + 1, at + size)).drop("_seq") for at in range(0, n, size)]
+
+
+def by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], size: int) -> DataFrame:
     """``search`` of each block of queries, united. Of several blocks one is searched and stored at a time."""
-    blocks = _query_blocks(queries)
+    blocks = query_blocks(queries, size)
     if len(blocks) == 1:
         return search(blocks[0])
     path = new_table_path(queries.sparkSession, "topk")
@@ -70,7 +65,7 @@ def _by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) ->
     return queries.sparkSession.read.schema(found.schema).parquet(path)
 
 
-def _ranked(scored: DataFrame, ties: list[str], k: int) -> DataFrame:
+def ranked(scored: DataFrame, ties: list[str], k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *ties)
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("similarity", F.round("similarity", 4))
@@ -89,48 +84,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
 
     def search(block: DataFrame) -> DataFrame:
         scored = vectors.crossJoin(F.broadcast(block)).withColumn("similarity", inner_product(F.col("embedding"), F.col("query")))
-        return _ranked(scored.drop("query"), ties, k)
-
-    return _by_blocks(held, search)
+        return ranked(scored.drop("query"), ties, k)
 
-
-def approx_topk(vectors: DataFrame, queries: DataFrame | list[float], k: int = 5, bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """About the ``k`` rows of largest inner product with each query, by locality-sensitive hashing of directions.
-
-    Unit vectors are hashed by ``tables`` random projections, cut into buckets of length
-    ``bucket``; rows that share a bucket with a query in any table are compared with it
-    exactly. Queries (``query_id``, ``query``; or one list) are broadcast in blocks, as in
-    ``vector_topk``, whose columns the result has.
-    """
-    if not isinstance(queries, DataFrame):
-        queries = vectors.sparkSession.createDataFrame([(0, [float(x) for x in queries])], "query_id int, query array<double>")
-
-    @F.pandas_udf("array<int>")
-    def hashed(rows: pd.Series) -> pd.Series:
-        def one(v: np.ndarray | None) -> list[int]:
-            if v is None:
-                return []
-            if len(v) not in axes:
-                drawn = np.random.default_rng(7).normal(size=(tables, len(v)))
-                axes[len(v)] = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
-            return np.floor(axes[len(v)] @ np.asarray(v, float) / bucket).astype(int).tolist()
-
-        axes: dict[int, np.ndarray] = {}
-        return rows.map(one, na_action=None)
-
-    held = queries.select("query_id", normalise_vector(F.col("query")).alias("query"))
-    ties = [c for c in vectors.columns if c != "embedding"]
-    rows = vectors.withColumn("_h", hashed(normalise_vector(F.col("embedding")))).select("*", F.posexplode("_h").alias("_table", "_bucket"))
-
-    def search(block: DataFrame) -> DataFrame:
-        wanted = block.withColumn("_q", hashed("query")).select("*", F.posexplode("_q").alias("_table", "_bucket"))
-        pairs = rows.join(F.broadcast(wanted), ["_table", "_bucket"])
-        agree = F.zip_with("_h", "_q", lambda a, b: a == b)
-        first = pairs.where(F.array_position(agree, True) == F.col("_table") + 1)  # a pair once
-        scored = first.withColumn("similarity", inner_product(F.col("embedding"), F.col("query")))
-        return _ranked(scored.drop("query", "_h", "_q", "_table", "_bucket"), ties, k)
-
-    return _by_blocks(held, search)
+    return by_blocks(held, search, MAX_QUERIES)
 
 
 def drilldown_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:

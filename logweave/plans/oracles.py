@@ -79,6 +79,16 @@ def _topk(where: str, k: int) -> str:
  JOIN embeddings v ON v.vec_id = q.vid) WHERE rank <= {k}"""
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_TFIDF = f"""e AS (SELECT role AS file, text, count(*) AS frequency FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+ d AS (SELECT DISTINCT text FROM e), idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM (SELECT unnest(list_distinct({_TERMS})) AS term FROM d) GROUP BY 1),
+ w AS (SELECT text, term, n * idf AS w FROM (SELECT text, term, count(*) AS n FROM (SELECT text, unnest({_TERMS}) AS term FROM d) GROUP BY ALL) JOIN idf USING (term)),
+ u AS (SELECT text, term, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM w),
+ q AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE conv_id % 100 = 0),
+ s AS (SELECT query_id, b.text, sum(a.w * b.w) AS s FROM q JOIN u a ON a.text = q.text JOIN u b ON a.term = b.term GROUP BY ALL),
+ h AS (SELECT query_id, e.file, e.text AS template, e.frequency, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, e.file, e.text) AS rank FROM s JOIN e ON e.text = s.text QUALIFY rank <= 10)"""
+
+
 ORACLES: dict[str, str] = {
     "top_templates": f"""SELECT template, count, round(count / sum(count) OVER (), 6) AS ratio, row_number() OVER (ORDER BY count DESC, template) - 1 AS "order" FROM (SELECT template, count(*) AS count FROM ({_TEMPLATES}) GROUP BY 1)""",
     "template_counts": f"SELECT file, template, count(*) AS count FROM ({_TEMPLATES}) GROUP BY ALL",
@@ -153,6 +163,8 @@ ORACLES: dict[str, str] = {
     "carve_json": """SELECT user_id::VARCHAR AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS report_id, '{"Report":[{"id":"' || event_id || '"},{"x.y":"' || event_type || '"}]}' AS json FROM events""",
     "vector_topk": _topk("vec_id = 7", 10),
     "vector_topk_batch": _topk("vec_id % 100 = 0", 5),
+    "text_search": f"WITH {_TFIDF} SELECT query_id, file, template, frequency, round(s, 4) AS similarity, rank FROM h",
+    "text_search_lines": f"WITH {_TFIDF} SELECT c.role AS file, c.conv_id * 1000 + c.turn AS line_no FROM conversations c JOIN (SELECT DISTINCT file, template FROM h) x ON x.file = c.role AND x.template = c.text",
     "drilldown_hits": f"SELECT t.file, t.template, t.line_no FROM ({_TEMPLATES}) t JOIN (SELECT file, template FROM ({_TEMPLATES}) GROUP BY ALL HAVING count(*) % 2 = 0) h ON t.file = h.file AND t.template = h.template",
     "prompt_rows": f"""SELECT file, string_agg('{{"filename":"' || file || '","template":"' || replace(template, '"', '\\"') || '","frequency":' || n || '}}', chr(10) ORDER BY n DESC, template) AS prompt FROM (
  SELECT file, template, count(*) AS n FROM ({_TEMPLATES}) GROUP BY ALL) GROUP BY 1""",

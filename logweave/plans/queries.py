@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.entities import entity_spans as spans_of
 from ..functions.telemetry import flatten_json as flatten, kv_split as split_packed, parse_size as size_of
 from ..functions.text import MASKS, file_stem, line_page, mask_values as mask, normalise_member_name as member_name, render_line, similarity_band, size_mb, tokenise
-from ..operators import catalog, ingest, search, templates, vectors
+from ..operators import catalog, ingest, search, templates, text_search as by_text, vector_index, vectors
 from ..operators import rules as rule_ops
 from ..operators import telemetry as tel
 from ..sources.logs import reports_of
@@ -382,7 +382,31 @@ def vector_topk_batch(spark, sf_dir):
 def approx_topk(spark, sf_dir):
     v = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vectors.approx_topk(v, q, 5).select("query_id", "vec_id", "similarity", "rank")
+    return vector_index.approx_topk(v, q, 5).select("query_id", "vec_id", "similarity", "rank")
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Turns of conversations as parsed lines, each its own template."""
+    c = inputs.table(spark, sf_dir, "conversations")
+    return c.select(F.col("role").alias("file"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.col("text").alias("loglines"), F.col("text").alias("template"))
+
+
+def _text_hits(spark, sf_dir) -> DataFrame:
+    """Turns of every hundredth conversation as queries on all turns."""
+    index = by_text.build_text_index(templates.template_counts(_turns(spark, sf_dir)))
+    asked = inputs.table(spark, sf_dir, "conversations").where("conv_id % 100 = 0")
+    return by_text.search_text(index, asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"), 10)
+
+
+@query
+def text_search(spark, sf_dir):
+    return _text_hits(spark, sf_dir)
+
+
+@query
+def text_search_lines(spark, sf_dir):
+    """The lines behind the hits of ``text_search``."""
+    return by_text.search_text_lines(_text_hits(spark, sf_dir), _turns(spark, sf_dir)).select("file", "line_no")
 
 
 @query

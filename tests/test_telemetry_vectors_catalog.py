@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.telemetry import flatten_json, kv_split, parse_size
 from logweave.operators import catalog, telemetry as T, vectors as V
+from logweave.operators.vector_index import approx_topk
 
 LOG = [
     "2024-03-01T10:00:00 host T2.INFO [tid=9] stray } here",
@@ -63,7 +64,7 @@ def test_vectors(spark):
     assert V.vector_topk(v.limit(0).select("file", "template", "embedding"), q).count() == 0
     prompt = {r.file: r.prompt for r in V.prompt_rows(v).collect()}
     assert prompt["f"].split("\n")[0] == '{"filename":"f","template":"disk full","frequency":3}'
-    near = V.approx_topk(v.select("file", "template", "embedding"), q.first().query, 1).first()
+    near = approx_topk(v.select("file", "template", "embedding"), q.first().query, 1).first()
     assert near.template == "link up"
 
 

@@ -47,7 +47,7 @@ def test_more_queries_than_one_block(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
     assert len(want) > 5 * 7
     assert sorted(map(tuple, vectors.vector_topk(v, q, 5).select("query_id", "vec_id", "similarity", "rank").collect())) == want
-    assert max(b.count() for b in vectors._query_blocks(q)) == 7
+    assert max(b.count() for b in vectors.query_blocks(q, 7)) == 7
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
