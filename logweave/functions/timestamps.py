@@ -53,6 +53,17 @@ def parse_timestamp(raw: Column, syslog_year: Column | int | None = None) -> Col
     )
 
 
+def to_utc_naive(text: Column) -> Column:
+    """The time of an ISO time stamp without zone, in UTC: an offset (``+02:00``, ``Z``) is taken off, none counts as UTC.
+
+    The session's time zone is UTC (``session.SETTINGS``). Null for anything else.
+    """
+    iso = F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2})\s", "$1T")
+    known = iso.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$")
+    zoned = F.when(iso.rlike(r"(Z|[+-]\d{2}:\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    return F.when(known, zoned.try_cast("timestamp").cast("timestamp_ntz"))
+
+
 def is_uptime(raw: Column) -> Column:
     """Whether a raw time stamp counts seconds since the device's start."""
     return raw.rlike(r"^\d+\.\d+$")

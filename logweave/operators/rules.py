@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stem
@@ -13,17 +13,10 @@ from ..functions.text import file_stem
 MAX_RULES = 10_000
 
 
-def apply_rules(lines: DataFrame, rules: DataFrame, cap: int = 100, samples: int = 5) -> DataFrame:
-    """Hits of the rules on the lines (``file``, ``line_no``, ``line``) of the files they are for.
-
-    A rule is for files whose stem is its ``file_key``. Each line passes once; all patterns
-    are literals of one projection, so each compiles once a task. ``Frequency`` counts up to
-    ``cap`` matching lines of a file, ``SampleLogs`` are the first ``samples`` of them. Spark
-    cuts each task's rows of a group to ``cap`` before the shuffle, so a rule may hit any
-    share of the lines.
+def rule_matches(rules: DataFrame) -> tuple[list[Row], Column]:
+    """The rules with a pattern, and the positions in them of those that match a line (``file``, ``line``).
 
-    The catalogue is collected; more than ``MAX_RULES`` rules are refused. Rules without
-    pattern are passed over; patterns that do not compile fail (see ``validate_rules``).
+    The catalogue is collected; more than ``MAX_RULES`` rules are refused.
     """
     held = rules.where("pattern is not null").select("category", "title", "cause", "file_key", "pattern", "description").limit(MAX_RULES + 1).collect()
     if len(held) > MAX_RULES:
@@ -34,7 +27,23 @@ def apply_rules(lines: DataFrame, rules: DataFrame, cap: int = 100, samples: int
     none = F.lit(None).cast("array<int>")
     stem = file_stem(F.col("file"))
     matched = reduce(lambda rest, key: F.when(stem == key, F.array_compact(F.array(*[F.when(F.col("line").rlike(held[k]["pattern"]), F.lit(k)) for k in by_key[key]]))).otherwise(rest), by_key, none)
-    hits = lines.where(stem.isin(list(by_key))).select("file", "line_no", "line", F.explode(matched).alias("rule"))
+    return held, matched
+
+
+def apply_rules(lines: DataFrame, rules: DataFrame, cap: int = 100, samples: int = 5) -> DataFrame:
+    """Hits of the rules on the lines (``file``, ``line_no``, ``line``) of the files they are for.
+
+    A rule is for files whose stem is its ``file_key``. Each line passes once; all patterns
+    are literals of one projection (``rule_matches``), so each compiles once a task.
+    ``Frequency`` counts up to ``cap`` matching lines of a file, ``SampleLogs`` are the first
+    ``samples`` of them. Spark cuts each task's rows of a group to ``cap`` before the shuffle,
+    so a rule may hit any share of the lines.
+
+    Rules without pattern are passed over; patterns that do not compile fail (see ``validate_rules``).
+    """
+    held, matched = rule_matches(rules)
+    stem, by_key = file_stem(F.col("file")), {r["file_key"] for r in held}
+    hits = lines.where(stem.isin(sorted(by_key))).select("file", "line_no", "line", F.explode(matched).alias("rule"))
     ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy("file", "rule").orderBy("line_no"))).where(F.col("rn") <= cap)
     first = F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.struct("rn", "line"))))
     counts = ranked.groupBy("file", "rule").agg(F.count("*").cast("int").alias("Frequency"), F.transform(first, lambda x: x["line"]).alias("SampleLogs"))

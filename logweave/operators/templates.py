@@ -31,30 +31,43 @@ def mask_templates(lines: DataFrame, masks: tuple[tuple[str, str], ...] = MASKS)
     return lines.withColumn("template", mask_values(F.col("loglines"), masks))
 
 
-def cluster_words(lists: list[list[str]], similarity: float) -> list[list[str]]:
-    """Templates of word lists of equal length, one a list, in the order given.
+def cluster_into(lists: list[list[str]], state: list[list[str]], similarity: float, grow: bool = True) -> tuple[list[int], list[list[str]]]:
+    """The cluster of each of some word lists of equal length, in the order given, and all clusters.
 
-    Each list joins the cluster with the largest share of equal words, if that reaches
-    ``similarity``; else it begins a new one. Words in which members differ are wildcards.
+    Clusters begin as ``state``. Each list joins the one with the largest share of equal words
+    (of several, the first), if that reaches ``similarity``; else it begins a new one, or with
+    ``grow`` off belongs to none (-1). Words in which members differ are wildcards.
     """
-    if len(lists) == 1:
-        return [list(lists[0])]
     codes = {WILDCARD: 0}
-    coded = np.array([[codes.setdefault(w, len(codes)) for w in words] for words in lists], np.int32)
-    clusters, used, member = np.empty_like(coded), 0, []
-    for words in coded:
+    coded = [[codes.setdefault(w, len(codes)) for w in words] for words in (*state, *lists)]
+    width = len(coded[0]) if coded else 0
+    clusters, used, member = np.zeros((len(coded), width), np.int32), len(state), []
+    for k, words in enumerate(np.array(coded, np.int32).reshape(len(coded), width)):
+        if k < len(state):
+            clusters[k] = words
+            continue
         if used:
             equal = (clusters[:used] == words).sum(1)
             best = int(equal.argmax())
-            if equal[best] / max(len(words), 1) >= similarity:
+            if equal[best] / max(width, 1) >= similarity:
                 member.append(best)
                 clusters[best][clusters[best] != words] = 0
                 continue
+        if not grow:
+            member.append(-1)
+            continue
         member.append(used)
         clusters[used] = words
         used += 1
     names = list(codes)
-    found = [[names[c] for c in cluster] for cluster in clusters[:used].tolist()]
+    return member, [[names[c] for c in cluster] for cluster in clusters[:used].tolist()]
+
+
+def cluster_words(lists: list[list[str]], similarity: float) -> list[list[str]]:
+    """Templates of word lists of equal length, one a list, by ``cluster_into`` from nothing."""
+    if len(lists) == 1:
+        return [list(lists[0])]
+    member, found = cluster_into(lists, [], similarity)
     return [found[k] for k in member]
 
 
@@ -112,23 +125,24 @@ def _split_key(rest: DataFrame) -> DataFrame:
     return rest.withColumn("key", F.when(F.col("_at").isNull(), F.col("key")).otherwise(longer)).drop("_at", "word")
 
 
-def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, max_clusters: int = 1024, masks: tuple[tuple[str, str], ...] = MASKS) -> DataFrame:
-    """Parsed lines (``file``, ``line_no``, ``loglines``, ..) with ``template`` and ``parameter_list``.
+def word_lists(lines: DataFrame, depth: int, masks: tuple[tuple[str, str], ...]) -> tuple[DataFrame, DataFrame]:
+    """The lines with their words (``_tokens``), and the distinct word lists: ``tokens``, ``first`` (where they stand first), ``key`` (of their bucket)."""
+    rows = lines.withColumn("_tokens", tokenise(mask_values(F.col("loglines"), masks)))
+    order = F.struct(F.col("file"), F.col("line_no"))
+    shapes = rows.where("_tokens is not null").groupBy("_tokens").agg(F.min(order).alias("at"))
+    first = F.concat_ws(" ", "at.file", F.lpad(F.col("at.line_no").cast("string"), 20, "0"))
+    key = F.concat_ws(" ", F.size("_tokens").cast("string"), mining_prefix(F.col("_tokens"), depth))
+    return rows, shapes.select(F.col("_tokens").alias("tokens"), first.alias("first"), key.alias("key"))
 
-    Lines are masked and split into words; only distinct word lists go on. They are put into
-    buckets by length and first words (``mining_prefix``), clustered inside each bucket, and
-    joined back. All lines of a cluster get its final template, whatever the partitioning.
+
+def cluster_lists(lists: DataFrame, similarity: float, max_clusters: int) -> DataFrame:
+    """``tokens`` and ``template`` (as words) of distinct word lists (``tokens``, ``first``, ``key``), clustered in their buckets.
 
     A bucket of more than ``max_clusters`` lists is dealt by hash into parts, which are
     clustered apart; their templates are clustered again, until so few are left. Where that
     leaves more than half, the bucket is split by one more word. No list is forced into a cluster.
     """
-    rows = lines.withColumn("_tokens", tokenise(mask_values(F.col("loglines"), masks)))
-    order = F.struct(F.col("file"), F.col("line_no"))
-    shapes = rows.where("_tokens is not null").groupBy("_tokens").agg(F.min(order).alias("at"))
-    first = F.concat_ws(" ", "at.file", F.lpad(F.col("at.line_no").cast("string"), 20, "0"))
-    key = F.concat_ws(" ", F.size("_tokens").cast("string"), mining_prefix(F.col("_tokens"), depth))
-    open_ = materialise(shapes.select(F.col("_tokens").alias("tokens"), F.col("_tokens").alias("words"), first.alias("first"), key.alias("key")), "shapes")
+    open_ = materialise(lists.select("tokens", F.col("tokens").alias("words"), "first", "key"), "shapes")
     done = []
     while True:
         items = open_.groupBy("key", "words").agg(F.min("first").alias("first"))
@@ -143,7 +157,19 @@ def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, ma
         done.append(found.where("size is null").select("tokens", "template"))
         rest = found.where("size is not null").select("tokens", F.col("template").alias("words"), "first", "key", "size")
         open_ = materialise(_split_key(rest).drop("size"), "open")
-    templates = reduce(DataFrame.unionByName, done).select(F.col("tokens").alias("_tokens"), F.array_join("template", " ").alias("template"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, max_clusters: int = 1024, masks: tuple[tuple[str, str], ...] = MASKS) -> DataFrame:
+    """Parsed lines (``file``, ``line_no``, ``loglines``, ..) with ``template`` and ``parameter_list``.
+
+    Lines are masked and split into words; only distinct word lists go on. They are put into
+    buckets by length and first words (``mining_prefix``), clustered inside each bucket
+    (``cluster_lists``), and joined back. All lines of a cluster get its final template,
+    whatever the partitioning. ``template_catalogue`` keeps clusters from run to run.
+    """
+    rows, lists = word_lists(lines, depth, masks)
+    templates = cluster_lists(lists, similarity, max_clusters).select(F.col("tokens").alias("_tokens"), F.array_join("template", " ").alias("template"))
     found = rows.join(templates, "_tokens", "left").drop("_tokens")
     return found.withColumn("parameter_list", extract_parameters("template", "loglines"))
 
@@ -179,6 +205,20 @@ def template_summary(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count("*").alias("total_lines"), F.count_distinct("template").alias("templates"))
 
 
+def template_sketches(parsed: DataFrame, log2_size: int = 12) -> DataFrame:
+    """Per file and day, lines and a mergeable sketch of the distinct templates (2**``log2_size`` registers at most).
+
+    Stored once, sketches answer any range of files and days by ``roll_up_sketches`` without the lines.
+    """
+    rows = parsed.where("template is not null").groupBy("file", F.to_date("timestamp").alias("day"))
+    return rows.agg(F.count("*").alias("lines"), F.hll_sketch_agg("template", log2_size).alias("sketch"))
+
+
+def roll_up_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Lines and about how many distinct templates of each group of ``by`` (none: of all)."""
+    return sketches.groupBy(*by).agg(F.sum("lines").alias("lines"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("templates"))
+
+
 def template_rank(counts: DataFrame) -> DataFrame:
     """Templates by falling count (then by text): ``count``, ``ratio`` of the sum, ``order`` from 0."""
     totals = counts.groupBy("template").agg(F.sum("count").alias("count"))

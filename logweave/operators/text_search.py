@@ -15,8 +15,8 @@ from ..session import new_table_path, ship
 from .numbering import number_rows
 from .vectors import by_blocks, drilldown_hits
 
-#: Entries of a segment, the unit that one task scores; queries of a block.
-SEGMENT, QUERY_BLOCK = 2048, 500
+#: Entries of a segment, the unit that one task scores; queries of a block; terms that a scan is filtered by.
+SEGMENT, QUERY_BLOCK, FILTER_TERMS = 2048, 2000, 500
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -130,8 +130,11 @@ def search_text(index: TextIndex, queries: DataFrame, k: int = 10) -> DataFrame:
             if now is not None:
                 yield best()
 
-        words = index.spark.createDataFrame(pa.table({"term": pa.array(list(asked), pa.string())}))
-        lists = index.table("postings").join(F.broadcast(words), "term", "left_semi")
+        lists = index.table("postings")
+        if len(asked) <= FILTER_TERMS:  # few enough for Parquet to skip by
+            lists = lists.where(F.col("term").isin(list(asked)))
+        else:
+            lists = lists.join(F.broadcast(index.spark.createDataFrame(pa.table({"term": pa.array(list(asked), pa.string())}))), "term", "left_semi")
         lists = lists.repartition("segment").sortWithinPartitions("segment", "term").select("segment", "term", "places", "weights")
         found = lists.mapInArrow(run, f"query_id {kind}, entry bigint, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")  # entries are numbered by file and template

@@ -16,8 +16,8 @@ from .vectors import by_blocks, ranked
 
 #: Vectors that centroids are fitted on, about; lists and codewords of a part at most.
 SAMPLE, MAX_LISTS, CODEWORDS = 20_000, 4096, 256
-#: Components of one part of a residual.
-PART = 4
+#: Components of one part of a residual: a byte for two floats.
+PART = 2
 #: Queries of a block, and the calibration's queries.
 QUERY_BLOCK, TRIALS = 1000, 300
 #: Recall that lists alone, and lists with re-ranking, reach on the sample.

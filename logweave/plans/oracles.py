@@ -16,6 +16,7 @@ _LINE = "'[' || event_type || '] user=' || user_id || ' props ' || props"
 _FILE = "'dev' || (user_id % 8) || '.log'"
 _PARSED = f"SELECT {_FILE} AS file, event_id AS line_no, ts AS timestamp, {_LINE} AS loglines FROM events"
 _TEMPLATES = f"SELECT *, {_masked('loglines')} AS template FROM ({_PARSED})"
+_WORDS = "trim(regexp_replace(trim(template), '[-=,: ]+', ' ', 'g'))"
 _DOCS = (
     "SELECT source || '.log' AS file, doc_id * 1000000 + pos AS line_no, line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, "
     "unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL)"
@@ -105,6 +106,11 @@ ORACLES: dict[str, str] = {
  SELECT event_type, 'POSITION_2', (event_id % 7)::VARCHAR FROM events WHERE event_id % 3 <> 0) GROUP BY ALL) GROUP BY ALL""",
     "unique_patterns": f"SELECT file AS filename, count(*) AS count, template FROM ({_TEMPLATES}) GROUP BY ALL",
     "lines_for_template": f"""SELECT file, line_no, loglines FROM ({_PARSED}) WHERE regexp_full_match(loglines, '\\[click\\] user=\\d+ props \\{{"k": \\d+\\}}')""",
+    "mine_in_two_runs": f"""WITH t AS (SELECT file, line_no, {_WORDS} AS template FROM ({_TEMPLATES})), c AS (SELECT template, row_number() OVER (ORDER BY min((file, line_no))) AS cluster_id FROM t GROUP BY 1)
+ SELECT file, line_no, cluster_id, template FROM t JOIN c USING (template)""",
+    "template_sketches": f"SELECT timestamp::DATE AS day, count(*) AS lines, count(DISTINCT template) AS templates FROM ({_TEMPLATES}) GROUP BY 1",
+    "to_utc_naive": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || ['', 'Z', '+02:00', '-09:30', ' nonsense'][event_id % 5 + 1] AS text,
+ CASE WHEN event_id % 5 < 4 THEN date_trunc('second', ts) - to_minutes([0, 0, 120, -570][event_id % 5 + 1]) END AS utc FROM events""",
     "parse_timestamp": f"SELECT file, line_no, raw, timestamp, loglines FROM ({_OWN}) WHERE event_id % 9 <> 5",
     "rebase_uptime": f"SELECT file, line_no, epoch_us(timestamp) AS micros FROM ({_REBASED}) WHERE event_id % 9 = 5",
     "forward_fill_ts": "SELECT user_id % 8 AS file, event_id AS line_no, last_value(CASE WHEN event_id % 4 = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id % 8 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS timestamp FROM events",
@@ -184,6 +190,8 @@ ORACLES: dict[str, str] = {
     "file_stems": f"SELECT lower(regexp_replace(original_name, '[.][^.]*$', '')) AS stem, count(*) AS n FROM ({_FILES}) GROUP BY 1",
     "stream_template_counts": f"""SELECT start, template, count(*) AS count FROM (SELECT date_trunc('hour', timestamp) AS start, template FROM ({_TEMPLATES}))
  WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('second', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+    "stream_mine_templates": f"SELECT template, count(*) AS lines FROM (SELECT {_WORDS} AS template FROM ({_TEMPLATES})) GROUP BY 1",
+    "stream_rule_hits": "SELECT 'events.log' AS file, event_type AS title, least(count(*), 1000) AS \"Frequency\" FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 2",
     "stream_dedupe": f"SELECT DISTINCT strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || loglines AS line FROM ({_PARSED})",
     "stream_latest_status": "SELECT user_id::VARCHAR AS device, event_type AS key, date_trunc('second', max(ts)) AS time FROM events GROUP BY ALL",
 }

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import timestamps
 from ..functions.entities import entity_spans as spans_of
 from ..functions.telemetry import flatten_json as flatten, kv_split as split_packed, parse_size as size_of
 from ..functions.text import MASKS, file_stem, line_page, mask_values as mask, normalise_member_name as member_name, render_line, similarity_band, size_mb, tokenise
-from ..operators import catalog, ingest, search, templates, text_search as by_text, vector_index, vectors
+from ..operators import catalog, ingest, search, template_catalogue, templates, text_search as by_text, vector_index, vectors
 from ..operators import rules as rule_ops
 from ..operators import telemetry as tel
 from ..sources.logs import reports_of
+from ..sources.rules import FLAT
 from ..session import configure, new_table_path
 from ..streaming import streams
 from . import inputs
@@ -123,6 +125,30 @@ def mine_document_templates(spark, sf_dir):
     return templates.mine_templates(lines).select("file", "line_no", "template")
 
 
+@query
+def mine_in_two_runs(spark, sf_dir):
+    """Half the files, then the others, mined into one catalogue."""
+    lines = inputs.parsed_events(spark, sf_dir)
+    held = template_catalogue.TemplateCatalogue(spark, new_table_path(spark, "catalogue"))
+    first = template_catalogue.mine_into(held, lines.where("file < 'dev4.log'"))
+    second = template_catalogue.mine_into(held, lines.where("file >= 'dev4.log'"))
+    return first.unionByName(second).select("file", "line_no", "cluster_id", "template")
+
+
+@query
+def template_sketches(spark, sf_dir):
+    """Distinct templates of each day by sketches of each file and day."""
+    return templates.roll_up_sketches(templates.template_sketches(_masked(spark, sf_dir)), ["day"])
+
+
+@query
+def to_utc_naive(spark, sf_dir):
+    e = inputs.table(spark, sf_dir, "events")
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("", "Z", "+02:00", "-09:30", " nonsense")]), (F.col("event_id") % 5 + 1).cast("int"))
+    text = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    return e.select("event_id", text.alias("text"), timestamps.to_utc_naive(text).alias("utc"))
+
+
 @query
 def parse_timestamp(spark, sf_dir):
     rows = ingest.parse_lines(inputs.dialect_logs(spark, sf_dir), syslog_year=2024)
@@ -522,6 +548,26 @@ def stream_template_counts(spark, sf_dir):
     return _stream(spark, sf_dir, "counts", lambda x: streams.stream_template_counts(x, "10 minutes", "1 hour"), "append")
 
 
+@query
+def stream_mine_templates(spark, sf_dir):
+    """The clusters that a stream has made of all lines, with their lines."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        rows = _stream(spark, sf_dir, "mined", lambda x: streams.stream_mine_templates(x, ttl=None), "append")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return streams.clusters_so_far(rows).select("template", "lines")
+
+
+@query
+def stream_rule_hits(spark, sf_dir):
+    """Lines of the stream's files that a rule for each event type matches."""
+    named = [("Events", t, "", "events.log", "events", "STD", rf"^\[{t}\] user=", t) for t in ("click", "purchase", "view")]
+    rules = spark.createDataFrame(named, FLAT)
+    rows = _stream(spark, sf_dir, "rules", lambda x: streams.stream_rule_hits(x.withColumn("file", F.lit("events.log")).withColumn("line", F.col("loglines")), rules, 1000), "complete")
+    return rows.select("file", "title", "Frequency")
+
+
 @query
 def stream_dedupe(spark, sf_dir):
     return _stream(spark, sf_dir, "dedupe", lambda x: streams.stream_dedupe(x.withColumn("file", F.lit("one")), "1 hour"), "append").select("line")

@@ -74,6 +74,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder lies at ``path``, in whatever store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, by Spark's own file server."""
     sc = spark.sparkContext

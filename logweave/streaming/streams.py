@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import MASKS, mask_values, mining_prefix, tokenise
+from ..functions.text import MASKS, file_stem, mask_values, mining_prefix, tokenise
 from ..functions.timestamps import message, parse_timestamp, raw_timestamp
-from ..operators.templates import WILDCARD
+from ..operators.rules import rule_matches
+from ..operators.templates import cluster_into
 
 
 def stream_log_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -29,61 +32,78 @@ def stream_template_counts(lines: DataFrame, late: str = "10 minutes", window: s
     return counts.select(F.col("window.start").alias("start"), "template", "count")
 
 
+#: The state store that keeps clusters.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 class _Clusters(StatefulProcessor):
     """Clusters of one bucket of word lists; their ids stay, their words get more general."""
 
-    def __init__(self, similarity: float, max_clusters: int):
-        self.similarity, self.max_clusters = similarity, max_clusters
+    def __init__(self, similarity: float, ttl_ms: int | None):
+        self.similarity, self.ttl_ms = similarity, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         key = StructType([StructField("cluster", IntegerType())])
         value = StructType([StructField("words", ArrayType(StringType()))])
-        self.clusters = handle.getMapState("clusters", key, value)
+        number = StructType([StructField("next", IntegerType())])
+        self.clusters = handle.getMapState("clusters", key, value, self.ttl_ms)
+        self.next = handle.getValueState("next", number)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: list(v[0]) for k, v in self.clusters.iterator()}
-        counts: dict[int, int] = {}
+        held = sorted((k[0], list(v[0])) for k, v in self.clusters.iterator())
+        names, state = [k for k, _ in held], [w for _, w in held]
+        following = self.next.get()[0] if self.next.exists() else 0
+        counts: Counter[int] = Counter()
         for pdf in rows:
-            for words in map(list, pdf["tokens"]):
-                best, share = -1, -1.0
-                for k in sorted(held):
-                    equal = sum(a == b for a, b in zip(held[k], words)) / max(len(words), 1)
-                    if equal > share:
-                        best, share = k, equal
-                if best < 0 or (share < self.similarity and len(held) < self.max_clusters):
-                    best = len(held)
-                    held[best] = words
-                else:
-                    held[best] = [a if a == b else WILDCARD for a, b in zip(held[best], words)]
-                counts[best] = counts.get(best, 0) + 1
+            member, state = cluster_into([list(t) for t in pdf["tokens"]], state, self.similarity)
+            names += range(following, following + len(state) - len(names))
+            following = max(following, names[-1] + 1)
+            counts.update(member)
         for k in counts:
-            self.clusters.updateValue((k,), (held[k],))
-        yield pd.DataFrame({"bucket": [key[0]] * len(counts), "cluster": list(counts), "template": [" ".join(held[k]) for k in counts], "lines": list(counts.values())})
+            self.clusters.updateValue((names[k],), (state[k],))
+        self.next.update((following,))
+        yield pd.DataFrame({"bucket": [key[0]] * len(counts), "cluster": [names[k] for k in counts], "template": [" ".join(state[k]) for k in counts], "lines": list(counts.values())})
 
     def close(self) -> None:
         pass
 
 
-def stream_mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, max_clusters: int = 1024) -> DataFrame:
+def stream_mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, ttl: timedelta | None = timedelta(days=30)) -> DataFrame:
     """Template mining with clusters kept as state: per batch and cluster its id, its template by now, its new lines.
 
-    Cluster ids (with their bucket) never change, so counts are summed by id and the text is
-    taken from the latest row. Needs the RocksDB state store.
+    Cluster ids (with their bucket) never change and are never given twice, so counts are
+    summed by id and the text is taken from the latest row. No line is forced into a cluster:
+    a cluster that no line has met for ``ttl`` is forgotten (None: never), which bounds the
+    state, and lines like its own begin a new one. Needs the RocksDB state store. With a
+    ``ttl`` Spark makes batches as long as the query runs, so it does not end by itself
+    (``availableNow``).
     """
     tokens = tokenise(mask_values(F.col("loglines"), MASKS))
-    rows = lines.select(tokens.alias("tokens")).select("tokens", F.concat_ws(" ", F.size("tokens").cast("string"), mining_prefix(F.col("tokens"), depth)).alias("bucket"))
+    rows = lines.select(tokens.alias("tokens")).where("tokens is not null").select("tokens", F.concat_ws(" ", F.size("tokens").cast("string"), mining_prefix(F.col("tokens"), depth)).alias("bucket"))
     return rows.groupBy("bucket").transformWithStateInPandas(
-        statefulProcessor=_Clusters(similarity, max_clusters), outputStructType="bucket string, cluster int, template string, lines bigint", outputMode="append", timeMode="None"
-    )
+        statefulProcessor=_Clusters(similarity, None if ttl is None else int(ttl.total_seconds() * 1000)),
+        outputStructType="bucket string, cluster int, template string, lines bigint", outputMode="append", timeMode="None" if ttl is None else "ProcessingTime",
+    )
+
+
+def clusters_so_far(mined: DataFrame) -> DataFrame:
+    """Of the rows that ``stream_mine_templates`` has sent: each cluster's latest (most general) template, and all its lines."""
+    wildcards = F.regexp_count("template", F.lit(r"(^| )<[*]>($| )"))
+    latest = F.max(F.struct(wildcards.alias("n"), "template"))
+    return mined.groupBy("bucket", "cluster").agg(latest.alias("t"), F.sum("lines").alias("lines")).select("bucket", "cluster", "t.template", "lines")
 
 
 def stream_rule_hits(lines: DataFrame, rules: DataFrame, cap: int = 100) -> DataFrame:
-    """Matching lines per file and rule so far, counted up to ``cap`` (update mode)."""
-    held = rules.where("pattern is not null").select("file_key", "title", "pattern")
-    stem = F.lower(F.trim(F.regexp_replace("file", r"(?<=.)\.[^.]*$", "")))
-    hits = lines.withColumn("file_key", stem).join(held, "file_key").where(F.expr("line rlike pattern"))
-    counts = hits.groupBy("file", "title", "pattern").agg(F.count("*").alias("n"))
-    return counts.select("file", "title", "pattern", F.least("n", F.lit(cap)).alias("Frequency"))
+    """Matching lines per file and rule so far, counted up to ``cap`` (update or complete mode).
+
+    Patterns are literals of one projection, as in ``apply_rules``, so each compiles once a
+    task; more than ``MAX_RULES`` rules are refused.
+    """
+    held, matched = rule_matches(rules)
+    hits = lines.where(file_stem(F.col("file")).isin(sorted({r["file_key"] for r in held}))).select("file", F.explode(matched).alias("rule"))
+    counts = hits.groupBy("file", "rule").agg(F.count("*").alias("n"))
+    names = lines.sparkSession.createDataFrame([(k, r["title"], r["pattern"]) for k, r in enumerate(held)], "rule int, title string, pattern string")
+    return counts.join(F.broadcast(names), "rule").select("file", "title", "pattern", F.least("n", F.lit(cap)).alias("Frequency"))
 
 
 def stream_latest_status(telemetry: DataFrame) -> DataFrame:
