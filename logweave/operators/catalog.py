@@ -72,3 +72,8 @@ def pipeline_status(manifest: DataFrame) -> DataFrame:
     states = manifest.groupBy("state").agg(F.count("*").alias("files"))
     done = manifest.agg((F.coalesce(F.bool_and(F.col("state").isin("indexed", "error")), F.lit(False))).alias("all_done"))
     return states.crossJoin(F.broadcast(done))  # one row
+
+
+def status_by_name(manifest: DataFrame) -> DataFrame:
+    """Files (``file``, ``state``) with whether each is done (indexed or failed), by name."""
+    return manifest.select("file", "state", F.col("state").isin("indexed", "error").alias("done")).orderBy("file", "state")

@@ -57,6 +57,7 @@ _FILES = """SELECT o_orderkey AS id, o_custkey::VARCHAR AS project_id, o_orderke
 _MANIFEST = f"SELECT file, ['queued', 'parsed', 'indexed', 'error'][id % 4 + 1] AS state FROM ({_FILES}) WHERE id % 3 <> 0"
 _USERS = f"""SELECT n_nationkey AS id, n_name AS username, n_nationkey % 2 = 0 AS is_admin, coalesce(p, 0) AS project_count, coalesce(f, 0)::BIGINT AS file_count FROM nation LEFT JOIN (
  SELECT c_nationkey, count(*) AS p, coalesce(sum(k), 0) AS f FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1) ON n_nationkey = c_nationkey"""
+_PART_RULES = "SELECT 'c' || (s_nationkey % 5) AS category, 't' || s_nationkey AS title, CASE WHEN s_suppkey % 7 = 0 THEN '(' ELSE 'code=' || s_suppkey END AS pattern, s_name AS description FROM supplier"
 _TELEMETRY = "SELECT user_id::VARCHAR AS device, event_id::INT AS report_id, ts AS time, 'Report.' || event_type AS key, round(value, 2)::VARCHAR AS value, event_type FROM events"
 
 
@@ -187,6 +188,24 @@ ORACLES: dict[str, str] = {
     "file_sizes": f"SELECT project_id, round(sum(file_size) / 1048576.0, 2) AS mb FROM ({_FILES}) GROUP BY 1",
     "render_lines": f"SELECT line_no, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || loglines AS shown, line_no // 1000 + 1 AS page FROM ({_PARSED})",
     "similarity_bands": f"SELECT query_id, CASE WHEN similarity >= 0.8 THEN 'high' WHEN similarity < 0.5 THEN 'low' ELSE 'medium' END AS band, count(*) AS n FROM ({_topk('vec_id % 100 = 0', 20)}) GROUP BY ALL",
+    "status_by_name": f"SELECT file, state, state IN ('indexed', 'error') AS done FROM ({_MANIFEST})",
+    "read_log_lines": f"SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || loglines AS line, true AS numbered FROM ({_PARSED})",
+    "write_and_read_parsed": f"SELECT file, line_no, timestamp, loglines, template FROM ({_TEMPLATES})",
+    "write_and_read_rule_hits": _WITH_DOCS + f"SELECT Category, Title, Description, Frequency, FileName, least(Frequency, 5)::INT AS samples FROM ({_RULES})",
+    "write_and_read_vectors": f"SELECT file, template, count(*) AS frequency, 384 AS dimensions FROM ({_TEMPLATES}) GROUP BY ALL",
+    "export_and_read_patterns": f"SELECT file AS filename, count(*) AS count, template FROM ({_TEMPLATES}) GROUP BY ALL",
+    "export_and_read_telemetry": f"SELECT device, report_id, key, value FROM ({_TELEMETRY})",
+    "write_and_read_reports": """SELECT user_id::VARCHAR AS file, '{"Report":[{"id":"' || event_id || '"},{"x.y":"' || event_type || '"}]}' AS json FROM events""",
+    "export_and_read_rules": f"SELECT category, title, 'dev.log' AS file_key, pattern, description FROM ({_PART_RULES})",
+    "rule_catalog_summary": f"""SELECT category AS "Category", title AS "Title", ' Dev.LOG ' AS "FileName", count(*) AS "PatternCount" FROM ({_PART_RULES}) GROUP BY ALL""",
+    "validate_rules": f"SELECT description, pattern FROM ({_PART_RULES}) WHERE pattern = '('",
+    "write_and_read_merged": """SELECT CASE WHEN event_id % 4 <= 1 THEN 'WiFilog.txt' WHEN event_id % 4 = 2 THEN 'Core.txt' ELSE 'mesh.txt' END AS base, event_type || ' ' || user_id || ' ' || event_id AS line FROM events""",
+    "read_catalog": f"SELECT f.id::INT AS id, original_name, c_name AS name, n_name AS username FROM ({_FILES}) f JOIN customer ON c_custkey::VARCHAR = project_id JOIN nation ON n_nationkey = c_nationkey",
+    "device_info": "SELECT user_id::VARCHAR AS device, 'mac' || user_id AS mac, arg_max(event_type, (date_trunc('second', ts), event_id)) AS maker, NULL::VARCHAR AS version FROM events GROUP BY user_id",
+    "process_names": "SELECT DISTINCT 'p' || user_id AS name FROM events UNION SELECT 'all'",
+    "process_rows": "SELECT user_id::VARCHAR AS device, date_trunc('second', ts) AS time, '1' AS rss FROM events",
+    "union_reports": f"SELECT device, report_id, time, CASE WHEN event_type = 'click' THEN value END AS click, CASE WHEN event_type = 'view' THEN value END AS view FROM ({_TELEMETRY}) WHERE event_type IN ('click', 'view')",
+    "inject_year": f"SELECT file, line_no, raw, timestamp FROM ({_OWN}) WHERE event_id % 9 = 3",
     "file_stems": f"SELECT lower(regexp_replace(original_name, '[.][^.]*$', '')) AS stem, count(*) AS n FROM ({_FILES}) GROUP BY 1",
     "stream_template_counts": f"""SELECT start, template, count(*) AS count FROM (SELECT date_trunc('hour', timestamp) AS start, template FROM ({_TEMPLATES}))
  WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('second', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",

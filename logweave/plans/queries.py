@@ -14,8 +14,10 @@ from ..functions.text import MASKS, file_stem, line_page, mask_values as mask, n
 from ..operators import catalog, ingest, search, template_catalogue, templates, text_search as by_text, vector_index, vectors
 from ..operators import rules as rule_ops
 from ..operators import telemetry as tel
+from ..sources import catalog as catalog_source, logs, sinks
 from ..sources.logs import reports_of
-from ..sources.rules import FLAT
+from ..sources.rules import FLAT, read_rules, validate_rules as validate
+from ..sources.sinks import export_rules as rules_sink
 from ..session import configure, new_table_path
 from ..streaming import streams
 from . import inputs
@@ -526,6 +528,161 @@ def file_stems(spark, sf_dir):
     return f.groupBy(file_stem(F.col("original_name")).alias("stem")).agg(F.count("*").alias("n"))
 
 
+def _file_status(spark, sf_dir) -> DataFrame:
+    return catalog.status_by_name(inputs.manifest(spark, sf_dir))
+
+
+@query
+def status_by_name(spark, sf_dir):
+    return _file_status(spark, sf_dir)
+
+
+@query
+def read_log_lines(spark, sf_dir):
+    """Event logs written as text files and read back; ``numbered``: whether the numbers of a line's file run from 1 on."""
+    path = new_table_path(spark, "log-files")
+    inputs.event_logs(spark, sf_dir).select(F.col("line").alias("value")).write.text(path)
+    lines = logs.read_log_lines(spark, path)
+    files = lines.groupBy("file").agg(((F.min("line_no") == 1) & (F.max("line_no") == F.count("*")) & (F.count_distinct("line_no") == F.count("*"))).alias("numbered"))
+    return lines.join(files, "file").select("line", "numbered")
+
+
+@query
+def write_and_read_parsed(spark, sf_dir):
+    path = new_table_path(spark, "parsed")
+    sinks.write_parsed(_masked(spark, sf_dir).withColumn("parameter_list", F.array(F.lit("x"))), path)
+    return logs.read_parsed_logs(spark, path).select("file", "line_no", "timestamp", "loglines", "template")
+
+
+@query
+def write_and_read_rule_hits(spark, sf_dir):
+    """Hits written twice: a later run replaces those of an earlier one."""
+    path = new_table_path(spark, "hits")
+    for _ in range(2):
+        sinks.write_rule_hits(_hits(spark, sf_dir), path)
+    return spark.read.parquet(path).select("Category", "Title", "Description", "Frequency", "FileName", F.size("SampleLogs").alias("samples"))
+
+
+@query
+def write_and_read_vectors(spark, sf_dir):
+    """Vectors of half the files, then of all: each is stored once."""
+    path = new_table_path(spark, "vectors")
+    found = vectors.embed_templates(templates.template_counts(_masked(spark, sf_dir)))
+    sinks.write_vectors(found.where("file < 'dev4.log'"), path)
+    sinks.write_vectors(found, path)
+    return spark.read.parquet(path).select("file", "template", "frequency", F.size("embedding").alias("dimensions"))
+
+
+@query
+def export_and_read_patterns(spark, sf_dir):
+    path = new_table_path(spark, "patterns")
+    sinks.export_unique_patterns(templates.unique_patterns(_masked(spark, sf_dir)), path)
+    return spark.read.option("header", True).schema("filename string, count bigint, template string").csv(path)
+
+
+@query
+def export_and_read_telemetry(spark, sf_dir):
+    path = new_table_path(spark, "telemetry")
+    sinks.export_telemetry(inputs.telemetry(spark, sf_dir).select("device", "report_id", "time", "key", "value"), path)
+    return spark.read.option("header", True).schema("device string, report_id int, time timestamp_ntz, key string, value string").csv(path).select("device", "report_id", "key", "value")
+
+
+@query
+def write_and_read_reports(spark, sf_dir):
+    """Carved reports written as files of a device each and read back."""
+    path = new_table_path(spark, "reports")
+    sinks.write_json_reports(QUERIES["carve_json"](spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("file").cast("string").alias("file"), F.col("value").alias("json"))
+
+
+@query
+def export_and_read_rules(spark, sf_dir):
+    """A rule for each part type of the tables, exported as a catalogue and read back."""
+    path = new_table_path(spark, "rules")
+    rules_sink(_part_rules(spark, sf_dir), path)
+    return read_rules(spark, path).select("category", "title", "file_key", "pattern", "description")
+
+
+def _part_rules(spark, sf_dir) -> DataFrame:
+    p = inputs.table(spark, sf_dir, "supplier")
+    nation = (F.col("s_nationkey") % 5).cast("string")
+    pattern = F.when(F.col("s_suppkey") % 7 == 0, "(").otherwise(F.concat(F.lit("code="), F.col("s_suppkey").cast("string")))
+    return p.select(F.concat(F.lit("c"), nation).alias("category"), F.concat(F.lit("t"), F.col("s_nationkey").cast("string")).alias("title"), F.lit("").alias("cause"), F.lit(" Dev.LOG ").alias("file_name"), F.lit("dev.log").alias("file_key"), F.lit("STD").alias("type"), pattern.alias("pattern"), F.col("s_name").alias("description"))
+
+
+@query
+def rule_catalog_summary(spark, sf_dir):
+    return rule_ops.rule_catalog_summary(_part_rules(spark, sf_dir))
+
+
+@query
+def validate_rules(spark, sf_dir):
+    return validate(_part_rules(spark, sf_dir)).select("description", "pattern")
+
+
+@query
+def write_and_read_merged(spark, sf_dir):
+    path = new_table_path(spark, "merged")
+    sinks.write_merged_logs(QUERIES["merge_rotated"](spark, sf_dir), path)
+    return spark.read.text(path).select("base", F.col("value").alias("line"))
+
+
+@query
+def read_catalog(spark, sf_dir):
+    """Users, projects and files stored and read back: the files of each project by name."""
+    path = new_table_path(spark, "catalog")
+    stamp, text = F.lit(None).cast("timestamp_ntz"), F.lit("").alias("description")
+    inputs.users(spark, sf_dir).select(F.col("id").cast("int").alias("id"), "username", F.lit("").alias("email"), "is_admin", stamp.alias("created_at"), stamp.alias("last_login")).write.parquet(f"{path}/users")
+    inputs.projects(spark, sf_dir).select("id", F.col("user_id").cast("int").alias("user_id"), "name", text, stamp.alias("created_at"), stamp.alias("last_accessed")).write.parquet(f"{path}/projects")
+    f = inputs.files(spark, sf_dir)
+    f.select(F.col("id").cast("int").alias("id"), "project_id", F.col("file").alias("filename"), "original_name", F.col("file").alias("file_path"), (F.col("file_size") % 1000).cast("int").alias("file_size"), stamp.alias("uploaded_at")).write.parquet(f"{path}/files")
+    users, projects, files = catalog_source.read_catalog(spark, path)
+    owned = catalog_source.project_files(files).join(projects.select(F.col("id").alias("project_id"), "user_id", "name"), "project_id")
+    return owned.join(users.select(F.col("id").alias("user_id"), "username"), "user_id").select("id", "original_name", "name", "username")
+
+
+def _device_reports(spark, sf_dir) -> DataFrame:
+    """Events as reports of their user's device: its address, two makers, the memory of two processes."""
+    e = inputs.table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    pairs = {"Time": F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), "x.mac": F.concat(F.lit("mac"), user), "a.manufacturer": F.lit("first"), "b.manufacturer": F.col("event_type"), "x.ccsp_memory_usage_split": F.concat(F.lit("NAME=p"), user, F.lit("|RSS="), F.col("event_id").cast("string"), F.lit(";NAME=all|RSS=1;"))}
+    body = F.concat(F.lit('{"Report":['), F.concat_ws(",", *[F.concat(F.lit(f'{{"{k}":"'), v, F.lit('"}')) for k, v in pairs.items()]), F.lit("]}"))
+    return e.select(user.alias("file"), F.col("event_id").cast("int").alias("report_id"), body.alias("json"))
+
+
+@query
+def device_info(spark, sf_dir):
+    return tel.device_info(tel.telemetry_table(_device_reports(spark, sf_dir))).select("device", F.col("MAC").alias("mac"), F.col("MANUFACTURER").alias("maker"), F.col("VERSION").alias("version"))
+
+
+@query
+def process_names(spark, sf_dir):
+    return tel.process_names(tel.process_memory(tel.telemetry_table(_device_reports(spark, sf_dir)))).select(F.col("NAME").alias("name"))
+
+
+@query
+def process_rows(spark, sf_dir):
+    rows = tel.process_rows(tel.process_memory(tel.telemetry_table(_device_reports(spark, sf_dir))), "all")
+    return rows.select("device", "time", F.col("fields")["RSS"].alias("rss"))
+
+
+@query
+def union_reports(spark, sf_dir):
+    """Wide reports of two kinds of events as one table, less the columns that are empty everywhere."""
+    t = inputs.telemetry(spark, sf_dir)
+    one = tel.telemetry_wide(t.where("key = 'Report.click'"), [".click", ".never"])
+    two = tel.telemetry_wide(t.where("key = 'Report.view'"), [".view"])
+    rows = tel.drop_empty_columns(tel.union_reports(one, two))
+    return rows.select(*[F.col(f"`{c}`").alias(c.strip(".")) for c in rows.columns])
+
+
+@query
+def inject_year(spark, sf_dir):
+    """Syslog lines get the year of their file's earliest dated line."""
+    rows = ingest.parse_lines(inputs.dialect_logs(spark, sf_dir))
+    return rows.where("raw rlike '^[A-Z]'").select("file", "line_no", "raw", "timestamp")
+
+
 def _stream(spark, sf_dir, name: str, build, mode: str) -> DataFrame:
     """Events as text files, read by ``build``'s stream until none is left; the rows it has written."""
     source, target = new_table_path(spark, f"{name}-in"), new_table_path(spark, f"{name}-out")
