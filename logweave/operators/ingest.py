@@ -13,6 +13,7 @@ from .numbering import number_rows
 
 #: Lines of a file that are filled in one window; longer files are filled block by block.
 FILL_BLOCK = 100_000
+LEAP_YEAR = 2000
 
 
 def strip(text: Column) -> Column:
@@ -48,13 +49,30 @@ def parse_lines(lines: DataFrame, syslog_year: int | None = None, default_base:
     ``default_base`` (null: they stay without time).
     """
     rows = lines.select("file", "line_no", raw_timestamp(F.col("line")).alias("raw"), message(F.col("line")).alias("loglines"))
-    dated = F.when(~F.col("raw").rlike("^[A-Z]"), parse_timestamp(F.col("raw")))
-    years = rows.groupBy("file").agg(F.min(dated).alias("_first"))
-    year = F.lit(syslog_year) if syslog_year is not None else F.coalesce(F.year("_first"), F.year(F.current_date()))
-    rows = rows.join(years, "file").withColumn("timestamp", parse_timestamp(F.col("raw"), year)).drop("_first")
-    bases = rows.groupBy("file").agg(F.min("timestamp").alias("_base"))
+    firsts = _first_times(rows, syslog_year)
     base = F.coalesce("_base", F.lit(default_base).cast("timestamp_ntz"))
-    return rows.join(bases, "file").withColumn("timestamp", F.coalesce("timestamp", rebase_uptime(F.col("raw"), base))).drop("_base")
+    year = F.lit(syslog_year) if syslog_year is not None else F.col("_year")
+    own = F.coalesce(parse_timestamp(F.col("raw"), year), rebase_uptime(F.col("raw"), base))
+    return rows.join(firsts, "file").withColumn("timestamp", own).drop("_base", "_year")
+
+
+def _first_times(rows: DataFrame, syslog_year: int | None) -> DataFrame:
+    """``file``, ``_year`` (of its syslog lines) and ``_base`` (its earliest time), in one pass over the raw time stamps.
+
+    Syslog lines have no year, so their earliest is taken in a leap year: once of all lines,
+    once without the 29th of February, which other years do not have.
+    """
+    raw = F.col("raw")
+    if syslog_year is not None:
+        return rows.groupBy("file").agg(F.min(parse_timestamp(raw, syslog_year)).alias("_base"), F.lit(syslog_year).alias("_year"))
+    syslog = F.when(raw.rlike("^[A-Z]"), parse_timestamp(raw, LEAP_YEAR))
+    common = F.when(~raw.rlike(r"^Feb\s+29\s"), syslog)
+    found = rows.groupBy("file").agg(F.min(F.when(~raw.rlike("^[A-Z]"), parse_timestamp(raw))).alias("_dated"), F.min(syslog).alias("_all"), F.min(common).alias("_common"))
+    year = F.coalesce(F.year("_dated"), F.year(F.current_date()))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    first = F.when(leap, F.col("_all")).otherwise(F.col("_common"))
+    dated = F.try_to_timestamp(F.concat(year.cast("string"), F.date_format(first, "-MM-dd HH:mm:ss")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return found.select("file", F.least("_dated", dated).alias("_base"), year.alias("_year"))
 
 
 def parse_logs(lines: DataFrame, syslog_year: int | None = None, default_base: datetime.datetime | None = None) -> DataFrame:

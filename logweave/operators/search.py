@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.entities import ENTITIES
+from ..functions.literals import required_texts
 from ..functions.text import line_page
+from ..session import new_table_path
 from ..sources.rules import pattern_problem
 
 #: Quick searches by name. Fixed values.
@@ -29,6 +31,70 @@ def search_lines(lines: DataFrame, pattern: str, size: int = 1000) -> DataFrame:
     return matches.select("file", "line_no", line_page(F.col("line_no"), size).alias("page"), "line")
 
 
+#: Words of 64 bits of a page's signature.
+SIGNATURE_WORDS = 128
+#: Letters that match an ASCII letter when case is ignored, besides the two cases of that letter.
+_FOLDED = ("ſıİK", "siik")
+
+
+def _bit(trigram: Column) -> Column:
+    return F.pmod(F.xxhash64(trigram), F.lit(SIGNATURE_WORDS * 64)).cast("int")
+
+
+def build_search_pages(lines: DataFrame, path: str | None = None, size: int = 1000) -> str:
+    """Lines (``file``, ``line_no``, ``line``) stored by page below ``path`` (or a new folder), with a signature of each page beside them.
+
+    A signature has a bit for each three characters that follow each other in a line of the
+    page, case ignored; bits of a page are gathered where its lines lie before they are shuffled.
+    """
+    path = path or new_table_path(lines.sparkSession, "search-pages")
+    rows = lines.select("file", "line_no", line_page(F.col("line_no"), size).alias("page"), "line")
+    rows.repartitionByRange("file", "page").sortWithinPartitions("file", "line_no").write.parquet(f"{path}/lines")
+    text = F.lower(F.translate("line", *_FOLDED))
+    stored = lines.sparkSession.read.schema(rows.schema).parquet(f"{path}/lines").where("length(line) >= 3").select("file", "page", text.alias("text"))
+    starts = F.sequence(F.lit(1), F.length("text") - 2)
+    bits = stored.where("length(text) >= 3").select("file", "page", F.explode(F.array_distinct(F.transform(starts, lambda k: _bit(F.substr("text", k, F.lit(3)))))).alias("bit"))
+    words = bits.groupBy("file", "page", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits"))
+    signature = words.groupBy("file", "page").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("signature"))
+    signature.write.parquet(f"{path}/signatures")
+    return path
+
+
+def pages_for(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
+    """``file`` and ``page`` of the stored pages on which a line may match; None if the pattern requires no text of three characters."""
+    found = required_texts(f"(?i){pattern}")
+    if found is None or min(map(len, found[0])) < 3:
+        return None
+    signatures = spark.read.parquet(f"{path}/signatures")
+
+    def holds(text: str) -> Column:
+        trigrams = sorted({text[k : k + 3] for k in range(len(text) - 2)})
+        at = spark.range(1).select(F.array(*[_bit(F.lit(t)) for t in trigrams])).first()[0]
+        masks: dict[int, int] = {}
+        for b in at:
+            masks[b >> 6] = masks.get(b >> 6, 0) | 1 << (b & 63)
+        signed = {w: m - (1 << 64) if m >> 63 else m for w, m in masks.items()}
+        each = [F.coalesce(F.try_element_at("signature", F.lit(w)), F.lit(0)).bitwiseAND(F.lit(m)) == F.lit(m) for w, m in signed.items()]
+        return reduce(lambda a, b: a & b, each)
+
+    return signatures.where(reduce(lambda a, b: a | b, map(holds, sorted(found[0])))).select("file", "page")
+
+
+def search_pages(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``search_lines`` over lines stored by ``build_search_pages``: the same rows, but only of pages whose signature allows a match.
+
+    Texts that every match holds are read from the pattern (``required_texts``); a pattern
+    without any takes all pages.
+    """
+    lines = spark.read.parquet(f"{path}/lines")
+    if pattern_problem(spark, f"(?iu){pattern}"):
+        return lines.where(F.lit(False)).select("file", "line_no", "page", "line")
+    pages = pages_for(spark, path, pattern)
+    if pages is not None:
+        lines = lines.join(pages, ["file", "page"], "left_semi")
+    return lines.where(F.col("line").rlike(f"(?iu){pattern}")).select("file", "line_no", "page", "line")
+
+
 def quick_search(lines: DataFrame, name: str) -> DataFrame:
     """``search_lines`` with the pattern of that name in ``QUICK``."""
     return search_lines(lines, QUICK[name])

@@ -57,6 +57,14 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("file", (F.col("doc_id") * 1_000_000 + F.col("pos") + 1).alias("line_no"), "line")
 
 
+def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as log lines with a level by their status."""
+    o = table(spark, sf_dir, "orders")
+    level = F.when(F.col("o_orderstatus") == "F", "ERROR").when(F.col("o_orderstatus") == "P", "warning").otherwise("info")
+    line = F.concat(F.lit("08:15:30 "), level, F.lit(": order of 10.0."), (F.col("o_custkey") % 200).cast("string"), F.lit(".7"))
+    return o.select(F.lit("orders.log").alias("file"), (F.col("o_orderkey") + 1).alias("line_no"), line.alias("line"))
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the long telemetry table: a device a user, a key an event type."""
     e = table(spark, sf_dir, "events")

@@ -22,6 +22,7 @@ _DOCS = (
     "unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL)"
 )
 _TURNS = "SELECT role AS file, conv_id * 1000 + turn AS line_no, text AS line FROM conversations"
+_ORDERS = "SELECT 'orders.log' AS file, o_orderkey + 1 AS line_no, '08:15:30 ' || CASE o_orderstatus WHEN 'F' THEN 'ERROR' WHEN 'P' THEN 'warning' ELSE 'info' END || ': order of 10.0.' || (o_custkey % 200) || '.7' AS line FROM orders"
 _PREFIX = f"^({'|'.join(PREFIXES)})[:\\s]+(.*)$"
 _DIALECTS = f"""SELECT {_FILE} AS file, event_id AS line_no, CASE event_id % 9
  WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' iso ' || event_type
@@ -121,10 +122,11 @@ ORACLES: dict[str, str] = {
     "drop_blank_lines": f"SELECT file, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS loglines FROM ({_DOCS}) WHERE line_no % 7 <> 0 AND line_no % 5 <> 0 AND regexp_replace(line, '^\\s+|\\s+$', '', 'g') NOT IN ('', '\\n')",
     "sort_parsed": f"SELECT file, line_no, CASE WHEN line_no % 10 <> 0 THEN timestamp END AS timestamp FROM ({_PARSED})",
     "search_lines": _search("licensed?\\s+under", _DOCS),
-    "quick_error": _search(r"\b(ERROR|FATAL|CRITICAL|FAIL)\b", f"{_DOCS} UNION ALL {_TURNS}"),
-    "quick_warn": _search(r"\b(WARNING|WARN|ALERT)\b", f"{_DOCS} UNION ALL {_TURNS}"),
-    "quick_ip": _search(r"\b(?:\d{1,3}\.){3}\d{1,3}\b", f"{_DOCS} UNION ALL {_TURNS}"),
-    "quick_time": _search(r"\b\d{2}:\d{2}:\d{2}\b", f"{_DOCS} UNION ALL {_TURNS}"),
+    "search_stored_pages": f"SELECT *, 'licensed?\\s+under' AS pattern FROM ({_search('licensed?\\s+under', _DOCS)}) UNION ALL SELECT *, 'mit license|apache' FROM ({_search('mit license|apache', _DOCS)})",
+    "quick_error": _search(r"\b(ERROR|FATAL|CRITICAL|FAIL)\b", f"{_DOCS} UNION ALL {_TURNS} UNION ALL {_ORDERS}"),
+    "quick_warn": _search(r"\b(WARNING|WARN|ALERT)\b", f"{_DOCS} UNION ALL {_TURNS} UNION ALL {_ORDERS}"),
+    "quick_ip": _search(r"\b(?:\d{1,3}\.){3}\d{1,3}\b", f"{_DOCS} UNION ALL {_TURNS} UNION ALL {_ORDERS}"),
+    "quick_time": _search(r"\b\d{2}:\d{2}:\d{2}\b", f"{_DOCS} UNION ALL {_TURNS} UNION ALL {_ORDERS}"),
     "search_count": f"SELECT count(*) AS matches FROM ({_DOCS}) WHERE regexp_matches(line, '(?i)the')",
     "page_of_lines": f"SELECT file, line_no, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || loglines AS line FROM ({_PARSED}) WHERE file = 'dev1.log' AND line_no BETWEEN 1001 AND 2000",
     "page_stats": f"SELECT file, count(*) AS total, ceil(count(*) / 1000.0)::BIGINT AS total_pages FROM ({_DOCS}) GROUP BY 1",
@@ -144,6 +146,8 @@ ORACLES: dict[str, str] = {
     )
     + ") GROUP BY ALL",
     "rule_hits": _WITH_DOCS + _RULES,
+    "rule_hits_many": f"""SELECT 'u' || (user_id % 100) AS "Category", event_type AS "Title", least(count(*), 100)::INT AS "Frequency", string_agg(line, chr(10) ORDER BY event_id) FILTER (rn <= 5) AS samples FROM (
+ SELECT *, {_LINE} AS line, row_number() OVER (PARTITION BY user_id % 100, event_type ORDER BY event_id) AS rn FROM events WHERE event_type IN ('click', 'purchase', 'view') AND user_id >= 10) GROUP BY ALL""",
     "rule_summary": _WITH_DOCS + f"SELECT count(*) AS total_issues, coalesce(string_agg(DISTINCT Category, ', ' ORDER BY Category), '') AS categories FROM ({_RULES})",
     "rule_bars": _WITH_DOCS + f"SELECT Title, Category, sum(Frequency)::BIGINT AS Frequency FROM ({_RULES}) GROUP BY ALL",
     "rule_report": _WITH_DOCS
@@ -159,7 +163,7 @@ ORACLES: dict[str, str] = {
     "parse_size": """SELECT o_orderkey, (o_orderkey % 100) || ['', 'kB', 'm', ' KB', 'x'][o_orderkey % 5 + 1] AS text, CASE o_orderkey % 5 WHEN 2 THEN (o_orderkey % 100) * 1024.0 WHEN 4 THEN NULL ELSE o_orderkey % 100 END::DOUBLE AS kb FROM orders""",
     "latest_value": f"SELECT device, '.' || event_type AS metric, max(time) AS time, arg_max(value, (time, report_id)) AS value FROM ({_TELEMETRY}) WHERE event_type IN ('click', 'purchase', 'view') GROUP BY ALL",
     "metric_by_suffix": f"SELECT device, report_id, key, value FROM ({_TELEMETRY}) WHERE key LIKE '%e'",
-    "telemetry_wide": f"""SELECT device, report_id, CASE WHEN event_type = 'click' THEN value END AS click, CASE WHEN event_type = 'purchase' THEN value END AS purchase FROM ({_TELEMETRY}) WHERE report_id % 5 = 0 AND event_type IN ('click', 'purchase')""",
+    "telemetry_wide": f"""SELECT device, report_id, CASE WHEN event_type = 'click' THEN value END AS click, CASE WHEN event_type = 'purchase' THEN value END AS purchase FROM ({_TELEMETRY}) WHERE event_type IN ('click', 'purchase')""",
     "device_status": f"""SELECT device, arg_max(value, (time, report_id)) FILTER (event_type = 'click') AS wan_mode, arg_max(value, (time, report_id)) FILTER (event_type = 'purchase') AS mesh_edge,
  arg_max(value, (time, report_id)) FILTER (event_type = 'view') AS radio1 FROM ({_TELEMETRY}) WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1""",
     "metric_series": f"""SELECT device, time, max(value::DOUBLE) FILTER (event_type = 'click') AS received, max(value::DOUBLE) FILTER (event_type = 'view') AS sent FROM ({_TELEMETRY}) WHERE event_type IN ('click', 'view') GROUP BY ALL""",
@@ -172,7 +176,7 @@ ORACLES: dict[str, str] = {
     "vector_topk_batch": _topk("vec_id % 100 = 0", 5),
     "text_search": f"WITH {_TFIDF} SELECT query_id, file, template, frequency, round(s, 4) AS similarity, rank FROM h",
     "text_search_lines": f"WITH {_TFIDF} SELECT c.role AS file, c.conv_id * 1000 + c.turn AS line_no FROM conversations c JOIN (SELECT DISTINCT file, template FROM h) x ON x.file = c.role AND x.template = c.text",
-    "drilldown_hits": f"SELECT t.file, t.template, t.line_no FROM ({_TEMPLATES}) t JOIN (SELECT file, template FROM ({_TEMPLATES}) GROUP BY ALL HAVING count(*) % 2 = 0) h ON t.file = h.file AND t.template = h.template",
+    "drilldown_hits": f"SELECT t.file, t.template, t.line_no FROM ({_TEMPLATES}) t JOIN (SELECT file, template FROM ({_TEMPLATES}) GROUP BY ALL) h ON t.file = h.file AND t.template = h.template",
     "prompt_rows": f"""SELECT file, string_agg('{{"filename":"' || file || '","template":"' || replace(template, '"', '\\"') || '","frequency":' || n || '}}', chr(10) ORDER BY n DESC, template) AS prompt FROM (
  SELECT file, template, count(*) AS n FROM ({_TEMPLATES}) GROUP BY ALL) GROUP BY 1""",
     "eligible_files": f"""SELECT id, file, original_name, file_size FROM ({_FILES}) WHERE file_size > 0 AND file NOT LIKE '%.xls' AND file NOT LIKE '%.zip'

@@ -199,9 +199,17 @@ def search_lines(spark, sf_dir):
     return search.search_lines(_text(spark, sf_dir, "documents"), "licensed?\\s+under").select("file", "line_no", "page", "line")
 
 
+@query
+def search_stored_pages(spark, sf_dir):
+    """``search_lines`` twice over lines stored once, by the signatures of their pages."""
+    path = search.build_search_pages(_text(spark, sf_dir, "documents"))
+    found = [search.search_pages(spark, path, p).withColumn("pattern", F.lit(p)) for p in ("licensed?\\s+under", "mit license|apache")]
+    return found[0].unionByName(found[1])
+
+
 def _quick(name: str) -> Query:
     def run(spark, sf_dir):
-        both = _text(spark, sf_dir, "documents").unionByName(_text(spark, sf_dir, "conversations"))
+        both = _text(spark, sf_dir, "documents").unionByName(_text(spark, sf_dir, "conversations")).unionByName(inputs.order_logs(spark, sf_dir))
         return search.quick_search(both, name)
 
     run.__name__ = f"quick_{name}"
@@ -263,6 +271,14 @@ def _hits(spark, sf_dir) -> DataFrame:
     return rule_ops.apply_rules(_text(spark, sf_dir, "documents"), inputs.rules(spark))
 
 
+@query
+def rule_hits_many(spark, sf_dir):
+    """A rule for each two-digit end of a user's number and event type, far more than one projection holds."""
+    named = [(f"u{u}", t, "", "dev.log", "dev", "STD", rf"^\[{t}\] user=\d*{u:02d} ", "") for u in range(100) for t in ("click", "purchase", "view")]
+    lines = inputs.parsed_events(spark, sf_dir).select(F.lit("dev.log").alias("file"), "line_no", F.col("loglines").alias("line"))
+    return rule_ops.apply_rules(lines, spark.createDataFrame(named, FLAT)).select("Category", "Title", "Frequency", F.array_join("SampleLogs", "\n").alias("samples"))
+
+
 @query
 def rule_summary(spark, sf_dir):
     return rule_ops.rule_summary(_hits(spark, sf_dir))
@@ -332,7 +348,7 @@ def metric_by_suffix(spark, sf_dir):
 
 @query
 def telemetry_wide(spark, sf_dir):
-    t = inputs.telemetry(spark, sf_dir).where("report_id % 5 = 0")
+    t = inputs.telemetry(spark, sf_dir)
     return tel.telemetry_wide(t, [".click", ".purchase"]).select("device", "report_id", F.col("`.click`").alias("click"), F.col("`.purchase`").alias("purchase"))
 
 
@@ -445,7 +461,7 @@ def embed_templates(spark, sf_dir):
 @query
 def drilldown_hits(spark, sf_dir):
     parsed = _masked(spark, sf_dir)
-    hits = templates.template_counts(parsed).where("count % 2 = 0")
+    hits = templates.template_counts(parsed)
     return vectors.drilldown_hits(hits, parsed).select("file", "template", "line_no")
 
 
