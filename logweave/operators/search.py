@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.entities import ENTITIES
 from ..functions.literals import required_texts
 from ..functions.text import line_page
-from ..session import new_table_path
+from ..session import new_table_path, ship
 from ..sources.rules import pattern_problem
 
 #: Quick searches by name. Fixed values.
@@ -37,24 +41,48 @@ SIGNATURE_WORDS = 128
 _FOLDED = ("ſıİK", "siik")
 
 
-def _bit(trigram: Column) -> Column:
-    return F.pmod(F.xxhash64(trigram), F.lit(SIGNATURE_WORDS * 64)).cast("int")
+def _bits(text: np.ndarray) -> np.ndarray:
+    """The bit of each three bytes that follow each other."""
+    b = text.astype(np.uint32)
+    return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - (SIGNATURE_WORDS * 64 - 1).bit_length())
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file``, ``page``, ``word``, ``bits`` of runs of lines (``file``, ``page``, ``text``)."""
+    for batch in batches:
+        text = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
+        size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+        if len(flat) < 3:
+            continue
+        file, page = batch.column("file").dictionary_encode(), batch.column("page").to_numpy()
+        run = np.cumsum((np.diff(file.indices.fill_null(-1).to_numpy(), prepend=-2) != 0) | (np.diff(page, prepend=page[0] - 1) != 0)) - 1
+        line = np.repeat(np.arange(len(size)), size)
+        whole = line[:-2] == line[2:]
+        found = np.unique(run[line[:-2][whole]] * (SIGNATURE_WORDS * 64) + _bits(flat)[whole])
+        if not len(found):
+            continue
+        word = found >> 6
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (found & 63).astype(np.uint64)), first).view(np.int64)
+        rows = pa.array(np.searchsorted(run, word[first] // SIGNATURE_WORDS))
+        yield pa.RecordBatch.from_arrays([batch.column("file").take(rows), batch.column("page").take(rows), pa.array((word[first] % SIGNATURE_WORDS).astype(np.int32)), pa.array(bits)], ["file", "page", "word", "bits"])
 
 
 def build_search_pages(lines: DataFrame, path: str | None = None, size: int = 1000) -> str:
     """Lines (``file``, ``line_no``, ``line``) stored by page below ``path`` (or a new folder), with a signature of each page beside them.
 
-    A signature has a bit for each three characters that follow each other in a line of the
-    page, case ignored; bits of a page are gathered where its lines lie before they are shuffled.
+    A signature has a bit for each three bytes that follow each other in a line of the page,
+    case ignored; bits of a page are gathered where its lines lie before they are shuffled.
     """
+    ship(lines.sparkSession)
     path = path or new_table_path(lines.sparkSession, "search-pages")
     rows = lines.select("file", "line_no", line_page(F.col("line_no"), size).alias("page"), "line")
     rows.repartitionByRange("file", "page").sortWithinPartitions("file", "line_no").write.parquet(f"{path}/lines")
     text = F.lower(F.translate("line", *_FOLDED))
-    stored = lines.sparkSession.read.schema(rows.schema).parquet(f"{path}/lines").where("length(line) >= 3").select("file", "page", text.alias("text"))
-    starts = F.sequence(F.lit(1), F.length("text") - 2)
-    bits = stored.where("length(text) >= 3").select("file", "page", F.explode(F.array_distinct(F.transform(starts, lambda k: _bit(F.substr("text", k, F.lit(3)))))).alias("bit"))
-    words = bits.groupBy("file", "page", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits"))
+    stored = lines.sparkSession.read.schema(rows.schema).parquet(f"{path}/lines").select("file", "page", text.alias("text"))
+    bits = stored.mapInArrow(_signatures, "file string, page bigint, word int, bits bigint")
+    words = bits.groupBy("file", "page", "word").agg(F.bit_or("bits").alias("bits"))
     signature = words.groupBy("file", "page").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("signature"))
     signature.write.parquet(f"{path}/signatures")
     return path
@@ -68,10 +96,8 @@ def pages_for(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
     signatures = spark.read.parquet(f"{path}/signatures")
 
     def holds(text: str) -> Column:
-        trigrams = sorted({text[k : k + 3] for k in range(len(text) - 2)})
-        at = spark.range(1).select(F.array(*[_bit(F.lit(t)) for t in trigrams])).first()[0]
         masks: dict[int, int] = {}
-        for b in at:
+        for b in _bits(np.frombuffer(text.encode(), np.uint8)).tolist():
             masks[b >> 6] = masks.get(b >> 6, 0) | 1 << (b & 63)
         signed = {w: m - (1 << 64) if m >> 63 else m for w, m in masks.items()}
         each = [F.coalesce(F.try_element_at("signature", F.lit(w)), F.lit(0)).bitwiseAND(F.lit(m)) == F.lit(m) for w, m in signed.items()]
