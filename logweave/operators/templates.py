@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import DELIMITERS, MASKS, clean_template, mask_values, mining_prefix, tokenise
-from ..session import materialise
+from ..session import discard, materialise
 from .numbering import number_rows, with_next
 
 #: Bins of a histogram by name. Fixed values.
@@ -142,8 +142,8 @@ def cluster_lists(lists: DataFrame, similarity: float, max_clusters: int) -> Dat
     clustered apart; their templates are clustered again, until so few are left. Where that
     leaves more than half, the bucket is split by one more word. No list is forced into a cluster.
     """
-    open_ = materialise(lists.select("tokens", F.col("tokens").alias("words"), "first", "key"), "shapes")
-    done = []
+    known = materialise(lists.select(F.monotonically_increasing_id().alias("id"), "tokens", "first", "key"), "shapes")
+    open_, done = known.withColumnRenamed("tokens", "words"), []
     while True:
         items = open_.groupBy("key", "words").agg(F.min("first").alias("first"))
         large = materialise(items.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > max_clusters), "large")
@@ -151,13 +151,14 @@ def cluster_lists(lists: DataFrame, similarity: float, max_clusters: int) -> Dat
         found = _cluster_parts(items.join(large, "key", "left").withColumn("part", part), similarity)
         found = open_.join(found, ["key", "words"])
         if large.isEmpty():
-            done.append(found.select("tokens", "template"))
+            done.append(found.select("id", "template"))
             break
-        found = materialise(found, "clustered")
-        done.append(found.where("size is null").select("tokens", "template"))
-        rest = found.where("size is not null").select("tokens", F.col("template").alias("words"), "first", "key", "size")
+        found = materialise(found.select("id", "template", "size", F.when(F.col("size").isNotNull(), F.col("first")).alias("first"), F.when(F.col("size").isNotNull(), F.col("key")).alias("key")), "clustered")
+        discard(large, open_)  # the first round's lists stay: they are no table of this loop
+        done.append(found.where("size is null").select("id", "template"))
+        rest = found.where("size is not null").select("id", F.col("template").alias("words"), "first", "key", "size")
         open_ = materialise(_split_key(rest).drop("size"), "open")
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done).join(known.select("id", "tokens"), "id").select("tokens", "template")
 
 
 def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, max_clusters: int = 1024, masks: tuple[tuple[str, str], ...] = MASKS) -> DataFrame:
