@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import inner_product, normalise_vector
-from ..session import new_table_path
+from ..functions.vectors import normalise_vector
+from ..session import new_table_path, ship
 from .numbering import number_rows
 
 DIMENSIONS = 384
@@ -71,20 +73,83 @@ def ranked(scored: DataFrame, ties: list[str], k: int) -> DataFrame:
     return ranked.withColumn("similarity", F.round("similarity", 4))
 
 
+def _first_k(query: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` of each query by falling key, then by place."""
+    order = np.lexsort((-key, query))
+    first = np.flatnonzero(np.diff(query[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order))) < k]
+
+
+def _best_rows(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], ties: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a task with ``_q`` and ``similarity``: the best ``k`` of each query (by length, -1 for none: their numbers and vectors)."""
+    held: list[pa.Table] = []
+    waiting = 0
+    numbers = sum(len(n) for n, _ in queries.values())
+
+    def merged() -> pa.Table:
+        rows = pa.concat_tables(held)
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ties], null_placement="at_start")) if ties else rows
+        key = pc.fill_null(rows.column("similarity"), -np.inf).to_numpy()
+        return rows.take(pa.array(_first_k(rows.column("_q").to_numpy(), np.where(np.isnan(key), np.inf, key), k)))
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if ties:  # equal similarities stay in this order
+            rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ties], null_placement="at_start"))
+        lists = rows.column("embedding").combine_chunks()
+        size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+        for dims, (names, wanted) in queries.items():
+            has, x = np.zeros(0, np.int64), np.zeros((0, max(dims, 0)))
+            if dims > 0:
+                has = np.flatnonzero(size == dims)
+                values = pc.cast(lists.take(pa.array(has)).flatten(), pa.float64())
+                whole = values.is_valid().to_numpy(zero_copy_only=False).reshape(len(has), dims).all(1)
+                x = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False).reshape(len(has), dims)[whole]
+                has = has[whole]
+            for at in range(0, len(names), 500):
+                score = np.full((len(rows), len(names[at : at + 500])), -np.inf)  # no number: behind all others
+                score[has] = np.round(x @ wanted[at : at + 500].T, 12)
+                key = np.where(np.isnan(score), np.inf, score)
+                cut = np.partition(key, max(len(key) - k, 0), axis=0)[max(len(key) - k, 0)]
+                query, place = np.nonzero((key >= cut).T)
+                some = _first_k(query, key[place, query], k)
+                query, place = query[some], place[some]
+                found = score[place, query]
+                held.append(rows.take(pa.array(place)).append_column("_q", pa.array(names[at:][query], pa.int32())).append_column("similarity", pa.array(found, mask=np.isneginf(found))))
+                waiting += len(place)
+        if waiting > 4 * k * numbers + 100_000:
+            held, waiting = [merged()], 0
+    if held:
+        yield from merged().combine_chunks().to_batches()
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` rows of largest inner product with each query (``query_id``, ``query``), exactly.
 
     Queries are made unit vectors and broadcast, in blocks of at most ``MAX_QUERIES``; a
     query's rows are complete inside its block, so its ``query_id`` must be its own. Vectors
-    are never shuffled, and each task cuts its candidates to ``k`` a query first.
-    Ties are taken by the other columns. Adds ``similarity`` (four digits) and ``rank``.
+    are never shuffled: each task multiplies its batches with the queries as matrices, in
+    double precision to twelve digits, and sends on ``k`` rows a query. Ties are taken by the
+    other columns, which must be plain ones. A pair of different lengths, or with a null
+    or nothing in it, has a null similarity and comes last. Adds ``similarity`` (four digits) and ``rank``.
     """
+    spark = vectors.sparkSession
+    ship(spark)
     held = queries.select("query_id", normalise_vector(F.col("query")).alias("query"))
     ties = [c for c in vectors.columns if c != "embedding"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    kind = queries.schema["query_id"].dataType.simpleString()
 
     def search(block: DataFrame) -> DataFrame:
-        scored = vectors.crossJoin(F.broadcast(block)).withColumn("similarity", inner_product(F.col("embedding"), F.col("query")))
-        return ranked(scored.drop("query"), ties, k)
+        rows = block.collect()  # a block of queries
+        by_size: dict[int, list[int]] = {}
+        for n, r in enumerate(rows):
+            by_size.setdefault(-1 if not r.query or None in r.query else len(r.query), []).append(n)
+        asked = {d: (np.array(ns, np.int32), np.array([rows[n].query if d > 0 else [] for n in ns], float).reshape(len(ns), max(d, 0))) for d, ns in by_size.items()}
+        known = spark.sparkContext.broadcast(asked)
+        best = vectors.mapInArrow(lambda b: _best_rows(b, known.value, ties, k), f"{fields}, _q int, similarity double")
+        names = spark.createDataFrame([(n, r.query_id) for n, r in enumerate(rows)], f"_q int, query_id {kind}")
+        return ranked(best.join(F.broadcast(names), "_q").drop("_q"), ties, k)
 
     return by_blocks(held, search, MAX_QUERIES)
 

@@ -93,3 +93,18 @@ def test_text_search(spark, monkeypatch, segment, block):
 def test_empty_text_index(spark):
     index = text_search.build_text_index(spark.createDataFrame([], "file string, template string, count bigint"))
     assert text_search.search_text(index, spark.createDataFrame([(1, "disk")], "query_id int, text string")).count() == 0
+
+
+def test_exact_search_with_nulls_ties_and_lengths(spark):
+    one, two = [1.0, 0.0], [0.6, 0.8]
+    rows = [(k, "t", one) for k in range(50)] + [(None, "t", two), (70, None, two), (70, "a", two), (80, "n", None), (81, "n", [1.0, None]), (82, "n", [1.0]), (83, "n", [])]
+    table = spark.createDataFrame(rows, "vec_id bigint, file string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, None), (4, [5.0]), (5, []), (6, [1.0, None])], "query_id int, query array<double>")
+    found = {}
+    for r in vectors.vector_topk(table, queries, 4).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.file, r.similarity))
+    assert sorted(found[1]) == [(k + 1, k, "t", 1.0) for k in range(4)]
+    assert sorted(found[2]) == [(1, None, "t", 0.8), (2, 70, None, 0.8), (3, 70, "a", 0.8), (4, 0, "t", 0.0)]
+    assert sorted(found[4])[0] == (1, 82, "n", 1.0) and [x[3] for x in sorted(found[4])[1:]] == [None] * 3
+    assert [x[3] for x in sorted(found[3])] == [None] * 4 and set(found) >= {1, 2, 3, 4, 6}
+    assert vectors.vector_topk(table.limit(0), queries, 4).count() == 0 == vectors.vector_topk(table, queries.limit(0), 4).count()
