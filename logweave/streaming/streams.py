@@ -68,13 +68,13 @@ class _Clusters(StatefulProcessor):
         pass
 
 
-def stream_mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, ttl: timedelta | None = timedelta(days=30)) -> DataFrame:
+def stream_mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, ttl: timedelta | None = None) -> DataFrame:
     """Template mining with clusters kept as state: per batch and cluster its id, its template by now, its new lines.
 
     Cluster ids (with their bucket) never change and are never given twice, so counts are
     summed by id and the text is taken from the latest row. No line is forced into a cluster:
-    a cluster that no line has met for ``ttl`` is forgotten (None: never), which bounds the
-    state, and lines like its own begin a new one. Needs the RocksDB state store. With a
+    with a ``ttl`` a cluster that no line has met for so long is forgotten, which bounds the
+    state of an endless stream, and lines like its own begin a new one. Needs the RocksDB state store. With a
     ``ttl`` Spark makes batches as long as the query runs, so it does not end by itself
     (``availableNow``).
     """
