@@ -145,7 +145,7 @@ def cluster_lists(lists: DataFrame, similarity: float, max_clusters: int) -> Dat
     known = materialise(lists.select(F.monotonically_increasing_id().alias("id"), "tokens", "first", "key"), "shapes")
     open_, done = known.withColumnRenamed("tokens", "words"), []
     while True:
-        items = open_.groupBy("key", "words").agg(F.min("first").alias("first"))
+        items = open_.groupBy("key", "words").agg(F.min("first").alias("first")) if done else open_.select("key", "words", "first")  # at first all differ
         large = materialise(items.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > max_clusters), "large")
         part = F.coalesce(F.pmod(F.xxhash64("words"), F.ceil(F.col("size") / max_clusters) * 2), F.lit(0))
         found = _cluster_parts(items.join(large, "key", "left").withColumn("part", part), similarity)
