@@ -37,6 +37,36 @@ def test_toxicity_on_held_out_rows(spark, model):
     assert hit / max(1, sum(r.predicted for r in rows)) > 0.8
 
 
+def test_toxicity_in_four_languages(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit_toxicity(docs, labels.where(~toxicity.is_held_out()))
+    rows = toxicity.score_toxicity(docs, m).where(toxicity.is_held_out()).join(labels, "doc_id").join(docs.select("doc_id", "lang", "text"), "doc_id").select("predicted", "toxic", "lang", "text").collect()
+    caught = [r for r in rows if r.toxic and r.predicted]
+    assert len(caught) >= 0.9 * sum(r.toxic for r in rows) and len(caught) >= 0.9 * sum(r.predicted for r in rows)
+    for lang in ("en", "de", "fr", "es"):
+        assert sum(r.lang == lang for r in caught) >= 0.7 * sum(r.toxic and r.lang == lang for r in rows)
+    # What is caught is no fixed set of words: the commonest words of the caught texts that no clean one holds leave many out.
+    clean = {w for r in rows if not r.toxic for w in set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))}
+    held = [set(re.findall(r"[^\W\d_]+", r.text.lower())) - clean for r in caught]
+    ten = {w for w, _ in collections.Counter(w for h in held for w in h).most_common(10)}
+    assert sum(not h & ten for h in held) > 0.2 * len(held)
+
+
+def test_runs_that_tell_equal_a_loop(spark):
+    rows = [("aaa bbbbbbb", 0), ("aaa bbbbbbb", 1), ("xbbbbbbbx Bbbbbbb", 1), ("ccccccc", 2), ("", 2), (EDGES[-1], 0)]
+    content = b"\x37\xa4\x30\xec1234 bbbbbbb ccccccc lorem ipsum "
+    runs = np.unique(toxicity._runs(np.frombuffer(content, np.uint8)))
+    got = toxicity._text_counts(spark.createDataFrame(rows, "text string, kind int"), runs)
+    for n, run in enumerate(runs.tolist()):
+        run = int(run).to_bytes(toxicity.GRAM, "big")
+        assert got[:, n].tolist() == [sum(k == kind and run in f" {t.lower().strip()} ".encode() for t, k in rows) for kind in (0, 1, 2)]
+    some = toxicity._runs(np.frombuffer(b"bbbbbbb", np.uint8))
+    assert toxicity._stretches(content, some, True) == [b"bbbbbbb"]
+    assert toxicity._stretches(content, some, False) == [content[:9], content[16:]]
+    assert toxicity._stretches(b"", some, True) == [] and toxicity._text_counts(spark.createDataFrame([], "text string, kind int"), some[:1]).sum() == 0
+    assert toxicity._leaning(np.array([3, 2, 40]), 17, np.array([0, 0, 100]), 260, 4.0).tolist() == [True, False, True]
+
+
 def test_toxicity_edges(spark, model):
     got = toxicity.score_toxicity(edge_docs(spark), model).collect()
     assert len(got) == edge_docs(spark).count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
