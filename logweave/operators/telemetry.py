@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..session import materialise
 
 #: Line numbers of a run that one task carves.
 CARVE_BLOCK = 50_000
+#: Runs whose summaries go on together; what stands for a line without an opening brace.
+SUMMARIES, NO_BRACE = 4096, -(1 << 62)
 DEVICE_INFO = ("MAC", "SERIAL_NUMBER", "VERSION", "HW_VERSION", "MODEL_NAME", "MANUFACTURER")
 DEVICE_STATUS = ("WAN_MODE", "MESH_EDGE", "RADIO1_ENABLE", "RADIO2_ENABLE", "AP1_STATUS", "AP2_STATUS")
 #: Metrics of a series by its name.
@@ -53,58 +56,85 @@ def _scan(total: list[int], opens: list[int | None]) -> dict[int | None, tuple[i
     return found
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Table]]:
-    """Neighbouring rows of equal ``file`` and ``block``; one run is held at a time."""
-    at, held = None, []
-    for batch in batches:
-        keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
-        first = 0
-        for k in range(len(keys) + 1):
-            if k == len(keys) or keys[k] != keys[first]:
-                if first < k:
-                    if at is not None and at != keys[first]:
-                        yield at, pa.Table.from_batches(held)
-                        held = []
-                    at = keys[first]
-                    held.append(batch.slice(first, k - first))
-                first = k
-    if held:
-        yield at, pa.Table.from_batches(held)
+def _numbers(batch: pa.RecordBatch, column: str, null: int = 0) -> list[int]:
+    """A column of numbers as a list, with ``null`` for nulls."""
+    return pc.fill_null(batch.column(column), null).to_numpy(zero_copy_only=False).tolist()
+
+
+def _names(batch: pa.RecordBatch, column: str) -> list[str | None]:
+    """A column of texts as a list in which equal neighbours of a batch are one object."""
+    coded = batch.column(column).dictionary_encode()
+    names = [*coded.dictionary.to_pylist(), None]
+    return [names[k] for k in pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).tolist()]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_scan`` of each run of lines."""
-    for (file, block), rows in _runs(batches):
-        total = rows.column("total").to_pylist()
-        found = _scan(total, rows.column("opens").to_pylist())
+    """``_scan`` of each run of lines (neighbouring rows of equal ``file`` and ``block``); one run is held at a time, many summaries go on in one batch.
+
+    State None is written as 0, which is no state of a block.
+    """
+    names = ["file", "block", "total", "ended", "state", "from", "from_ended", "from_state"]
+    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
+    run, total, opens, out = None, [], [], []
+
+    def summed() -> tuple:
+        found = _scan(total, opens)
         ended, state = found.pop(None)
-        each = [list(found), [n for n, _ in found.values()], [x for _, x in found.values()]]
-        cells = [[file], [block], [sum(total)], [ended], [state], *([x] for x in each)]
-        names = ["file", "block", "total", "ended", "state", "from", "from_ended", "from_state"]
-        kinds = [pa.string(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], names)
+        each = found.values()
+        return (*run, sum(total), ended, state or 0, list(found), [n for n, _ in each], [x or 0 for _, x in each])
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    for batch in batches:
+        keys = list(zip(_names(batch, "file"), _numbers(batch, "block")))
+        totals, all_opens = _numbers(batch, "total"), [None if x == NO_BRACE else x for x in _numbers(batch, "opens", NO_BRACE)]
+        first = 0
+        for k in range(1, len(keys) + 1):
+            if k == len(keys) or keys[k] != keys[first]:
+                if keys[first] != run:
+                    if run is not None:
+                        out.append(summed())
+                    run, total, opens = keys[first], [], []
+                total += totals[first:k]
+                opens += all_opens[first:k]
+                first = k
+        if len(out) >= SUMMARIES or sum(len(x[5]) for x in out) >= 50 * SUMMARIES:
+            yield sent()
+            out = []
+    if run is not None:
+        out.append(summed())
+    if out:
+        yield sent()
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of summaries in order of file and run: the state in front of each run, and the blocks that have ended before it."""
-    file, state, number = None, None, 0
+    """Of summaries in order of file and run: the state in front of each run (0: outside a block), and the blocks that have ended before it."""
+    kinds = (pa.string(), *[pa.int64()] * 4)
+    file, state, number, first = None, 0, 0, True
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            if r["file"] != file:
-                file, state, number = r["file"], None, 0
-            out.append((file, r["block"], state, number))
-            if state is None:
-                ended, state = r["ended"], r["state"]
-            elif state in r["from"]:
-                k = r["from"].index(state)
-                ended, state = r["from_ended"][k], r["from_state"][k]
+        ends = batch.column("from").offsets.to_numpy().tolist()
+        base = ends[0]
+        froms, from_ended, from_state = (batch.column(c).flatten().to_numpy(zero_copy_only=False).tolist() for c in ("from", "from_ended", "from_state"))
+        rows = zip(_names(batch, "file"), _numbers(batch, "block"), _numbers(batch, "total"), _numbers(batch, "ended"), _numbers(batch, "state"))
+        for k, (name, block, total, ended, behind) in enumerate(rows):
+            if first or name != file:
+                file, state, number, first = name, 0, 0, False
+            entry, before = state, number
+            if state == 0:
+                state = behind
             else:
-                ended, state = 0, state + r["total"]
+                known = froms[ends[k] - base : ends[k + 1] - base]
+                if state in known:
+                    at = ends[k] - base + known.index(state)
+                    ended, state = from_ended[at], from_state[at]
+                else:
+                    ended, state = 0, state + total
             number += ended
-            out[-1] += (number,)
-        kinds = (pa.string(), *[pa.int64()] * 4)
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["file", "block", "state", "number", "until"])
+            out.append((name, block, entry, before, number))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["file", "block", "state", "number", "until"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +142,16 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run, state, number, last, at, parts = None, None, 0, 0, 0, []
     for batch in batches:
         out = []
-        for *here, line_no, line, total, opens, entry, ended, reports in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line_no", "line", "total", "opens", "state", "number", "reports"))):
-            if here != run:
+        columns = (_names(batch, "file"), _numbers(batch, "block"), _numbers(batch, "line_no"), batch.column("line").to_pylist(), _numbers(batch, "total"), _numbers(batch, "opens", NO_BRACE))
+        for file, block, line_no, line, total, opens, entry, ended, reports in zip(*columns, *(_numbers(batch, c) for c in ("state", "number", "reports"))):
+            if run is None or block != run[1] or file != run[0]:
                 if parts:
                     out.append((run[0], number + 1, at, "".join(parts)))
-                run, state, number, last, parts = here, None, 0, 0, []
-            if reports is not None:
-                state, number, last = entry, ended, reports
+                run, state, number, last, parts = (file, block), None, 0, 0, []
+            if reports:  # an entry: only files with reports have any
+                state, number, last = entry or None, ended, reports
                 continue
-            if number >= last or (state is None and opens is None):  # what begins behind the last report never ends
+            if number >= last or (state is None and opens == NO_BRACE):  # what begins behind the last report never ends
                 continue
             if state is None:
                 state, total, line = 0, opens, line[line.index("{") :]
@@ -130,16 +161,17 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state += total
             if state == 0:
                 number += 1
-                out.append((run[0], number, at, "".join(parts)))
+                out.append((file, number, at, "".join(parts)))
                 state, parts = None, []
-        yield _piece_batch(out)
+        if out:
+            yield _piece_batch(out)
     if parts:
         yield _piece_batch([(run[0], number + 1, at, "".join(parts))])
 
 
 def _piece_batch(rows: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "report_id", "line_no", "piece"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "report_id", "line_no", "piece"])
 
 
 def carve_json(lines: DataFrame, block: int = CARVE_BLOCK) -> DataFrame:
