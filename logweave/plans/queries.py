@@ -605,10 +605,10 @@ def export_and_read_telemetry(spark, sf_dir):
 
 @query
 def write_and_read_reports(spark, sf_dir):
-    """Carved reports written as files of a device each and read back."""
+    """Carved reports written by device and read back."""
     path = new_table_path(spark, "reports")
     sinks.write_json_reports(QUERIES["carve_json"](spark, sf_dir), path)
-    return spark.read.text(path).select(F.col("file").cast("string").alias("file"), F.col("value").alias("json"))
+    return sinks.read_json_reports(spark, path)
 
 
 @query
