@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -22,6 +22,7 @@ BINS = {"1s": ("second", "1 second"), "1min": ("minute", "1 minute"), "1h": ("ho
 #: Empty bins of a histogram that one row makes.
 GAP_ROWS = 65_536
 WILDCARD = "<*>"
+_ID = {"bigint": pa.int64(), "binary": pa.binary()}
 #: Masks whose values may hold blanks or delimiters.
 _LOOSE = frozenset("DATETIME MAC MAC_CIDR IPv6 IPv6_PORT IP_PORT VERSION THREADID".split())
 
@@ -82,30 +83,38 @@ def cluster_shapes(shapes: pd.DataFrame, similarity: float, max_clusters: int) -
 
 
 def _cluster_parts(items: DataFrame, similarity: float) -> DataFrame:
-    """``template`` (as words) of the word lists of each part of a bucket (``key``, ``part``, ``words``, ``first``); only the part at hand is held in memory."""
+    """``template`` (as words) of the word lists of each part of a bucket (``id``, ``key``, ``part``, ``size``, ``words``, ``first``); only the part at hand is held in memory.
+
+    ``first`` and ``key`` are passed on for lists of split buckets (those with a ``size``) alone. Words are not sent back.
+    """
+    schema = pa.schema([("id", _ID[items.schema["id"].dataType.simpleString()]), ("size", pa.int64()), ("first", pa.string()), ("key", pa.string()), ("template", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, size = None, [], None
+        at, ids, held, firsts, size = None, [], [], [], None
 
         def flush() -> pa.RecordBatch:
-            found = pa.array(cluster_words(held, similarity), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(held), pa.string()), pa.array([size] * len(held), pa.int64()), pa.array(held, pa.list_(pa.string())), found], ["key", "size", "words", "template"])
+            split = size is not None
+            columns = [ids, [size] * len(held), firsts if split else [None] * len(held), [at[0] if split else None] * len(held), cluster_words(held, similarity)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
             out = []
-            for key, part, n, words in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "size", "words"))):
+            for n, key, part, s, words, first in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "part", "size", "words", "first"))):
                 if (key, part) != at:
                     if held:
                         out.append(flush())
-                    at, held, size = (key, part), [], n
+                    at, ids, held, firsts, size = (key, part), [], [], [], s
+                ids.append(n)
                 held.append(words)
+                firsts.append(first)
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
         if held:
             yield flush()
 
     spread = items.repartition("key", "part").sortWithinPartitions("key", "part", "first", "words")
-    return spread.select("key", "part", "size", "words").mapInArrow(run, "key string, size bigint, words array<string>, template array<string>")
+    kind = items.schema["id"].dataType.simpleString()
+    return spread.select("id", "key", "part", "size", "words", "first").mapInArrow(run, f"id {kind}, size bigint, first string, key string, template array<string>")
 
 
 def _split_key(rest: DataFrame) -> DataFrame:
@@ -135,6 +144,53 @@ def word_lists(lines: DataFrame, depth: int, masks: tuple[tuple[str, str], ...])
     return rows, shapes.select(F.col("_tokens").alias("tokens"), first.alias("first"), key.alias("key"))
 
 
+def _digest(words: Column, bucket: Column | None = None) -> Column:
+    """128 bits that stand for a word list, or for a list of a bucket: of its text and of where that is cut. Null for null."""
+    cuts = F.array_join(F.transform(words, lambda w: F.length(w).cast("string")), ",")
+    parts = [F.length(bucket).cast("string"), bucket] if bucket is not None else []
+    return F.when(words.isNotNull(), F.unhex(F.md5(F.concat_ws(" ", *parts, cuts, F.array_join(words, "")))))
+
+
+def _cluster_known(known: DataFrame, similarity: float, max_clusters: int) -> DataFrame:
+    """``id`` and ``template`` (as words) of distinct word lists (``id``, ``tokens``, ``first``, ``key``); see ``cluster_lists``.
+
+    Lists are named by ``id``, so that a round sends words to their part alone. Lists of split
+    buckets that have come to one template are one list of the next round; its number there
+    (``item``) leads back to them.
+    """
+    open_, done = known.select("id", F.col("tokens").alias("words"), "first", "key"), []
+    items, members = open_, None
+    while True:
+        large = materialise(items.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > max_clusters), "large")
+        part = F.coalesce(F.pmod(F.xxhash64("words"), F.ceil(F.col("size") / max_clusters) * 2), F.lit(0))
+        found = _cluster_parts(items.join(large, "key", "left").withColumn("part", part), similarity)
+        last = large.isEmpty()
+        if members is None and last:
+            return found.select("id", "template")
+        found = materialise(found, "clustered")
+        settled, rest = found.where("size is null").select("id", "template"), found.where("size is not null")
+        if members is None:
+            done.append(settled)
+        else:
+            done.append(members.join(settled.withColumnRenamed("id", "item"), "item").select("id", "template"))
+            if last:
+                break
+            rest = rest.withColumnRenamed("id", "item")
+        discard(large)
+        keyed = _split_key(rest.withColumnRenamed("template", "words")).drop("size")
+        name = "id" if members is None else "item"
+        keyed = materialise(keyed.select(name, "words", "first", "key"), "open")
+        named = keyed.withColumn("_item", _digest(F.col("words"), F.col("key")))
+        if members is None:
+            members = named.select("id", F.col("_item").alias("item"))
+        else:
+            members = members.join(named.select("item", "_item"), "item").select("id", F.col("_item").alias("item"))
+        members = materialise(members, "members")
+        items = materialise(named.groupBy(F.col("_item").alias("id")).agg(F.min("first").alias("first"), F.first("words").alias("words"), F.first("key").alias("key")), "items")
+        discard(keyed)
+    return reduce(DataFrame.unionByName, done)
+
+
 def cluster_lists(lists: DataFrame, similarity: float, max_clusters: int) -> DataFrame:
     """``tokens`` and ``template`` (as words) of distinct word lists (``tokens``, ``first``, ``key``), clustered in their buckets.
 
@@ -143,22 +199,7 @@ def cluster_lists(lists: DataFrame, similarity: float, max_clusters: int) -> Dat
     leaves more than half, the bucket is split by one more word. No list is forced into a cluster.
     """
     known = materialise(lists.select(F.monotonically_increasing_id().alias("id"), "tokens", "first", "key"), "shapes")
-    open_, done = known.withColumnRenamed("tokens", "words"), []
-    while True:
-        items = open_.groupBy("key", "words").agg(F.min("first").alias("first")) if done else open_.select("key", "words", "first")  # at first all differ
-        large = materialise(items.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > max_clusters), "large")
-        part = F.coalesce(F.pmod(F.xxhash64("words"), F.ceil(F.col("size") / max_clusters) * 2), F.lit(0))
-        found = _cluster_parts(items.join(large, "key", "left").withColumn("part", part), similarity)
-        found = open_.join(found, ["key", "words"])
-        if large.isEmpty():
-            done.append(found.select("id", "template"))
-            break
-        found = materialise(found.select("id", "template", "size", F.when(F.col("size").isNotNull(), F.col("first")).alias("first"), F.when(F.col("size").isNotNull(), F.col("key")).alias("key")), "clustered")
-        discard(large, open_)  # the first round's lists stay: they are no table of this loop
-        done.append(found.where("size is null").select("id", "template"))
-        rest = found.where("size is not null").select("id", F.col("template").alias("words"), "first", "key", "size")
-        open_ = materialise(_split_key(rest).drop("size"), "open")
-    return reduce(DataFrame.unionByName, done).join(known.select("id", "tokens"), "id").select("tokens", "template")
+    return _cluster_known(known, similarity, max_clusters).join(known.select("id", "tokens"), "id").select("tokens", "template")
 
 
 def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, max_clusters: int = 1024, masks: tuple[tuple[str, str], ...] = MASKS) -> DataFrame:
@@ -166,12 +207,13 @@ def mine_templates(lines: DataFrame, similarity: float = 0.5, depth: int = 8, ma
 
     Lines are masked and split into words; only distinct word lists go on. They are put into
     buckets by length and first words (``mining_prefix``), clustered inside each bucket
-    (``cluster_lists``), and joined back. All lines of a cluster get its final template,
+    (``cluster_lists``), and joined back by a digest of 128 bits, so that no text is shuffled for that. All lines of a cluster get its final template,
     whatever the partitioning. ``template_catalogue`` keeps clusters from run to run.
     """
     rows, lists = word_lists(lines, depth, masks)
-    templates = cluster_lists(lists, similarity, max_clusters).select(F.col("tokens").alias("_tokens"), F.array_join("template", " ").alias("template"))
-    found = rows.join(templates, "_tokens", "left").drop("_tokens")
+    known = materialise(lists.select(_digest(F.col("tokens")).alias("id"), "tokens", "first", "key"), "shapes")
+    templates = _cluster_known(known, similarity, max_clusters).select(F.col("id").alias("_list"), F.array_join("template", " ").alias("template"))
+    found = rows.withColumn("_list", _digest(F.col("_tokens"))).drop("_tokens").join(templates, "_list", "left").drop("_list")
     return found.withColumn("parameter_list", extract_parameters("template", "loglines"))
 
 
