@@ -83,7 +83,7 @@ def _first_k(query: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
 def _best_rows(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], ties: list[str], k: int) -> Iterator[pa.RecordBatch]:
     """Rows of a task with ``_q`` and ``similarity``: the best ``k`` of each query (by length, -1 for none: their numbers and vectors)."""
     held: list[pa.Table] = []
-    waiting = 0
+    waiting = 0  # vectors are not held: a row may be among the best of many queries
     numbers = sum(len(n) for n, _ in queries.values())
 
     def merged() -> pa.Table:
@@ -97,6 +97,7 @@ def _best_rows(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.nd
         if ties:  # equal similarities stay in this order
             rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ties], null_placement="at_start"))
         lists = rows.column("embedding").combine_chunks()
+        rows = rows.drop_columns("embedding")
         size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
         for dims, (names, wanted) in queries.items():
             has, x = np.zeros(0, np.int64), np.zeros((0, max(dims, 0)))
@@ -131,13 +132,14 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     are never shuffled: each task multiplies its batches with the queries as matrices, in
     double precision to twelve digits, and sends on ``k`` rows a query. Ties are taken by the
     other columns, which must be plain ones. A pair of different lengths, or with a null
-    or nothing in it, has a null similarity and comes last. Adds ``similarity`` (four digits) and ``rank``.
+    or nothing in it, has a null similarity and comes last. Returns ``query_id``, the other
+    columns without ``embedding``, ``similarity`` (four digits) and ``rank``.
     """
     spark = vectors.sparkSession
     ship(spark)
     held = queries.select("query_id", normalise_vector(F.col("query")).alias("query"))
     ties = [c for c in vectors.columns if c != "embedding"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in vectors.schema.fields if f.name != "embedding")
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def search(block: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
             by_size.setdefault(-1 if not r.query or None in r.query else len(r.query), []).append(n)
         asked = {d: (np.array(ns, np.int32), np.array([rows[n].query if d > 0 else [] for n in ns], float).reshape(len(ns), max(d, 0))) for d, ns in by_size.items()}
         known = spark.sparkContext.broadcast(asked)
-        best = vectors.mapInArrow(lambda b: _best_rows(b, known.value, ties, k), f"{fields}, _q int, similarity double")
+        best = vectors.mapInArrow(lambda b: _best_rows(b, known.value, ties, k), f"{fields}_q int, similarity double")
         names = spark.createDataFrame([(n, r.query_id) for n, r in enumerate(rows)], f"_q int, query_id {kind}")
         return ranked(best.join(F.broadcast(names), "_q").drop("_q"), ties, k)
 

@@ -1,8 +1,8 @@
-"""What tasks send on: no word lists for a join."""
+"""What tasks send on: no word lists for a join, no vectors with the nearest rows."""
 
 from pyspark.sql import functions as F
 
-from logweave.operators import templates
+from logweave.operators import templates, vectors
 
 
 def test_lines_meet_their_templates_by_digest(spark):
@@ -18,3 +18,11 @@ def test_digests_tell_lists_apart(spark):
     rows = spark.createDataFrame([(x,) for x in lists], "words array<string>")
     assert rows.select(templates._digest(F.col("words")).alias("d")).distinct().count() == len(lists)
     assert spark.createDataFrame([(None,)], "words array<string>").select(templates._digest(F.col("words")).alias("d")).first().d is None
+
+
+def test_nearest_rows_leave_their_vectors(spark):
+    table = spark.createDataFrame([(k, "f", [1.0, float(k)]) for k in range(9)], "vec_id bigint, file string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, query array<double>")
+    found = vectors.vector_topk(table, queries, 3)
+    assert sorted(found.columns) == ["file", "query_id", "rank", "similarity", "vec_id"]
+    assert [r.vec_id for r in found.orderBy("rank").collect()] == [8, 7, 6]
