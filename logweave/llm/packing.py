@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import blocks, public_path, word_table
+from .chunks import blocks, give_back, public_path, word_table
 from .common import ship
 
 #: Tokens packed together. A larger shard saves at most one partly filled window a shard.
 SHARD_TOKENS = 1_000_000
 #: Pieces longer than this are cut, so that a window always holds several pieces to balance.
 PIECE_TOKENS = 384
+#: Characters encoded at once: fewer than elsewhere, since this is the pipeline's last stage and workers hold what others left.
+BLOCK_CHARS = 1_000_000
 
 
 def differencing(sizes: np.ndarray, ways: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +130,14 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         return pa.RecordBatch.from_pydict(out), int(p["window"].max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         table, end = word_table(path), np.array([end_id], np.uint32)
         base = TaskContext.get().partitionId() << 40
         names: list = []
         ids: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for first, texts in blocks(batch, text_col):
+            for first, texts in blocks(batch, text_col, BLOCK_CHARS):
                 for found in table.encode(texts):
                     ids.append(np.concatenate([found, end]))
                     size += len(ids[-1])
@@ -143,6 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                     out, used = packed(names, ids, base)
                     yield out
                     base, names, ids, size = base + used, [], [], 0
+                    give_back()
         if ids:
             yield packed(names, ids, base)[0]
 
