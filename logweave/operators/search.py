@@ -48,32 +48,52 @@ def _bits(text: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``file``, ``page``, ``word``, ``bits`` of runs of lines (``file``, ``page``, ``text``)."""
+    """``file``, ``page`` and ``signature`` of runs of lines of a page (``file``, ``page``, ``text``); runs go on from batch to batch."""
+    at, held = None, np.zeros(0, np.uint32)  # the run at hand and its bits
+
+    def rows(files: list, pages: list, words: list[np.ndarray], bits: list[np.ndarray]) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
+        maps = pa.MapArray.from_arrays(ends, pa.array(np.concatenate(words), pa.int32()), pa.array(np.concatenate(bits), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(pages, pa.int64()), maps], ["file", "page", "signature"])
+
+    def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = found >> 6
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        bits = np.left_shift(np.uint64(1), (found & 63).astype(np.uint64))
+        return word[first], (np.bitwise_or.reduceat(bits, first) if len(found) else bits).view(np.int64)
+
     for batch in batches:
         text = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
         size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
-        if len(flat) < 3:
-            continue
-        file, page = batch.column("file").dictionary_encode(), batch.column("page").to_numpy()
-        run = np.cumsum((np.diff(file.indices.fill_null(-1).to_numpy(), prepend=-2) != 0) | (np.diff(page, prepend=page[0] - 1) != 0)) - 1
-        line = np.repeat(np.arange(len(size)), size)
-        whole = line[:-2] == line[2:]
-        found = np.unique(run[line[:-2][whole]] * (SIGNATURE_WORDS * 64) + _bits(flat)[whole])
-        if not len(found):
+        if not len(size):
             continue
-        word = found >> 6
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (found & 63).astype(np.uint64)), first).view(np.int64)
-        rows = pa.array(np.searchsorted(run, word[first] // SIGNATURE_WORDS))
-        yield pa.RecordBatch.from_arrays([batch.column("file").take(rows), batch.column("page").take(rows), pa.array((word[first] % SIGNATURE_WORDS).astype(np.int32)), pa.array(bits)], ["file", "page", "word", "bits"])
+        flat = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+        coded, page = batch.column("file").dictionary_encode(), batch.column("page").to_numpy()
+        begin = np.flatnonzero((np.diff(coded.indices.fill_null(-1).to_numpy(), prepend=-2) != 0) | (np.diff(page, prepend=page[0] - 1) != 0))
+        stop = np.cumsum(size)
+        line = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        bits, whole = (_bits(flat), line[:-2] == line[2:]) if len(flat) > 2 else (held[:0], np.zeros(0, bool))
+        files, out = batch.column("file").take(pa.array(begin)).to_pylist(), []
+        for file, number, a, z in zip(files, page[begin].tolist(), (stop - size)[begin].tolist(), [*(stop - size)[begin[1:]].tolist(), len(flat)]):
+            found = np.unique(bits[a:z][whole[a:z]])
+            if at == (file, number):
+                held = np.union1d(held, found)
+                continue
+            if at is not None and len(held):
+                out.append((*at, *signature(held)))
+            at, held = (file, number), found
+        if out:
+            yield rows(*map(list, zip(*out)))
+    if at is not None and len(held):
+        yield rows([at[0]], [at[1]], *([x] for x in signature(held)))
 
 
 def build_search_pages(lines: DataFrame, path: str | None = None, size: int = 1000) -> str:
     """Lines (``file``, ``line_no``, ``line``) stored by page below ``path`` (or a new folder), with a signature of each page beside them.
 
     A signature has a bit for each three bytes that follow each other in a line of the page,
-    case ignored; bits of a page are gathered where its lines lie before they are shuffled.
+    case ignored. It is made where the page's lines lie stored; a page that two tasks read has
+    one of each task's lines, which does for a match, as that lies in one line.
     """
     ship(lines.sparkSession)
     path = path or new_table_path(lines.sparkSession, "search-pages")
@@ -81,9 +101,7 @@ def build_search_pages(lines: DataFrame, path: str | None = None, size: int = 10
     rows.repartitionByRange("file", "page").sortWithinPartitions("file", "line_no").write.parquet(f"{path}/lines")
     text = F.lower(F.translate("line", *_FOLDED))
     stored = lines.sparkSession.read.schema(rows.schema).parquet(f"{path}/lines").select("file", "page", text.alias("text"))
-    bits = stored.mapInArrow(_signatures, "file string, page bigint, word int, bits bigint")
-    words = bits.groupBy("file", "page", "word").agg(F.bit_or("bits").alias("bits"))
-    signature = words.groupBy("file", "page").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("signature"))
+    signature = stored.mapInArrow(_signatures, "file string, page bigint, signature map<int, bigint>")
     signature.write.parquet(f"{path}/signatures")
     return path
 
