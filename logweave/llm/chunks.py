@@ -95,21 +95,27 @@ class Keys:
 
     def __init__(self, first: list[str]):
         self.held = pa.array(first, pa.large_string())
+        self.at = np.arange(len(first))
 
     def __len__(self) -> int:
         return len(self.held)
 
-    def places(self, keys: pa.Array, add) -> np.ndarray:
-        """The place of each of some distinct keys; ``add`` is called with those that come now."""
+    def places(self, keys: pa.Array, add, first: int | None = None) -> np.ndarray:
+        """The place of each of some distinct keys; ``add`` is called with those that come now.
+
+        New keys get places from ``first`` on, or from the number of keys on.
+        """
         found = pc.index_in(keys, value_set=self.held)
         new = found.is_null()
-        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        where = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if found.null_count:
             fresh = keys.filter(new)
             add(fresh.to_pylist())
-            at[new.to_numpy(zero_copy_only=False)] = np.arange(len(self.held), len(self.held) + len(fresh))
+            start = len(self.held) if first is None else first
+            where[new.to_numpy(zero_copy_only=False)] = np.arange(len(self.held), len(self.held) + len(fresh))
+            self.at = np.concatenate([self.at, np.arange(start, start + len(fresh))])
             self.held = pa.concat_arrays([self.held, fresh])
-        return at
+        return self.at[where]
 
 
 class WordTable:
@@ -137,7 +143,8 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows = Keys([""])
+        # Apart, because a lookup goes over all keys held: words are many, other chunks few.
+        self.rows, self.others = Keys([""]), Keys([])
         self.ids = Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _add_words(self, words: list[str]) -> None:
@@ -150,27 +157,26 @@ class WordTable:
         self.ids = self.ids.add(Ragged(ids, np.diff(stops, prepend=0)))
 
     def _add_others(self, keys: list[str]) -> None:
-        """keys: a NUL, then any chunk."""
-        found = [x.ids for x in self.whole.encode_batch_fast([k[1:] for k in keys], add_special_tokens=False)]
+        found = [x.ids for x in self.whole.encode_batch_fast(keys, add_special_tokens=False)]
         self.ids = self.ids.add(Ragged.of(found, np.uint32))
 
     def encode(self, texts: pa.Array) -> Ragged:
         """The ids of each text."""
-        if len(self.rows) > self.limit:
+        if len(self.rows) + len(self.others) > self.limit:
             self._clear()
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         chunks, at = _distinct(lists.flatten())
         parts = pc.extract_regex(chunks, _SIMPLE)
         simple = parts.is_valid().to_numpy(zero_copy_only=False)
-        others = pa.array(["\0" + c for c in chunks.filter(pa.array(~simple)).to_pylist()], pa.large_string())
+        others = chunks.filter(pa.array(~simple))
         parts = parts.filter(pa.array(simple))
         both = pa.concat_arrays([pc.utf8_lower(pc.struct_field(parts, [0])), pc.struct_field(parts, [1])])
         words, which = _distinct(both)
-        row = self.rows.places(words, self._add_words)[which]
+        row = self.rows.places(words, self._add_words, len(self.ids.lens))[which]
         n = int(simple.sum())
         first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         first[simple], second[simple] = row[:n], row[n:]
-        first[~simple] = self.rows.places(others, self._add_others)
+        first[~simple] = self.others.places(others, self._add_others, len(self.ids.lens))
         table = self.ids.take(np.stack([first, second], 1).ravel()).merge(np.full(len(chunks), 2))
         return table.take(at).merge(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import Ragged, blocks, public_path, word_table
+from .chunks import BLOCK_CHARS, Ragged, blocks, public_path, word_table
 from .common import partitions, ship
 from .repair import compress, expand, expand_range, rule_lengths
 
@@ -64,7 +64,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         lens: list[int] = []
         ids: list[np.ndarray] = []
         for batch in batches:
-            for first, texts in blocks(batch, "text"):
+            for first, texts in blocks(batch, "text", 2 * BLOCK_CHARS):  # fewer lookups, as a word is looked up once a block
                 names = batch.column("id").slice(first, len(texts)).to_pylist()
                 for doc, found in zip(names, table.encode(texts)):
                     doc_ids.append(doc)

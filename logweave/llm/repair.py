@@ -39,8 +39,8 @@ class _Pairs:
 
     def __init__(self, room: int):
         self.size = self.used = 0  # pairs, places
-        self.columns = {"left": np.zeros(room // 4 + 16, np.uint32), "right": np.zeros(room // 4 + 16, np.uint32)}
-        self.columns |= {k: np.zeros(room // 4 + 16, np.int64) for k in ("counts", "starts", "lens")}
+        self.columns = {k: np.zeros(room // 4 + 16, np.uint32) for k in ("left", "right", "names")}
+        self.columns |= {k: np.zeros(room // 4 + 16, np.int64) for k in ("counts", "starts", "lens", "ranks")}
         self.held = np.zeros(2 * room + 16, np.int32)
 
     def __getattr__(self, name: str) -> np.ndarray:
@@ -56,9 +56,10 @@ class _Pairs:
         pair_of[places] = np.repeat(np.arange(first, size, dtype=np.int32), lens)
         if used > len(self.held):
             self.held = np.concatenate([self.held, np.zeros(used, np.int32)])
-        for name, values in {"left": left[some], "right": right[some], "counts": lens, "lens": lens, "starts": self.used + np.cumsum(lens) - lens}.items():
+        for name in self.columns:
             if size > len(self.columns[name]):
                 self.columns[name] = np.concatenate([self.columns[name], np.zeros(size, self.columns[name].dtype)])
+        for name, values in {"left": left[some], "right": right[some], "counts": lens, "lens": lens, "starts": self.used + np.cumsum(lens) - lens}.items():
             self.columns[name][first:size] = values
         self.held[self.used : used] = places
         self.size, self.used = size, used
@@ -122,31 +123,31 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np
     dead = np.zeros(n, bool)
 
     def replaceable(picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places where pairs are replaced, in order, and how often each pair is; one that would be replaced once stays."""
+        """Places where pairs are replaced, in order, and those pairs; one that would be replaced once stays."""
         places = pairs.held[_slices(pairs.starts[picked], pairs.lens[picked])].astype(np.int64)
         rank = np.repeat(np.arange(len(picked)), pairs.lens[picked])
         live = pair_of[places] == picked[rank]
         key = (places[live] << 32) | rank[live]  # in order of place
         key.sort()
         places = _disjoint(key >> 32, key & 0xFFFFFFFF, after)
-        mine = pair_of[places]
-        used = np.bincount(mine, minlength=pairs.size)
-        return places[used[mine] > 1], used
+        ranks = pairs.ranks  # only those of picked pairs are read
+        ranks[picked] = np.arange(len(picked))
+        rank = ranks[pair_of[places]]
+        used = np.bincount(rank, minlength=len(picked)) > 1
+        return places[used[rank]], np.sort(picked[used])
 
     while pairs.size and (most := int(pairs.counts.max())) > 1:
         picked = np.flatnonzero(pairs.counts >= max(2, int(np.ceil(most * SHARE))))
         picked = picked[np.argsort(pairs.counts[picked], kind="stable")]
-        at, used = replaceable(picked)
+        at, new = replaceable(picked)
         if not len(at):  # pairs that only overlap themselves, or each other
             for p in picked[pairs.left[picked] == pairs.right[picked]].tolist():
                 if not len(replaceable(np.array([p]))[0]):
                     pairs.counts[p] = 0
-            at, used = replaceable(picked[-1:])
+            at, new = replaceable(picked[-1:])
             if not len(at):
                 continue
-        mine = pair_of[at]
-        new = np.flatnonzero(used > 1)
-        name = np.zeros(pairs.size, np.uint32)
+        mine, name = pair_of[at], pairs.names  # only those of new rules are read
         name[new] = symbol + np.arange(len(new), dtype=np.uint32)
         symbol += len(new)
         rules_left.append(pairs.left[new])
@@ -160,8 +161,11 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np
             old.append(pair_of[around])
             pair_of[around] = -1
         old = np.concatenate(old)
-        counts = pairs.counts
-        counts -= np.bincount(old[old >= 0], minlength=pairs.size)
+        old, counts = old[old >= 0], pairs.counts
+        if len(old) < len(counts) // 8:
+            np.subtract.at(counts, old, 1)
+        else:
+            counts -= np.bincount(old, minlength=len(counts))
         seq[at] = name[mine]
         after[at] = third
         inner = third < n
@@ -173,9 +177,9 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, vocabulary: int) -> tuple[np
         where = where[after[where] < n]
         pairs.add(*_grouped(seq[where], seq[after[where]], where), pair_of)
     left = ~dead
-    owner = np.repeat(np.arange(len(doc_lens)), doc_lens)[left]
+    kept = np.concatenate([[0], np.cumsum(left)])
     rules = np.stack([np.concatenate(rules_left), np.concatenate(rules_right)], 1) if rules_left else np.zeros((0, 2), np.uint32)
-    return seq[left], np.bincount(owner, minlength=len(doc_lens)), rules
+    return seq[left], kept[ends] - kept[ends - doc_lens], rules
 
 
 def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:

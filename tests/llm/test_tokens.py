@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from logweave.llm import grammar_ids, packing, repair
-from logweave.llm.chunks import PieceTable, WordTable, public_path
+from logweave.llm.chunks import Keys, PieceTable, WordTable, public_path
 from logweave.llm.piece_coding import encode_pieces
 from logweave.llm.queries import QUERIES
 
@@ -45,6 +45,17 @@ def test_tables_equal_the_libraries(word, piece, limit):
         assert [x[1:].tobytes().decode() for x in decoded] == [piece.decode(e) for e in expected]
 
 
+def test_rare_chunks_are_looked_up_apart(word, monkeypatch):
+    """A lookup goes over all keys held, so the few chunks that are no plain word must not pay for all words."""
+    table, sizes = WordTable(public_path("word_bpe_49k.json")), []
+    places = Keys.places
+    monkeypatch.setattr(Keys, "places", lambda self, *a: (sizes.append(len(self)), places(self, *a))[1])
+    words = [f"w{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    for text in (" ".join(words), "it's 5 o'clock", "it's <5> wabc o'clock", "plain wabc"):
+        assert next(iter(table.encode(pa.array([text], pa.large_string())))).tolist() == word.encode(text, add_special_tokens=False).ids
+    assert max(sizes[0::2]) > 500 and max(sizes[1::2]) < 10
+
+
 def test_pieces(spark, piece):
     rows = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids), r.decoded) for r in encode_pieces(edge_docs(spark), with_ids=True).collect())
     expected = []
