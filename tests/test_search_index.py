@@ -90,6 +90,30 @@ def test_text_search(spark, monkeypatch, segment, block):
     assert {(r.file, r.template) for r in lines.collect()} == {(h[1], h[2]) for h in cosine_hits(entries, queries, 3) if h[0] == 2}
 
 
+@pytest.mark.parametrize(("dense", "columns", "added"), [(1, 3, 8), (6, 2, 5), (10**6, 256, 7)])
+def test_scores_of_segments_against_tables_of_queries(monkeypatch, dense, columns, added):
+    """Only a table's queries meet a segment at once, and a task holds no more than the best k of each."""
+    for name, value in {"DENSE_PAIRS": dense, "DENSE_TERMS": columns, "ADDED_PAIRS": added}.items():
+        monkeypatch.setattr(text_search, name, value)
+    r, segment, k = np.random.default_rng(4), 8, 3
+    w = r.integers(0, 3, (24, 12)) * (r.random((24, 12)) < 0.5) / 4  # entries by term, with many equal scores
+    q = r.integers(0, 3, (5, 12)) * (r.random((5, 12)) < 0.4) / 4
+    q[0, 0], q[1] = 1, 0
+    query, term = np.nonzero(q)
+    order = np.lexsort((query, term))
+    table = text_search._Asked(0, 5, term[order], query[order], q[query, term][order], k)
+    for s in (2, 0, 1):
+        code, place = np.nonzero(w[s * segment : (s + 1) * segment].T)
+        terms, starts, lens = np.unique(code, return_index=True, return_counts=True)
+        scores = table.score(segment, terms, starts, lens, place, w[s * segment + place, code])
+        assert scores.shape == (5, segment) and np.allclose(scores, q @ w[s * segment : (s + 1) * segment].T)
+        table.keep(scores, s * segment + 1)
+        assert len(table.best[0]) <= 5 * k
+    every = np.round(q @ w.T, 9)
+    want = [(a, e + 1, x) for a in range(5) for x, e in sorted(((every[a, e], e) for e in range(24) if every[a, e] > 0), key=lambda h: (-h[0], h[1]))[:k]]
+    assert list(zip(*(x.tolist() for x in table.best))) == want and {a for a, _, _ in want} == {0, 2, 3, 4}
+
+
 def test_empty_text_index(spark):
     index = text_search.build_text_index(spark.createDataFrame([], "file string, template string, count bigint"))
     assert text_search.search_text(index, spark.createDataFrame([(1, "disk")], "query_id int, text string")).count() == 0
