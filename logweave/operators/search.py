@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.entities import ENTITIES
+from ..functions.entities import ANY_LEVEL, ENTITIES, LEVELS, REQUIRED, may_hold
 from ..functions.literals import required_texts
 from ..functions.text import line_page
 from ..session import new_table_path, ship
@@ -171,12 +171,19 @@ def context_window(parsed: DataFrame, anchors: DataFrame, seconds: int) -> DataF
 
 
 def entity_counts(lines: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Occurrences of entities by file, kind and text, with Spark's own functions."""
+    """Occurrences of entities by file, kind and text, with Spark's own functions.
 
-    def named(kind: str, pattern: str) -> Column:
+    A pattern meets only lines with the texts that it requires, those of the log levels only
+    lines that one pattern of all their words matches.
+    """
+    wanted = [(kind, pattern) for kind, pattern in ENTITIES if kinds is None or kind in kinds]
+    rows = lines.select("file", "line", F.col("line").rlike(ANY_LEVEL).alias("_level")) if any(kind in LEVELS for kind, _ in wanted) else lines.select("file", "line")
+    held = [may_hold(F.col("line"), pattern) if pattern in REQUIRED else F.col("_level") for _, pattern in wanted]
+
+    def named(kind: str, pattern: str, may: Column) -> Column:
         texts = F.regexp_extract_all("line", F.lit(f"(?i)({pattern})"), 1)
-        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+        return F.when(may, F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))))
 
-    parts = [named(kind, pattern) for kind, pattern in ENTITIES if kinds is None or kind in kinds]
-    found = lines.select("file", F.explode(reduce(F.concat, parts)).alias("e"))
+    parts = F.filter(F.array(*[named(*w, may) for w, may in zip(wanted, held)]), lambda x: x.isNotNull())
+    found = rows.where(reduce(lambda a, b: a | b, held)).select("file", F.explode(F.flatten(parts)).alias("e"))
     return found.groupBy("file", F.col("e.kind").alias("kind"), F.col("e.text").alias("text")).agg(F.count("*").alias("count"))

@@ -1,14 +1,15 @@
 """Queries and operators do the whole job: nothing is left out, capped or forced."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.functions.entities import ENTITIES
+from logweave.functions.entities import ANY_LEVEL, ENTITIES, REQUIRED, may_hold
 from logweave.functions.text import MASKS
-from logweave.operators import templates, vectors
+from logweave.operators import search, templates, vectors
 from logweave.operators.templates import WILDCARD
 from logweave.plans import inputs
 from logweave.plans.queries import QUERIES
@@ -91,6 +92,22 @@ def test_all_entity_kinds(spark, small):
     assert {k for _, k, _ in got} >= {"timestamp", "ip", "path", "cli", "mac", "module", "error", "info"}
 
 
+def test_entity_patterns_meet_lines_with_their_texts_only(spark):
+    """No line that may match is left out, in whatever case, and a line of prose meets no pattern."""
+    r, parts = random.Random(3), ["err", "Error", "ERRORS", "oFf", "passed", "Warn", "[a-b]", "]x[", "10.0.0.7", "٣.4.5.6", "/a/b", "C:\\x\\y", "c:/x", "--Go=1", " -v", "a-v", "aa:bb-cc:dd:ee:ff", "1:2:3:4:5:6:7:f", "Mar 3 10:11:12", "2024-01-02T10:11:12Z", "10:11:12.345", "_ok", "İnfo", "ınfo", "ſuccess", " ", " ", "x", "\n"]
+    lines = [("a" if k % 2 else None, "".join(r.choice(parts) for _ in range(r.randrange(9)))) for k in range(600)] + [("a", None), ("a", "")]
+    df = spark.createDataFrame(lines, "file string, line string")
+    every = df.select("file", *[F.regexp_extract_all("line", F.lit(f"(?i)({p})"), 1).alias(f"m{k}") for k, (_, p) in enumerate(ENTITIES)]).collect()
+    want = Counter((row.file, kind, x) for row in every for (kind, _), found in zip(ENTITIES, row[1:]) for x in found or [])
+    for kinds in (None, ["ip", "cli"], ["error", "path"]):
+        got = {(x.file, x.kind, x.text): x["count"] for x in search.entity_counts(df, kinds).collect()}
+        assert got == {k: n for k, n in want.items() if kinds is None or k[1] in kinds}
+    assert {k for _, k, _ in want} == {k for k, _ in ENTITIES}
+    prose = spark.createDataFrame([("An offer of okra, in detailed passages.",)], "line string")
+    may = [may_hold(F.col("line"), p) for _, p in ENTITIES if p in REQUIRED] + [F.col("line").rlike(ANY_LEVEL)]
+    assert not any(prose.select(*[m.alias(str(k)) for k, m in enumerate(may)]).first())
+
+
 def test_all_reports_and_templates(spark, small):
     events = inputs.table(spark, small, "events").collect()
     wide = {(r.device, r.report_id): (r.click, r.purchase) for r in QUERIES["telemetry_wide_all"](spark, small).collect()}
