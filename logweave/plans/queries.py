@@ -724,11 +724,13 @@ def stream_template_counts(spark, sf_dir):
 @query
 def stream_mine_templates(spark, sf_dir):
     """The clusters that a stream has made of all lines, with their lines."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, streams.ROCKSDB)
     try:
         rows = _stream(spark, sf_dir, "mined", lambda x: streams.stream_mine_templates(x, ttl=None), "append")
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return streams.clusters_so_far(rows).select("template", "lines")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import mask_values
 from logweave.plans.inputs import CATALOGUE
+from logweave.plans.queries import QUERIES
 from logweave.sources.rules import flatten_rules
 from logweave.streaming import streams
 
@@ -56,3 +57,17 @@ def test_latest_status(spark, tmp_path):
     spark.createDataFrame(rows, "device string, key string, time timestamp, value string").write.parquet(str(tmp_path / "t"))
     stream = spark.readStream.schema("device string, key string, time timestamp, value string").parquet(str(tmp_path / "t"))
     assert run(streams.stream_latest_status(stream), tmp_path, "s_latest", "complete").first().value == "3"
+
+
+@pytest.mark.parametrize("value", [streams.ROCKSDB, None])
+def test_mining_query_leaves_the_state_store_setting(spark, sf_dir, value):
+    """The session's own setting is back afterwards, so that later streams keep their state store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(key)
+    try:
+        spark.conf.set(key, value) if value else spark.conf.unset(key)
+        before = spark.conf.get(key)
+        assert QUERIES["stream_mine_templates"](spark, sf_dir).count() > 0
+        assert spark.conf.get(key) == before
+    finally:
+        spark.conf.set(key, own)
