@@ -54,6 +54,33 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_buckets_in_chunks_without_a_sample_in_the_driver(spark, monkeypatch):
+    """Ranges of buckets would send the driver a sample that grows with the number of tasks."""
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    rows = list(enumerate([*near_copies(1, 150, 60, 12), *near_copies(2, 40, 12, 2)]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.delattr(type(docs), "repartitionByRange")
+    got = minhash.near_duplicates(docs, words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_force(rows, 2)
+
+
+def test_driver_lets_go_of_bitmaps(spark, monkeypatch):
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    docs = spark.createDataFrame(list(enumerate(near_copies(1, 40, 60, 12))), "doc_id bigint, text string")
+    assert minhash.near_duplicates(docs, words=2).count() == 40
+    assert sent and not any(x._jbroadcast.isValid() for x in sent)
+
+
+def test_stars_need_no_second_round(spark, monkeypatch):
+    made, make = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: made.append(name) or make(df, name))
+    edges = [(k, 1000 + k) for k in range(50)] + [(1, k) for k in range(2000, 2050)]
+    got = {x.id: x.component_id for x in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == components({x for e in edges for x in e}, edges)
+    assert len(made) == 2
+
+
 def test_edges(spark):
     got = minhash.near_duplicates(edge_docs(spark), words=2).collect()
     assert len(got) == edge_docs(spark).count()
